@@ -100,6 +100,21 @@ def design_matrix(numeric: Sequence[str], categorical: Sequence[str], target: st
     return Pipeline(stages=stages)
 
 
+def training_rows(matrix: PipelineModel, rows: DataFrame) -> DataFrame:
+    """Features and label for a fit.
+
+    The label stage keeps a slot for classes it has not seen, so that scoring never
+    loses a row; a fit should not count that slot as a class.
+    """
+    ready = matrix.transform(rows)
+    meta = {"ml_attr": {"type": "nominal", "name": "label", "vals": class_labels(matrix)}}
+    return ready.withColumn("label", F.col("label").alias("label", metadata=meta))
+
+
+def class_labels(matrix: PipelineModel) -> list[str]:
+    return list(next(s for s in reversed(matrix.stages) if hasattr(s, "labels")).labels)
+
+
 def elastic_net(c: float = 1.0, l1_ratio: float = 0.0, n_rows: int | None = None, max_iter: int = 50, one_vs_rest: bool = False, weight: str | None = None) -> Estimator:
     """Logistic classifier; inverse strength ``c`` becomes a penalty of 1 / (c * n)."""
     lr = LogisticRegression(
@@ -151,9 +166,8 @@ def grid_results(model, names: Sequence[str]) -> list[tuple]:
 
 def score(model, matrix: PipelineModel, rows: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     """Key, truth and decoded prediction of each row."""
-    labels = next(s for s in reversed(matrix.stages) if hasattr(s, "labels")).labels
     scored = model.transform(matrix.transform(rows))
-    decoded = IndexToString(inputCol="prediction", outputCol="_decoded", labels=[*labels, "__unknown"]).transform(scored)
+    decoded = IndexToString(inputCol="prediction", outputCol="_decoded", labels=class_labels(matrix)).transform(scored)
     return decoded.select(*keys, F.col(target).alias("truth"), F.col("_decoded").alias("prediction"))
 
 
@@ -249,10 +263,11 @@ def _nearest(seeds: DataFrame, members: DataFrame, features: str, k: int, blocks
     """(_seed, _other, _rank): the k nearest members of each seed, itself left out."""
     block = F.pmod(F.xxhash64("_pos"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = seeds.select("_pos", features, block.alias("bi")).withColumn("bj", every)
-    b = members.select("_pos", features, block.alias("bj")).withColumn("bi", every)
+    a = seeds.select("_pos", features, F.lit(True).alias("is_seed"), block.alias("bi")).withColumn("bj", every)
+    b = members.select("_pos", features, F.lit(False).alias("is_seed"), block.alias("bj")).withColumn("bi", every)
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["is_seed"]], pdf[~pdf["is_seed"]]
         if not len(left) or not len(right):
             return pd.DataFrame({"_seed": [], "_other": [], "_d": []})
         x, y = np.stack(left[features].to_numpy()), np.stack(right[features].to_numpy())
@@ -265,11 +280,7 @@ def _nearest(seeds: DataFrame, members: DataFrame, features: str, k: int, blocks
         out = pd.DataFrame({"_seed": np.repeat(p, keep), "_other": q[idx].ravel(), "_d": dist})
         return out[np.isfinite(out["_d"])]
 
-    pairs = (
-        a.groupBy("bi", "bj")
-        .cogroup(b.groupBy("bi", "bj"))
-        .applyInPandas(compare, "_seed long, _other long, _d double")
-    )
+    pairs = a.unionByName(b).groupBy("bi", "bj").applyInPandas(compare, "_seed long, _other long, _d double")
     w = Window.partitionBy("_seed").orderBy("_d", "_other")
     ranked = pairs.withColumn("_rank", F.row_number().over(w) - 1).where(F.col("_rank") < k)
     return ranked.drop("_d")

@@ -1,0 +1,341 @@
+"""Splits, classifiers, metrics and model comparison on the document labels and orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import learning as ml
+from ..operators import metrics as mt
+from ..operators import text as tx
+from ..operators.windows import average_rank
+from .base import query
+from .standins import GRADE_RANK, SQL_RANK, sql_words
+
+_UNIFORM = "(('0x' || substr(md5('{seed}|' || {key}), 1, 8))::bigint / 4294967296.0)"
+
+# ---------------------------------------------------------------- rule-based predictions
+# Three rules predict the priority of an order; one row per model and order.
+_CLASSES = ("URGENT", "HIGH", "MEDIUM", "LOW", "NOT SPECIFIED")
+_RULES = {
+    "size": "case when o_totalprice < 100000 then 'LOW' when o_totalprice < 250000 then 'MEDIUM' when o_totalprice < 400000 then 'HIGH' else 'URGENT' end",
+    "customer": "case o_custkey % 5 when 0 then 'URGENT' when 1 then 'HIGH' when 2 then 'MEDIUM' when 3 then 'LOW' else 'NOT SPECIFIED' end",
+    "constant": "'HIGH'",
+}
+SQL_PREDICTIONS = "predictions as (\n    " + "\n    union all ".join(
+    f"select '{m}' as model, o_orderkey, o_custkey, substr(o_orderpriority, 3) as truth, {r} as prediction from orders" for m, r in _RULES.items()
+) + ")"
+
+
+def predictions(t):
+    """Long prediction table: the rules are exploded from one scan of the orders."""
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.expr(r).alias("prediction")) for m, r in _RULES.items()])
+    return t.orders.select("o_orderkey", "o_custkey", F.substring("o_orderpriority", 3, 100).alias("truth"), F.inline(each))
+
+
+# ---------------------------------------------------------------- splits and roles
+
+
+@query("ml1_split_flag", f"""
+    select o_orderkey, case when {_UNIFORM.format(seed=3, key="o_orderkey")} < 0.8 then 'train' else 'test' end as split from orders""")
+def _(t):
+    return t.orders.select("o_orderkey", ml.split_flag(["o_orderkey"], 0.8, 3).alias("split"))
+
+
+@query("ml2_exact_holdout", """
+    with r as (select o_orderkey, o_orderpriority, row_number() over (partition by o_orderpriority order by md5('5|' || o_orderkey), o_orderkey) - 1 as p,
+        count(*) over (partition by o_orderpriority) as n from orders)
+    select o_orderkey, o_orderpriority, case when p < floor(0.2 * n) then 'validation' else 'train' end as split from r""")
+def _(t):
+    return ml.exact_holdout(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"], seed=5)
+
+
+REGISTER = (
+    ml.Variable("quality", "categorical", {"text": "Y", "size": "Y"}),
+    ml.Variable("word_count", "numeric", {"text": "X", "size": "X", "language": "X"}),
+    ml.Variable("n_sentences", "numeric", {"text": "X", "size": "X", "language": "X"}),
+    ml.Variable("num_transparency", "numeric", {"text": "X", "language": "X"}),
+    ml.Variable("mean_sentence_length", "numeric", {"text": "X", "language": "X"}),
+    ml.Variable("capital_run", "numeric", {"text": "X", "language": "X"}),
+    ml.Variable("lang", "categorical", {"text": "X", "language": "Y"}),
+    ml.Variable("toxic", "numeric", {"text": "X (Previous)", "size": "X (Previous)"}),
+)
+
+
+@query("ml3_selected_variables", f"""
+    with k as (select doc_id, lang, len({sql_words()}) as word_count from documents)
+    select doc_id, cast(quality as varchar) as quality, toxic, word_count from labels join k using (doc_id)""")
+def _(t):
+    register = [v for v in REGISTER if v.name in ("quality", "word_count", "toxic")]
+    numeric, categorical, target = ml.select_roles(register, "size", include_previous=True)
+    table = document_table(t).withColumn("word_count", F.col("word_count").cast("long"))
+    return table.select("doc_id", target, *numeric, *categorical)
+
+
+def document_table(t):
+    """Labelled documents with their text features, split by hash."""
+    d = t.documents.select("doc_id", "text", "lang")
+    labelled = tx.spread(d.join(t.labels, "doc_id", "left_semi"))
+    f = tx.text_features(labelled, "doc_id")
+    attrs = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
+    table = f.join(attrs, "doc_id").withColumn("quality", F.col("quality").cast("string"))
+    filled = table.fillna(0.0, subset=["mean_sentence_length", "num_transparency"])
+    return filled.withColumn("split", ml.split_flag(["doc_id"], 0.8, 1))
+
+
+def _design(t, model="text"):
+    """Fitted design matrix, training and test matrices (kept, as every fit rereads them)."""
+    numeric, categorical, target = ml.select_roles(REGISTER, model)
+    table = document_table(t).select("doc_id", "split", target, *numeric, *categorical).persist()
+    train, test = table.where("split = 'train'"), table.where("split = 'test'")
+    matrix = ml.design_matrix(numeric, categorical, target).fit(train)
+    return matrix, train, test, target
+
+
+@query("ml4_design_matrix")
+def _(t):
+    from pyspark.ml.functions import vector_to_array
+
+    matrix, train, test, _target = _design(t)
+    out = matrix.transform(test.unionByName(train))
+    return out.select("doc_id", "split", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+
+
+def _fitted_logistic(t, **settings):
+    matrix, train, test, target = _design(t)
+    weights = mt.balanced_weights(train, target).select(target, "weight")
+    ready = ml.training_rows(matrix, train.join(weights, target))
+    model = ml.elastic_net(c=1.0, l1_ratio=0.5, n_rows=train.count(), max_iter=30, weight="weight", **settings).fit(ready)
+    return model, matrix, train, test, target
+
+
+@query("ml5_elastic_net")
+def _(t):
+    model, matrix, _train, test, target = _fitted_logistic(t)
+    return ml.score(model, matrix, test, ["doc_id"], target)
+
+
+@query("ml5_one_vs_rest")
+def _(t):
+    model, matrix, _train, test, target = _fitted_logistic(t, one_vs_rest=True)
+    return ml.score(model, matrix, test, ["doc_id"], target)
+
+
+@query("ml6_grid_search")
+def _(t):
+    matrix, train, _test, _target = _design(t)
+    ready = ml.training_rows(matrix, train).select("features", "label").persist()
+    estimator = ml.elastic_net(max_iter=10)
+    found = ml.grid_search(estimator, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 1.0]}, ready, folds=5)
+    rows = ml.grid_results(found, ["regParam", "elasticNetParam"])
+    return t.spark.createDataFrame(rows, "regParam double, elasticNetParam double, accuracy double")
+
+
+@query("ml7_boosted_trees")
+def _(t):
+    matrix, train, test, target = _design(t, "language")
+    model = ml.boosted_trees(rounds=5, depth=3).fit(ml.training_rows(matrix, train))
+    return ml.score(model, matrix, test, ["doc_id"], target)
+
+
+@query("ml8_balanced_weights", """
+    select o_orderpriority, count(*) as n, (sum(count(*)) over ()) / (count(*) over () * count(*)) as weight from orders group by 1""")
+def _(t):
+    return mt.balanced_weights(t.orders, "o_orderpriority")
+
+
+@query("ml9_smote_counts", """
+    with c as (select label, count(*) as n from embeddings group by 1)
+    select label, case when label in (0, 1) then greatest(n, (select max(n) from c) + 20) else n end as n from c""")
+def _(t):
+    return _oversampled(t).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def _oversampled(t):
+    v = t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    target = v.groupBy("label").count().agg(F.max("count")).first()[0] + 20
+    return ml.smote(v, "label", "vec_id", "embedding", {0: target, 1: target}, k=5, seed=11)
+
+
+@query("ml9_smote")
+def _(t):
+    return _oversampled(t).where("vec_id is null").select("label", "embedding")
+
+
+@query("ml10_score_and_check")
+def _(t):
+    model, matrix, _train, test, target = _fitted_logistic(t)
+    scored = ml.score(model, matrix, test, ["doc_id"], target)
+    return scored.agg(F.count("*").alias("n"), F.avg(F.when(mt.correct(), 1.0).otherwise(0.0)).alias("accuracy"))
+
+
+# ---------------------------------------------------------------- metrics
+
+_SQL_CLASSES = f"""{SQL_PREDICTIONS}, sides as (
+    select model, truth as label, 1 as actual, 0 as predicted, cast(truth = prediction as integer) as hit from predictions
+    union all select model, prediction, 0, 1, 0 from predictions),
+    counts as (select model, label, sum(hit) as tp, sum(predicted) as predicted, sum(actual) as support from sides group by 1, 2),
+    report as (select model, label, coalesce(tp / nullif(predicted, 0), 0) as precision, coalesce(tp / nullif(support, 0), 0) as recall,
+        coalesce(2 * tp / nullif(predicted + support, 0), 0) as f1, support, tp from counts)"""
+
+
+@query("ml11_accuracy_summary", f"""
+    with {_SQL_CLASSES} select model, cast(sum(support) as bigint) as n, round(sum(tp) / sum(support), 6) as accuracy,
+        round(sum(f1 * support) / sum(support), 6) as weighted_f1, round(max(support) / sum(support), 6) as majority_share from report group by 1""")
+def _(t):
+    s = mt.summary(predictions(t), ["model"])
+    return s.withColumns({c: F.round(c, 6) for c in ("accuracy", "weighted_f1", "majority_share")})
+
+
+_CODE = "case {c} when 'URGENT' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 end"
+_NEAR = f"coalesce(abs({_CODE.format(c='truth')} - {_CODE.format(c='prediction')}) <= 1, false)"
+
+
+@query("ml12_ordinal_shares", f"""
+    with {SQL_PREDICTIONS} select model, round(avg(case when truth = prediction then 1.0 else 0.0 end), 6) as exact,
+        round(avg(case when {_NEAR} then 1.0 else 0.0 end), 6) as within_1 from predictions group by 1""")
+def _(t):
+    s = mt.ordinal_shares(predictions(t), GRADE_RANK, by=["model"])
+    return s.withColumns({c: F.round(c, 6) for c in ("exact", "within_1")})
+
+
+@query("ml13_class_report", f"""
+    with {_SQL_CLASSES} select model, label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, cast(support as bigint) as support from report""")
+def _(t):
+    r = mt.class_report(predictions(t), ["model"])
+    return r.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query("ml13_weighted_average", f"""
+    with {_SQL_CLASSES} select model, round(sum(precision * support) / sum(support), 6) as precision, round(sum(recall * support) / sum(support), 6) as recall,
+        round(sum(f1 * support) / sum(support), 6) as f1, cast(sum(support) as bigint) as support from report group by 1""")
+def _(t):
+    r = mt.weighted_average(mt.class_report(predictions(t), ["model"]), ["model"])
+    return r.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query("ml14_confusion", f"""
+    with {SQL_PREDICTIONS}, p as (select * from predictions where model = 'size')
+    select truth, {", ".join(f'''count(*) filter (where prediction = '{c}') as "{c}"''' for c in _CLASSES)} from p group by truth""")
+def _(t):
+    return mt.confusion(predictions(t).where("model = 'size'"), _CLASSES)
+
+
+def _shared_model(t):
+    model, matrix, train, test, target = _fitted_logistic(t)
+
+    def predict(rows):
+        scored = model.transform(matrix.transform(rows))
+        return scored.withColumn("prediction", F.col("prediction").cast("int").cast("string")).withColumn("truth", F.col("label").cast("int").cast("string"))
+
+    return predict, test
+
+
+@query("ml15_permutation_importance")
+def _(t):
+    predict, test = _shared_model(t)
+    features = ["word_count", "n_sentences", "num_transparency", "mean_sentence_length", "capital_run"]
+    return ml.permutation_importance(test, ["doc_id"], features, predict, repeats=3)
+
+
+@query("ml16_importance_ranks", """
+    with raw as (select concat(case when p_size % 2 = 0 then 'num__' else 'cat__' end, p_brand) as raw, round(avg(p_retailprice), 3) as importance from part group by 1),
+    named as (select regexp_replace(raw, '^(num__|cat__)', '') as feature, substr(raw, 1, 3) as kind, importance from raw)
+    select feature, importance, cast(floor(rank() over (order by importance desc) + (count(*) over (partition by importance) - 1) / 2.0) as bigint) as rank from named where kind = 'num'""")
+def _(t):
+    kind = F.when(F.col("p_size") % 2 == 0, "num__").otherwise("cat__")
+    raw = t.part.groupBy(F.concat(kind, "p_brand").alias("raw")).agg(F.round(F.avg("p_retailprice"), 3).alias("importance"))
+    named = raw.select(F.regexp_replace("raw", "^(num__|cat__)", "").alias("feature"), F.substring("raw", 1, 3).alias("kind"), "importance")
+    return average_rank(named.where("kind = 'num'").drop("kind"), [], "importance").select("feature", "importance", "rank")
+
+
+@query("ml17_tree_importance")
+def _(t):
+    matrix, train, _test, _target = _design(t)
+    ready = ml.training_rows(matrix, train)
+    model = ml.forest(trees=10, depth=4).fit(ready)
+    return ml.importance_table(t.spark, model.featureImportances, ml.feature_names(ready), 15)
+
+
+@query("ml18_coefficients")
+def _(t):
+    model, matrix, train, _test, _target = _fitted_logistic(t)
+    return ml.coefficient_table(t.spark, model, ml.class_labels(matrix), ml.feature_names(matrix.transform(train)))
+
+
+@query("ml19_prior_baseline", f"""
+    with s as (select o_orderkey, o_orderpriority as truth, case when {_UNIFORM.format(seed=3, key="o_orderkey")} < 0.8 then 'train' else 'test' end as split,
+        {_UNIFORM.format(seed=222, key="o_orderkey")} as u from orders),
+    c as (select truth as label, sum(count(*)) over (order by truth) / sum(count(*)) over () as upper from s where split = 'train' group by truth)
+    select o_orderkey, truth, arg_min(label, upper) as prediction from s join c on upper > u where split = 'test' group by 1, 2""")
+def _(t):
+    s = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("truth"), ml.split_flag(["o_orderkey"], 0.8, 3).alias("split"))
+    out = ml.prior_baseline(s.where("split = 'train'"), s.where("split = 'test'"), "truth", ["o_orderkey"], seed=222)
+    return out.select("o_orderkey", "truth", "prediction")
+
+
+_PAIRS = (("size", "customer"), ("size", "constant"), ("customer", "constant"))
+_SQL_PAIRS = SQL_PREDICTIONS + ", pairs as (\n    " + "\n    union all ".join(
+    f"""select '{a}' as model_1, '{b}' as model_2, x.truth = x.prediction as one, y.truth = y.prediction as two
+    from predictions x join predictions y on x.o_orderkey = y.o_orderkey where x.model = '{a}' and y.model = '{b}'""" for a, b in _PAIRS
+) + """), cells as (select model_1, model_2, count(*) filter (where one and two) as both_right, count(*) filter (where one and not two) as only_1_right,
+    count(*) filter (where two and not one) as only_2_right, count(*) filter (where not one and not two) as both_wrong from pairs group by 1, 2)"""
+_CHI = """select *, round((only_1_right - only_2_right) ** 2 / nullif(only_1_right + only_2_right, 0), 6) as chi2,
+    round((abs(only_1_right - only_2_right) - 1) ** 2 / nullif(only_1_right + only_2_right, 0), 6) as chi2_corrected from cells"""
+
+
+@query("ml20_mcnemar_table", f"with {_SQL_PAIRS} {_CHI}")
+def _(t):
+    pairs = mt.model_pairs(predictions(t), ["o_orderkey"], _PAIRS)
+    table = mt.agreement_table(pairs, ["model_1", "model_2"])
+    return table.withColumns({c: F.round(c, 6) for c in ("chi2", "chi2_corrected")})
+
+
+@query("ml20_mcnemar_p_values")
+def _(t):
+    return mt.mcnemar(mt.model_pairs(predictions(t), ["o_orderkey"], _PAIRS), ["model_1", "model_2"])
+
+
+@query("ml21_model_comparison", f"""
+    with {_SQL_CLASSES}, m as (select model, round(sum(tp) / sum(support), 6) as accuracy, round(sum(f1 * support) / sum(support), 6) as weighted_f1,
+        max(support) / sum(support) as majority from report group by 1),
+    w as (select model, round(avg(case when {_NEAR} then 1.0 else 0.0 end), 6) as within_1 from predictions group by 1)
+    select m.model, accuracy, weighted_f1, within_1 from m join w on m.model = w.model
+    union all select 'Most Common Class Baseline', round(max(majority), 6), null, null from m""")
+def _(t):
+    c = mt.comparison(predictions(t), GRADE_RANK)
+    return c.withColumns({x: F.round(x, 6) for x in ("accuracy", "weighted_f1", "within_1")})
+
+
+def _board(t):
+    matrix, train, test, _target = _design(t)
+    models = {
+        "logistic": (ml.elastic_net(c=1.0, max_iter=20), {"c": 1.0, "max_iter": 20}),
+        "forest": (ml.forest(trees=10, depth=4), {"trees": 10, "depth": 4}),
+    }
+    ready = ml.training_rows(matrix, train).select("features", "label").persist()
+    return ml.leaderboard(t.spark, models, ready, matrix.transform(test))
+
+
+@query("ml22_leaderboard")
+def _(t):
+    return _board(t)[0]
+
+
+@query("ml22_hyper_parameters")
+def _(t):
+    return _board(t)[1]
+
+
+@query("ml23_restricted_population", f"""
+    with {SQL_PREDICTIONS}, p as (select * from predictions where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING'))
+    select model, count(*) as n, round(avg(case when truth = prediction then 1.0 else 0.0 end), 6) as accuracy from p group by model""")
+def _(t):
+    some = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    p = mt.restricted(predictions(t), some, ["o_custkey"])
+    return p.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.when(mt.correct(), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+
+
+@query("ml24_explained_variance")
+def _(t):
+    shares = ml.explained_variance(t.embeddings, "embedding", 5)
+    return t.spark.createDataFrame([(i, s) for i, s in enumerate(shares, 1)], "component int, share double")
