@@ -206,11 +206,11 @@ def _(t):
 
 
 @query("gr12_neighbour_mean", f"""
-    with {_SQL_POOL}, m as (select dst as node, round(avg(x), 5) as x_mean1 from e join base on src = node group by 1)
+    with {_SQL_POOL}, m as (select dst as node, round(avg(x), 8) as x_mean1 from e join base on src = node group by 1)
     select base.node, x_mean1 from base left join m on base.node = m.node""")
 def _(t):
     out = gr.neighbour_aggregate(_base(t).drop("y"), _directed(t), ["x"], how="mean")
-    return out.select("node", F.round("x_mean1", 5).alias("x_mean1"))
+    return out.select("node", F.round("x_mean1", 8).alias("x_mean1"))
 
 
 @query("gr13_inductive_view", f"""

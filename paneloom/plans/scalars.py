@@ -212,13 +212,13 @@ def _sql_ratio(num: str, den: str) -> str:
 
 
 _ALL_RATIOS = {**fin.SCORE_RATIOS, **fin.RATIOS}
-_LONG_RATIOS = ", ".join(f"round({_sql_ratio(n, d)}, 6) as {name}" for name, (n, d) in _ALL_RATIOS.items())
+_LONG_RATIOS = ", ".join(f"{_sql_ratio(n, d)} as {name}" for name, (n, d) in _ALL_RATIOS.items())
 
 
 @query("fn_m2_ratios", f"with {SQL_STATEMENTS} select ticker, period, {_LONG_RATIOS} from statements")
 def _(t):
     cols = fin.ratio_columns(_ALL_RATIOS)
-    return statements(t).select("ticker", "period", *[F.round(c, 6).alias(n) for n, c in cols.items()])
+    return statements(t).select("ticker", "period", *[c.alias(n) for n, c in cols.items()])
 
 
 SQL_SCORE_RATIOS = (

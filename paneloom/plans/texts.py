@@ -180,8 +180,8 @@ def names(t):
 
 
 _SQL_NAMES = f"""bw as (select item_id, {sql_words()} as w from benchmark),
-    names as (select item_id, size, replace(upper(array_to_string(w[1:size], ' ')), 'ß', 'SS') as name from bw, (values (1), (2), (3)) s(size) where len(w) >= 3),
-    dw as (select doc_id, [replace(upper(w), 'ß', 'SS') for w in {sql_words()}] as w from documents),
+    names as (select item_id, size, replace(replace(upper(array_to_string(w[1:size], ' ')), 'ß', 'SS'), 'ẞ', 'SS') as name from bw, (values (1), (2), (3)) s(size) where len(w) >= 3),
+    dw as (select doc_id, [replace(replace(upper(w), 'ß', 'SS'), 'ẞ', 'SS') for w in {sql_words()}] as w from documents),
     found as (select doc_id, unnest(flatten([[array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)] for n in range(1, 5)])) as company_mentioned from dw),
     mentions as (select doc_id, company_mentioned, count(*) as n from found where company_mentioned in (select name from names) group by 1, 2)"""
 
