@@ -64,8 +64,7 @@ def prune(nodes: DataFrame, edges: DataFrame, label: str, split: str) -> tuple[D
         .where("_n > 1")
     )
     kept = linked.join(trained, label, "left_semi")
-    for end in ("src", "dst"):
-        edges = edges.join(kept.select(F.col("node").alias(end)), end, "left_semi")
+    edges = induced(edges, kept)
     return in_either_end(kept, edges), edges
 
 
@@ -112,9 +111,11 @@ def sample_nodes(nodes: DataFrame, share: float, seed: int, node: str = "node")
 
 
 def induced(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
+    """Edges with both ends among the nodes."""
+    kept = edges
     for end in ("src", "dst"):
-        edges = edges.join(nodes.select(F.col(node).alias(end)), end, "left_semi")
-    return edges
+        kept = kept.join(nodes.select(F.col(node).alias(end)), end, "left_semi")
+    return kept.select(*edges.columns)
 
 
 # ---------------------------------------------------------------- similarity graph
@@ -165,7 +166,7 @@ def similarity_edges(
     vec: str,
     quantile: float | None = 0.98,
     at_least: float | None = None,
-    block_rows: int = 2000,
+    block_rows: int = 500,
 ) -> DataFrame:
     """Pairs (src < dst) with cosine at or above a threshold, exactly.
 
@@ -198,14 +199,12 @@ def similarity_edges(
             grouped.applyInPandas(count, "bin long, n long")
             .groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # <= 65536 rows
         )
-        below, wanted, rows_below = 0, [], {}
+        below, sizes, rows_below = 0, {}, {}
         for row in histogram:
-            for k in (low, high):
-                if below <= k < below + row["n"]:
-                    wanted.append(row["bin"])
-                    rows_below[row["bin"]] = below
+            if any(below <= k < below + row["n"] for k in (low, high)):
+                sizes[row["bin"]], rows_below[row["bin"]] = row["n"], below
             below += row["n"]
-        wanted = sorted(set(wanted))
+        wanted = sorted(sizes)
 
         def pick(pdf: pd.DataFrame) -> pd.DataFrame:
             sim = _pairs(pdf)[2]
@@ -214,7 +213,9 @@ def similarity_edges(
             return pd.DataFrame({"bin": bins[hit], "sim": sim[hit]})
 
         inside = grouped.applyInPandas(pick, "bin long, sim double")
-        at_least = _rank_values(inside, rows_below, low, high, part)
+        ranks = {k: max((b for b in wanted if rows_below[b] <= k), key=rows_below.get) for k in (low, high)}
+        value = _values_at(inside, ranks, sizes, rows_below)
+        at_least = value[low] + (value[high] - value[low]) * part
 
     cut = at_least
 
@@ -228,14 +229,21 @@ def similarity_edges(
     return grouped.applyInPandas(keep, f"src {kind}, dst {kind}, similarity double")
 
 
-def _rank_values(inside: DataFrame, rows_below: dict, low: int, high: int, part: float) -> float:
-    """Interpolated order statistic from the values of the bins that hold its ranks."""
+def _values_at(inside: DataFrame, ranks: dict[int, int], sizes: dict[int, int], rows_below: dict[int, int]) -> dict[int, float]:
+    """Values at the given ranks, each looked up in its own bin.
+
+    The histogram says how many values the bins hold: few are sorted on the driver,
+    many are searched by further aggregate passes.
+    """
+    if sum(sizes.values()) <= 200_000:
+        values: dict[int, list[float]] = {b: [] for b in sizes}
+        for row in inside.collect():
+            values[row["bin"]].append(row["sim"])
+        return {k: sorted(values[b])[k - rows_below[b]] for k, b in ranks.items()}
     found = {}
-    for k in sorted({low, high}):
-        home = max((b for b, below in rows_below.items() if below <= k), key=lambda b: rows_below[b])
-        values = inside.where(F.col("bin") == home)
-        found[k] = order_statistics(values, "sim", [k - rows_below[home]])[0]
-    return found[low] + (found[high] - found[low]) * part
+    for k, b in ranks.items():
+        found[k] = order_statistics(inside.where(F.col("bin") == b), "sim", [k - rows_below[b]])[0]
+    return found
 
 
 # ---------------------------------------------------------------- neighbourhood features

@@ -1,21 +1,25 @@
 """Exact quantiles of many columns at any size.
 
-``percentile`` keeps every distinct value in one task, so it serves only while a
-column is small. Above that the value range that must contain each wanted order
-statistic is narrowed by passes of ``percentile_approx`` (one aggregate for all
-columns and levels; each pass shrinks a range about ``ACCURACY / 4`` fold, by its
-guaranteed rank error), until a range holds few enough values to be picked from
-exactly. A range is verified by counting, so a bad bracket costs another pass and
-never a wrong result.
+A short column goes through ``percentile``, which holds its distinct values in memory.
+A longer one has its distinct values counted (map-side combined) and the wanted ranks
+read off their running count, which sorts and spills like any window. Beyond that the value range that must contain each wanted rank is narrowed by
+passes of ``percentile_approx`` (one aggregate for all columns and levels; each pass
+shrinks a range about ``ACCURACY / 4`` fold, by its guaranteed rank error), until a
+range holds few enough values. A range is verified by counting, so a bad bracket costs
+another pass and never a wrong result. Only bounds and results reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-SMALL = 2_000_000
+# Values of one column that ``percentile`` may hold in memory.
+TINY = 250_000
+# Values of one column that may be sorted (and spilled) in one task.
+SMALL = 10_000_000
 ACCURACY = 10_000
 
 
@@ -25,44 +29,74 @@ def _interpolated(n: int, p: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), position - low
 
 
+def _inside(c: str, lo, hi):
+    test = F.col(c).isNotNull()
+    return test if lo is None else test & (F.col(c) >= lo) & (F.col(c) <= hi)
+
+
+def _pick(df: DataFrame, targets: Sequence[tuple]) -> dict[tuple[str, int], float]:
+    """Values at ranks inside brackets: targets are (column, lo, hi, rows below, ranks)."""
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.when(_inside(c, lo, hi), F.col(c).cast("double")).alias("v"))
+        for i, (c, lo, hi, _, _) in enumerate(targets)
+    ]
+    counts = (
+        df.select(F.inline(F.array(*entries)))
+        .where("v is not null")
+        .groupBy("i", "v")
+        .agg(F.count("*").alias("n"))
+    )
+    running = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("n").over(running))
+    tests = [
+        (F.col("i") == i) & (F.col("upto") > k - below) & (F.col("upto") - F.col("n") <= k - below)
+        for i, (_, _, _, below, ks) in enumerate(targets)
+        for k in ks
+    ]
+    found = {}
+    for row in ranked.where(reduce(lambda a, b: a | b, tests)).collect():
+        c, _, _, below, ks = targets[row["i"]]
+        for k in ks:
+            if row["upto"] - row["n"] <= k - below < row["upto"]:
+                found[c, k] = row["v"]
+    return found
+
+
 def _select(df: DataFrame, want: Mapping[str, Sequence[int]], n: Mapping[str, int], small: int, accuracy: int) -> dict:
     """Exact order statistics (0-based ranks) of several columns by bracketing."""
-    found: dict[tuple[str, int], float] = {}
-    # bracket: lowest value, highest value (both included), rows below it, rows in it
+    # (column, rank) -> lowest value, highest value (both included), rows below, rows in it
     open_ = {(c, k): (None, None, 0, n[c]) for c, ks in want.items() for k in ks}
-
-    def inside(c, lo, hi):
-        test = F.col(c).isNotNull()
-        if lo is not None:
-            test &= (F.col(c) >= lo) & (F.col(c) <= hi)
-        return test
-
+    ready: dict[tuple, list[int]] = {}
+    found: dict[tuple[str, int], float] = {}
     while open_:
-        todo = list(open_.items())
-        exprs = []
-        for (c, k), (lo, hi, below, size) in todo:
-            value = F.when(inside(c, lo, hi), F.col(c))
+        groups: dict[tuple, list[int]] = {}
+        for (c, k), bracket in list(open_.items()):
+            lo, hi, below, size = bracket
             if lo is not None and lo == hi:
-                exprs.append(F.array(F.lit(lo)))
+                found[c, k] = lo
+                del open_[c, k]
             elif size <= small:
-                ordered = F.sort_array(F.collect_list(value))
-                exprs.append(F.array(F.get(ordered, F.lit(k - below))))
-            else:
-                at, slack = (k - below) / size, 2.0 / accuracy
-                around = [max(at - slack, 0.0), min(at + slack, 1.0)]
-                exprs.append(F.percentile_approx(value, around, accuracy))
-        row = df.agg(*[e.alias(f"r{i}") for i, e in enumerate(exprs)]).first()
-        checks, pending = [], []
-        for i, ((c, k), (lo, hi, below, size)) in enumerate(todo):
-            if len(row[i]) == 1:
-                found[c, k] = row[i][0]
+                ready.setdefault((c, lo, hi, below), []).append(k)
                 del open_[c, k]
             else:
-                a, b = row[i]
-                checks += [F.count_if(F.col(c) < a), F.count_if((F.col(c) >= a) & (F.col(c) <= b))]
-                pending.append(((c, k), a, b))
-        if not pending:
+                # Ranks of a column that share a bracket share one sketch.
+                groups.setdefault((c, bracket), []).append(k)
+        if not groups:
             break
+        todo, slack = list(groups.items()), 2.0 / accuracy
+        exprs = []
+        for (c, (lo, hi, below, size)), ks in todo:
+            around = [min(max((k - below) / size + d, 0.0), 1.0) for k in ks for d in (-slack, slack)]
+            exprs.append(F.percentile_approx(F.when(_inside(c, lo, hi), F.col(c)), around, accuracy))
+        sketches = df.agg(*[e.alias(f"r{i}") for i, e in enumerate(exprs)]).first()
+        pending = [
+            ((c, k), *sketches[i][2 * j : 2 * j + 2])
+            for i, ((c, _), ks) in enumerate(todo)
+            for j, k in enumerate(ks)
+        ]
+        checks = []
+        for (c, _), a, b in pending:
+            checks += [F.count_if(F.col(c) < a), F.count_if((F.col(c) >= a) & (F.col(c) <= b))]
         counts = df.agg(*[e.alias(f"c{i}") for i, e in enumerate(checks)]).first()
         for i, ((c, k), a, b) in enumerate(pending):
             below, size = counts[2 * i], counts[2 * i + 1]
@@ -71,6 +105,8 @@ def _select(df: DataFrame, want: Mapping[str, Sequence[int]], n: Mapping[str, in
                 # Not bracketed, or no narrower (one value repeated): split at a value instead.
                 a, b, below, size = _split(df, c, k, old)
             open_[c, k] = (a, b, below, size)
+    if ready:
+        found.update(_pick(df, [(*bracket, ks) for bracket, ks in ready.items()]))
     return found
 
 
@@ -96,30 +132,27 @@ def _split(df: DataFrame, c: str, k: int, bracket: tuple) -> tuple:
 def quantiles(
     df: DataFrame,
     levels: Mapping[str, Sequence[float]],
+    tiny: int = TINY,
     small: int = SMALL,
     accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated exact quantiles per column (runs the aggregates now).
-
-    Only the quantiles themselves reach the driver.
-    """
+    """Linearly interpolated exact quantiles per column (runs the aggregates now)."""
     cols = list(levels)
-    sizes = dict(zip(cols, df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()))
-    direct = [c for c in cols if sizes[c] <= small]
-    out: dict[str, list[float | None]] = {}
-    if direct:
-        picked = [F.percentile(c, list(map(float, levels[c]))).alias(f"q{i}") for i, c in enumerate(direct)]
-        for c, q in zip(direct, df.agg(*picked).first()):
-            out[c] = list(q) if q is not None else [None] * len(levels[c])
-    large = {c: [_interpolated(sizes[c], p) for p in levels[c]] for c in cols if c not in direct}
-    if large:
-        want = {c: sorted({k for lo, hi, _ in ps for k in (lo, hi)}) for c, ps in large.items()}
-        stats = _select(df, want, sizes, small, accuracy)
-        for c, ps in large.items():
-            out[c] = [
-                stats[c, lo] + (stats[c, hi] - stats[c, lo]) * part if part else stats[c, lo]
-                for lo, hi, part in ps
-            ]
+    counted = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    sizes = dict(zip(cols, counted))
+    out: dict[str, list[float | None]] = {c: [None] * len(levels[c]) for c in cols}
+    held = [c for c in cols if 0 < sizes[c] <= tiny]
+    if held:
+        exact = [F.percentile(c, list(map(float, levels[c]))).alias(f"q{i}") for i, c in enumerate(held)]
+        out.update({c: list(q) for c, q in zip(held, df.agg(*exact).first())})
+    places = {c: [_interpolated(sizes[c], p) for p in levels[c]] for c in cols if sizes[c] > tiny}
+    want = {c: sorted({k for lo, hi, _ in ps for k in (lo, hi)}) for c, ps in places.items()}
+    stats = _select(df, want, sizes, small, accuracy)
+    for c, ps in places.items():
+        out[c] = [
+            float(stats[c, lo] + (stats[c, hi] - stats[c, lo]) * part if part else stats[c, lo])
+            for lo, hi, part in ps
+        ]
     return out
 
 

@@ -57,6 +57,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def computed_once(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that later filters use but must not compute again.
+
+    A filter on a projected column is pushed below the projection with a copy of the
+    expression. Generated columns stop that: each value is computed once per row.
+    """
+    row = F.struct(*[v.alias(n) for n, v in values.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def numeric_transparency(token_array: Column) -> Column:
     """Numeric tokens per distinct non-numeric token, two decimals."""
     numeric = F.size(F.filter(token_array, lambda t: t.rlike(NUMERIC)))
@@ -105,6 +115,18 @@ def unusable(word_count: Column, capital_run: Column, min_words: int = 500, max_
     return (word_count <= min_words) | (capital_run > max_run)
 
 
+def unusable_documents(docs: DataFrame, key: str, text: str = "text", min_words: int = 500, max_run: int = 50) -> DataFrame:
+    """Documents to drop, with the two counts that decide."""
+    found = docs.select(key, words(tokens(F.col(text))).alias("_w"))
+    counted = computed_once(
+        found,
+        word_count=F.size("_w"),
+        capital_run=longest_run(F.col("_w"), lambda w: w.rlike(CAPITALISED)),
+    )
+    bad = unusable(F.col("word_count"), F.col("capital_run"), min_words, max_run)
+    return counted.where(bad).select(key, "word_count", "capital_run")
+
+
 def exploded_words(docs: DataFrame, key: Sequence[str], text: str = "text") -> DataFrame:
     """One row per word occurrence, lower case."""
     found = words(tokens(F.col(text)))

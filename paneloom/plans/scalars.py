@@ -237,7 +237,8 @@ SQL_CLIPPED = (
 
 
 def score_ratios(t):
-    return statements(t).withColumns(fin.ratio_columns(fin.SCORE_RATIOS))
+    """Statements with their score ratios; kept, as the quantiles and the rows both read them."""
+    return statements(t).withColumns(fin.ratio_columns(fin.SCORE_RATIOS)).persist()
 
 
 @query("fn_m3_linear_score", f"""

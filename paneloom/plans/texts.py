@@ -57,8 +57,7 @@ _SQL_RUNS = f"""runs as (select doc_id, len(ws) as word_count, coalesce(list_max
 @query("tx4_unusable_documents", f"""
     with {_WORDS}, {_SQL_RUNS} select doc_id, word_count, capital_run from runs where word_count <= 500 or capital_run > 50""")
 def _(t):
-    f = tx.text_features(text_docs(t), "doc_id")
-    bad = f.where(tx.unusable(F.col("word_count"), F.col("capital_run")))
+    bad = tx.unusable_documents(text_docs(t), "doc_id")
     return bad.select("doc_id", F.col("word_count").cast("long").alias("word_count"), F.col("capital_run").cast("long").alias("capital_run"))
 
 
@@ -287,7 +286,9 @@ def _(t):
     from labels l join f on l.doc_id = f.doc_id join hits h on l.doc_id = h.doc_id where f.word_count <= 5000 and f.word_count <> -1""")
 def _(t):
     d = text_docs(t)
-    f = tx.text_features(d, "doc_id", question=",").select("doc_id", F.col("word_count").cast("long").alias("word_count"), "num_q_by_len")
+    ws = tx.computed_once(
+        d, word_count=F.size(tx.words(tx.tokens(F.col("text")))).cast("long"), commas=tx.count_occurrences(F.col("text"), ","))
+    f = ws.select("doc_id", "word_count", tx.ratio(F.col("commas"), F.col("word_count")).alias("num_q_by_len"))
     h = tx.lexicon_counts(d, lexicon(t), "doc_id").select("doc_id", F.col("Positiv").alias("pos"), F.col("Negativ").alias("neg"))
     kept = f.where("word_count <= 5000 and word_count != -1")
     return t.labels.select("doc_id", "quality").join(kept, "doc_id").join(h, "doc_id").select(

@@ -68,10 +68,7 @@ def read_calls(spark: SparkSession, root: str, exclude: str = "speaker names.csv
     of the call and the third the transcript.
     """
     raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .option("wholetext", True)
-        .text(root)
+        spark.read.text(root, wholetext=True, pathGlobFilter="*.csv", recursiveFileLookup=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     raw = raw.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
@@ -101,7 +98,7 @@ def json_field(text: Column, schema: str, field: str) -> Column:
 
 def read_score_shards(spark: SparkSession, path: str) -> DataFrame:
     """(position, score) from files ``<name>_<start>_<end>.txt`` with one number per line."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_score_shards(files.select(F.col("_metadata.file_name").alias("file"), "value"))
 
 
@@ -112,7 +109,7 @@ def parse_score_shards(files: DataFrame) -> DataFrame:
     may come in any order. Where shards overlap the first by name wins.
     """
     start = F.regexp_extract("file", r"_(\d+)_\d+\.txt$", 1).cast("long")
-    lines = files.select("file", start.alias("start"), F.posexplode(F.split(F.trim("value"), r"\s*\n")))
+    lines = files.select("file", start.alias("start"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\s*\n")))
     scored = lines.select(
         "file",
         (F.col("start") + F.col("pos")).alias("position"),
