@@ -58,12 +58,9 @@ def prune(nodes: DataFrame, edges: DataFrame, label: str, split: str) -> tuple[D
     whose ends survive; nodes that still have an edge.
     """
     linked = in_either_end(nodes, edges)
-    trained = (
-        linked.groupBy(label)
-        .agg(F.count_if(F.col(split) == "train").alias("_n"))
-        .where("_n > 1")
-    )
-    kept = linked.join(trained, label, "left_semi")
+    trained = linked.groupBy(label).agg(F.count_if(F.col(split) == "train").alias("_n")).where("_n > 1")
+    classes = trained.agg(F.collect_set(label)).scalar()  # a short list, so no join on the class
+    kept = linked.withColumn("_c", classes).where(F.array_contains("_c", F.col(label))).drop("_c")
     edges = induced(edges, kept)
     return in_either_end(kept, edges), edges
 

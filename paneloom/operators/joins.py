@@ -1,6 +1,7 @@
-"""Joins. None of them carries a broadcast hint: the size of a side is measured
-(file statistics, then shuffle statistics under AQE) before it is broadcast, and a
-side too big for that is sort-merge joined with AQE splitting hot keys."""
+"""Joins. Sides are broadcast only after their size was measured: by Spark (file
+statistics, shuffle statistics under AQE), or by ``broadcastable``, which counts a
+derived lookup table. A side too big for that is sort-merge joined, with AQE splitting
+hot keys."""
 
 from __future__ import annotations
 
@@ -13,6 +14,18 @@ from ..functions.arrays import char_grams
 from ..functions.dates import MonthGrid
 
 
+BROADCAST_ROWS = 500_000
+
+
+def broadcastable(dim: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """True when a lookup table of short rows has at most ``limit`` rows (counts it now).
+
+    For tables whose size the optimiser cannot know before it has shuffled the other,
+    much larger side: the result of an aggregate or of exploding.
+    """
+    return dim.limit(limit + 1).count() <= limit
+
+
 def suffix_shared(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> dict[str, DataFrame]:
     """Suffix non-key columns that occur in more than one table with the table's name."""
     seen: dict[str, int] = {}
@@ -87,12 +100,13 @@ def asof_join(
     period and the join itself is an equality join.
     """
     payload = [c for c in events.columns if c not in on]
-    latest = (
-        events.withColumn("_g", grid.point(grid.floor_index(F.col(event_time)) + 1))
-        .groupBy(*on, "_g")
-        .agg(F.max_by(F.struct(*payload), F.struct(event_time, *tie)).alias("_event"))
-        .select(*on, F.col("_g").alias(grid_col), "_event.*")
-    )
+    dated = events.withColumn("_g", grid.point(grid.floor_index(F.col(event_time)) + 1))
+    if payload == [event_time]:  # a bare date stays in the hash aggregate
+        latest = dated.groupBy(*on, "_g").agg(F.max(event_time).alias(event_time))
+    else:
+        best = F.max_by(F.struct(*payload), F.struct(event_time, *tie)).alias("_event")
+        latest = dated.groupBy(*on, "_g").agg(best).select(*on, "_g", "_event.*")
+    latest = latest.withColumnRenamed("_g", grid_col)
     return left.join(latest, [*on, grid_col], how)
 
 

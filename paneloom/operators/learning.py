@@ -25,6 +25,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .positions import hash_positions, key_hash
+from .windows import class_map
 
 # ---------------------------------------------------------------- roles and splits
 
@@ -66,9 +67,10 @@ def split_flag(keys: Sequence[str], train: float = 0.8, seed: int = 0) -> Column
 def exact_holdout(df: DataFrame, label: str, keys: Sequence[str], share: float = 0.2, seed: int = 0, out: str = "split") -> DataFrame:
     """Exactly floor(share * n) rows of each class held out, chosen by hash."""
     placed = hash_positions(df, keys, by=[label], seed=seed, out="_pos")
-    sizes = df.groupBy(label).agg(F.floor(share * F.count("*")).alias("_take"))
-    flag = F.when(F.col("_pos") < F.col("_take"), "validation").otherwise("train")
-    return placed.join(sizes, label).withColumn(out, flag).drop("_pos", "_take")
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.floor(share * F.count("*")).alias("_take"))
+    taken = placed.withColumn("_takes", class_map(sizes, label, "_take"))
+    flag = F.when(F.col("_pos") < F.try_element_at("_takes", F.col(label)), "validation").otherwise("train")
+    return taken.withColumn(out, flag).drop("_pos", "_takes")
 
 
 # ---------------------------------------------------------------- design matrix and models
@@ -304,15 +306,17 @@ def permutation_importance(
     ``predict``, which adds ``prediction`` to a table that has ``truth``.
     """
     base = hash_positions(rows, keys, seed=seed, out="_at")
+    every = F.explode(F.array(*[F.lit(f) for f in features]))
     copies = None
     for repeat in range(repeats):
         order = hash_positions(rows.select(*keys, *features), keys, seed=seed + 1 + repeat, out="_at")
         donor = order.select("_at", F.struct(*features).alias("_donor"))
-        joined = base.join(donor, "_at")
-        for f in features:
-            shuffled = joined.withColumn(f, F.col(f"_donor.{f}")).drop("_donor", "_at")
-            one = shuffled.withColumns({"_feature": F.lit(f), "_repeat": F.lit(repeat)})
-            copies = one if copies is None else copies.unionByName(one)
+        each = base.join(donor, "_at").withColumns({"_feature": every, "_repeat": F.lit(repeat)})
+        swapped = {
+            f: F.when(F.col("_feature") == f, F.col(f"_donor.{f}")).otherwise(F.col(f)) for f in features
+        }
+        one = each.withColumns(swapped).drop("_donor", "_at")
+        copies = one if copies is None else copies.unionByName(one)
     hit = F.avg(F.when(F.col("prediction") == F.col("truth"), 1.0).otherwise(0.0))
     full = predict(rows).agg(hit).scalar()
     lost = (

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import encode, ratio
+from .windows import class_map
 
 
 def correct(truth: str = "truth", prediction: str = "prediction") -> Column:
@@ -98,6 +99,12 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return t.withColumn("weight", F.col("_t.n") / (F.col("_t.k") * F.col("n"))).drop("_t")
 
 
+def with_balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Attach the balanced weight of its class to each row, without a join on the class."""
+    weights = class_map(balanced_weights(df, label), label, "weight")
+    return df.withColumn("_w", weights).withColumn(out, F.try_element_at("_w", F.col(label))).drop("_w")
+
+
 def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Two models' predictions for the same rows, side by side."""
     one = a.select(*keys, "truth", F.col("prediction").alias("prediction_1"))

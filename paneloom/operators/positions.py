@@ -26,23 +26,21 @@ def key_hash(*keys: str | Column, seed: int = 0) -> Column:
 
 
 def _number(df: DataFrame, by: Sequence[str], bucket: str, order: Sequence, out: str) -> DataFrame:
-    """0-based position from per-bucket counts; bucket order must agree with ``order``."""
-    counts = df.groupBy(*by, bucket).agg(F.count("*").alias("_n"))
+    """0-based position from per-bucket counts; bucket order must agree with ``order``.
+
+    Group and bucket form one text key, on which the rows are shuffled once, both for
+    the offsets and for numbering inside a bucket.
+    """
+    group = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in by]
+    keyed = df.withColumn("_key", F.concat_ws("\u001f", *group, F.col(bucket).cast("string")))
+    counts = keyed.groupBy(*by, bucket, "_key").agg(F.count("*").alias("_n"))
     running = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *[F.col(c).alias(f"_o_{c}") for c in by],
-        F.col(bucket).alias("_o_bucket"),
-        F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"),
-    )
-    same = F.col(bucket) == F.col("_o_bucket")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    inside = Window.partitionBy(*by, bucket).orderBy(*order)
+    offsets = counts.select("_key", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_key").orderBy(*order)
     return (
-        df.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(offsets, same)
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_inside", "_offset", "_o_bucket", bucket, *[f"_o_{c}" for c in by])
+        keyed.join(offsets, "_key")
+        .withColumn(out, F.col("_offset") + F.row_number().over(inside) - 1)
+        .select(*[c for c in df.columns if c != bucket], out)
     )
 
 

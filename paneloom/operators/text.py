@@ -12,9 +12,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.arrays import longest_run, ngrams
+from ..functions.arrays import longest_run
 from ..functions.numbers import ratio, smoothed_log_ratio
 from ..functions.strings import count_occurrences, number_between, override, remove_patterns, replace_chain, split_first
+from .joins import broadcastable
 
 TOKEN = r"[\p{L}\p{N}]+(?:[.'’_-][\p{L}\p{N}]+|,\p{N}+)*|[^\s\p{L}\p{N}]"
 SENTENCE = r"[^.!?]+[.!?]*"
@@ -51,7 +52,7 @@ def sentences(text: Column) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """Give every core work when a small file would be read by fewer tasks than cores.
 
-    A table with enough input splits (any large one) is returned as it is.
+    For a plain scan: a table with enough input splits (any large one) is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -178,19 +179,18 @@ def lexicon_counts(
 ) -> DataFrame:
     """Hits per document and category, zero for documents without any.
 
-    The lexicon is first turned into one row per word with an array of categories, so
-    a word occurrence meets one row. Words are counted per document before the join.
+    The lexicon becomes one row per word with a 0/1 column per category, so a word meets
+    one row. A lexicon of checked size is broadcast to the words where they are read, and
+    only sums per document are shuffled. For a larger one words are counted per document
+    before the shuffle join, so that a frequent word costs one row per document.
     """
-    per_word = lexicon.groupBy("word").agg(F.collect_set("category").alias("_cats"))
-    sums = {
-        c: F.sum(F.when(F.array_contains("_cats", c), F.col("n")).otherwise(0)) for c in categories
-    }
-    hits = (
-        word_counts(docs, [key], text)
-        .join(per_word, "word")
-        .groupBy(key)
-        .agg(*[s.alias(c) for c, s in sums.items()])
-    )
+    marks = [F.max((F.col("category") == c).cast("long")).alias(f"_{c}") for c in categories]
+    per_word = lexicon.groupBy("word").agg(*marks)
+    if broadcastable(per_word):
+        found = exploded_words(docs, [key], text).withColumn("n", F.lit(1)).join(F.broadcast(per_word), "word")
+    else:
+        found = word_counts(docs, [key], text).join(per_word, "word")
+    hits = found.groupBy(key).agg(*[F.sum(F.col("n") * F.col(f"_{c}")).alias(c) for c in categories])
     return docs.select(key).join(hits, key, "left").fillna(0, subset=list(categories))
 
 
@@ -219,9 +219,13 @@ def sentence_labels(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "
     polar = lexicon.where(F.col("category").isin("Positiv", "Negativ")).groupBy("word").agg(
         F.sum(F.when(F.col("category") == "Positiv", 1).otherwise(-1)).alias("_sign")
     )
+    said = exploded_words(parts, [key, "sentence"], "_s").withColumn("n", F.lit(1))
+    if broadcastable(polar):
+        polar = F.broadcast(polar)
+    else:
+        said = word_counts(parts, [key, "sentence"], "_s")
     balance = (
-        word_counts(parts, [key, "sentence"], "_s")
-        .join(polar, "word", "left")
+        said.join(polar, "word", "left")
         .groupBy(key, "sentence")
         .agg(F.sum(F.col("n") * F.coalesce("_sign", F.lit(0))).alias("_b"))
     )
@@ -365,17 +369,28 @@ def mentions(
 ) -> DataFrame:
     """Occurrences of each listed name (1 to ``max_words`` words) per document.
 
-    Word runs are counted per document before they meet the name list.
+    Each position of a document gives its next ``max_words`` words. With a name list of
+    checked size, positions whose first word starts no name are dropped at once and the
+    remaining runs are tested where they are read; only counts of hits are shuffled.
+    Otherwise runs are counted per document before they meet the list.
     """
     upper = F.transform(words(tokens(F.col(text))), lambda w: F.upper(w))
-    runs = F.flatten(F.array(*[ngrams(F.col("_w"), n) for n in range(1, max_words + 1)]))
-    found = docs.withColumn("_w", upper).select(key, F.explode(runs).alias("company_mentioned"))
-    listed = names.select(F.upper(name).alias("company_mentioned")).distinct()
-    return (
-        found.join(listed, "company_mentioned", "left_semi")
-        .groupBy(key, "company_mentioned")
-        .agg(F.count("*").alias("n"))
+    at = [f"_w{i}" for i in range(1, max_words + 1)]
+    ahead = [F.col("_w"), *[F.slice("_w", i, F.size("_w")) for i in range(2, max_words + 1)]]
+    positions = docs.select(key, upper.alias("_w")).select(key, F.inline(F.arrays_zip(*ahead))).toDF(key, *at)
+    runs = F.array(
+        F.col("_w1"),
+        *[F.when(F.col(at[n - 1]).isNotNull(), F.concat_ws(" ", *at[:n])) for n in range(2, max_words + 1)],
     )
+    run = F.explode(F.array_compact(runs)).alias("company_mentioned")
+    listed = names.select(F.upper(name).alias("company_mentioned")).distinct()
+    if broadcastable(listed):
+        starts = listed.select(F.split("company_mentioned", " ")[0].alias("_w1")).distinct()
+        found = positions.join(F.broadcast(starts), "_w1", "left_semi").select(key, run)
+        hits = found.join(F.broadcast(listed), "company_mentioned", "left_semi")
+        return hits.groupBy(key, "company_mentioned").agg(F.count("*").alias("n"))
+    counted = positions.select(key, run).groupBy(key, "company_mentioned").agg(F.count("*").alias("n"))
+    return counted.join(listed, "company_mentioned", "left_semi").select(key, "company_mentioned", "n")
 
 
 def link_mentions(found: DataFrame, names: DataFrame, panel: DataFrame, key: str) -> DataFrame:

@@ -147,6 +147,15 @@ def group_stat(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame
     return df.join(side, list(keys))
 
 
+def class_map(table: DataFrame, key: str, value: str) -> Column:
+    """A small table (one row per class) as one map, for lookups without a join.
+
+    A join on the class would shuffle the rows by it, and the largest class would go to
+    one task. Only for keys from a short list, such as ratings.
+    """
+    return table.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+
+
 def attrition(df: DataFrame, key: str, period: str) -> DataFrame:
     """Entities whose last period lies before the last period of the table."""
     last = df.groupBy(key).agg(F.max(period).alias("last_period"))

@@ -73,9 +73,8 @@ def _(t):
 
 def document_table(t):
     """Labelled documents with their text features, split by hash."""
-    d = t.documents.select("doc_id", "text", "lang")
-    labelled = tx.spread(d.join(t.labels, "doc_id", "left_semi"))
-    f = tx.text_features(labelled, "doc_id")
+    d = tx.spread(t.documents.select("doc_id", "text"))
+    f = tx.text_features(d.join(t.labels, "doc_id", "left_semi"), "doc_id")
     attrs = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
     table = f.join(attrs, "doc_id").withColumn("quality", F.col("quality").cast("string"))
     filled = table.fillna(0.0, subset=["mean_sentence_length", "num_transparency"])
@@ -102,8 +101,7 @@ def _(t):
 
 def _fitted_logistic(t, **settings):
     matrix, train, test, target = _design(t)
-    weights = mt.balanced_weights(train, target).select(target, "weight")
-    ready = ml.training_rows(matrix, train.join(weights, target))
+    ready = ml.training_rows(matrix, mt.with_balanced_weight(train, target))
     model = ml.elastic_net(c=1.0, l1_ratio=0.5, n_rows=train.count(), max_iter=30, weight="weight", **settings).fit(ready)
     return model, matrix, train, test, target
 

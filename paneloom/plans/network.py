@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates as ag
 from ..operators import graph as gr
-from ..operators import joins as jn
-from ..operators.text import spread
 from .base import query
 
 # A "document" is an order; it mentions the suppliers and the customer's nation. Two
@@ -86,7 +83,8 @@ def nodes(t):
 
 
 def resolved(t):
-    return gr.resolve_edges(gr.extend_over_periods(links(t), "period"), nodes(t), "entity", "period")
+    """Kept: pruning reads the edges five times."""
+    return gr.resolve_edges(gr.extend_over_periods(links(t), "period"), nodes(t), "entity", "period").persist()
 
 
 @query("gr4_resolve_edges", f"with {_SQL_RESOLVED} select src, dst from resolved")
