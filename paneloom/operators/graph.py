@@ -55,9 +55,11 @@ def prune(nodes: DataFrame, edges: DataFrame, label: str, split: str) -> tuple[D
     """One round of joint pruning.
 
     Nodes with an edge; of these the classes with more than one training node; edges
-    whose ends survive; nodes that still have an edge.
+    whose ends survive; nodes that still have an edge. Edges and linked nodes are read
+    several times, so they are checkpointed.
     """
-    linked = in_either_end(nodes, edges)
+    edges = durable(edges)
+    linked = durable(in_either_end(nodes, edges))
     trained = linked.groupBy(label).agg(F.count_if(F.col(split) == "train").alias("_n")).where("_n > 1")
     classes = trained.agg(F.collect_set(label)).scalar()  # a short list, so no join on the class
     kept = linked.withColumn("_c", classes).where(F.array_contains("_c", F.col(label))).drop("_c")

@@ -186,9 +186,9 @@ def model_pairs(predictions: DataFrame, keys: Sequence[str], pairs: Sequence[tup
             F.max(F.when(F.col("side") == 1, F.col("truth"))).alias("truth"),
             F.max(F.when(F.col("side") == 1, F.col("prediction"))).alias("prediction_1"),
             F.max(F.when(F.col("side") == 2, F.col("prediction"))).alias("prediction_2"),
-            F.countDistinct("side").alias("_sides"),
+            F.bit_or("side").alias("_sides"),
         )
-        .where("_sides = 2")
+        .where("_sides = 3")
         .select(*keys, F.get(label, F.col("pair")).alias("_l"), "truth", "prediction_1", "prediction_2")
         .select(*keys, "_l.*", "truth", "prediction_1", "prediction_2")
     )
