@@ -9,14 +9,20 @@
    shape of a star: its smallest member against all others. Edges are confirmed on full sets.
 4. A star can miss a link between two members that its centre does not join. Buckets whose
    members that have not been centres lie in several components get further stars, with twice
-   as many centres each time, until none is left; members of one component are not compared again.
-
-With 40 bands of 6 rows a pair of similarity 0.8 shares no bucket with probability 6e-6.
+   as many centres each time, until none is left; members of one component are not compared
+   again, nor members whose set sizes alone rule a link out.
+5. Before sets are fetched, an edge must agree on enough bins of a second signature of 2048 bins
+   of one bit each (5 standard deviations below the wanted similarity). For the further stars
+   that is done where centres and blocks of a bucket's members meet, so no pair of a large
+   bucket becomes a row unless it may be a link.
+
+With 50 bands of 7 rows a pair of similarity 0.8 shares no bucket with probability 8e-6.
 Only edges, labels and single texts are shuffled; nothing is collected to the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +33,9 @@ from ..session import durable
 from .base import query, stored, table
 from .words import LOWER, M3, mix, runs, shingle_hashes, span_hashes, word_spans
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 50, 7
+SKETCH = 2048  # bins of the second signature, a bit each
+BLOCK = 4096  # members of a bucket that meet its centres in one group
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -98,25 +106,103 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def members_sets(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id, its sorted full set (64-bit hashes) and its second signature."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = _orders(SKETCH)
+        salts = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * M3)
+        for batch in batches:
+            sets, out = [], []
+            for hashes in shingle_sets(batch.column(1), size):
+                values = signature(np.sort(mix(hashes)), SKETCH, orders)
+                out.append(np.packbits((mix(values + salts) >> np.uint64(63)).astype(bool)).tobytes())
+                sets.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "hashes", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(sketch, "doc_id long, hashes binary, sketch binary")
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+def most_apart(percent: int) -> float:
+    """Bits that two second signatures may differ in if the sets may reach the similarity."""
+    p = (1 + percent / 100) / 2
+    return SKETCH * (1 - p + 5 * math.sqrt(max(p * (1 - p), 0.01) / SKETCH))
+
+
+def likely(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) whose second signatures allow the wanted similarity."""
+    most = most_apart(percent)
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.bitwise_count(_bits(batch.column(2)) ^ _bits(batch.column(3))).sum(1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+
+    rows = edges.join(sets.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    rows = rows.join(sets.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    return rows.select("a", "b", "sketch_a", "sketch_b").mapInArrow(agree, "a long, b long")
+
+
+def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Likely edges between the chosen centres of each bucket and its members of other components.
+
+    known, chosen: bucket, rep, n, label. sizes: bucket and the number of its members. Members are
+    dealt over groups of about ``BLOCK`` by a hash, the centres go to each group of their bucket.
+    """
+    most = most_apart(percent)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, key = [], None
+        for batch in batches:
+            bucket, block, role, rep, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            bits = _bits(batch.column(6))
+            edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
+            a, b = [], []
+            for i, j in zip([0, *edges], [*edges, len(batch)]) if len(batch) else ():
+                if key != (bucket[i], block[i]):
+                    centres, key = [], (bucket[i], block[i])
+                first = i + int(np.searchsorted(role[i:j], 1))
+                centres += [(rep[c], n[c], label[c], bits[c].copy()) for c in range(i, first)]
+                for c, size, of, sketch in centres:
+                    small, large = np.minimum(n[first:j], size), np.maximum(n[first:j], size)
+                    may = np.flatnonzero((label[first:j] != of) & (100 * small >= percent * large)) + first
+                    may = may[np.bitwise_count(bits[may] ^ sketch).sum(1, dtype=np.int64) <= most]
+                    a.append(np.minimum(rep[may], c))
+                    b.append(np.maximum(rep[may], c))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    blocks = sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    both = known.join(blocks, "bucket").select(
+        "bucket", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "rep", "n", "label"
+    ).unionAll(chosen.join(blocks, "bucket").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0), "rep", "n", "label"))
+    both = both.join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select("bucket", "block", "role", "rep", "n", "label", "sketch")
+    both = both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
+    return both.mapInArrow(meet, "a long, b long").distinct()
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
         for batch in batches:
-            left = batch.column(2)
             keep = np.zeros(len(batch), bool)
-            ids = batch.column(0).to_pylist()
-            for i, other in enumerate(shingle_sets(batch.column(3), size)):
-                if mine is None or ids[i] != last:  # rows come sorted by centre
-                    last, mine = ids[i], next(shingle_sets(left.slice(i, 1), size))
-                same = len(np.intersect1d(mine, other, assume_unique=True))
-                keep[i] = 100 * same >= percent * (len(mine) + len(other) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            for i, (one, two) in enumerate(zip(batch.column(2), batch.column(3))):
+                both = np.concatenate([np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                keep[i] = 100 * same >= percent * (len(both) - same)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    rows = edges.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+    rows = edges.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    rows = rows.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    return rows.select("a", "b", "hashes_a", "hashes_b").mapInArrow(confirm, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,19 +245,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = stored(placed.join(shared, "bucket").select("bucket", "rep", "n", "size", "centre"), "members")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes alone do not rule a link out, each once, smaller id first."""
-        return (
-            pairs.where(f"a <> b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
-
-    sizes = members.where("rep = centre").select("bucket", F.col("n").alias("n_a"))
-    first = fitting(members.join(sizes, "bucket").select(F.col("centre").alias("a"), "n_a", F.col("rep").alias("b"), F.col("n").alias("n_b")))
-    tested = stored(first, "tested")
-    links = durable(confirmed(tested, texts, shingle, percent))
+    texts = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = stored(members_sets(texts, shingle), "sets")
+
+    # The smallest member of each bucket against the others; sizes alone rule many links out.
+    sizes = members.where("rep = centre").select("bucket", F.col("n").alias("n_centre"))
+    tested = durable(
+        members.where("rep <> centre").join(sizes, "bucket")
+        .where(f"100 * least(n, n_centre) >= {percent} * greatest(n, n_centre)")
+        .select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    )
+    links = durable(confirmed(durable(likely(tested, sets, percent)), sets, percent))
     labels = components(links)
     # Members that have not been centres; a bucket of two is done.
     open_ = members.where("size > 2 and rep <> centre").select("bucket", "rep", "n")
@@ -179,16 +263,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     while True:
         known = open_.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
             "bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        split = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        known = durable(known.join(split, "bucket"))
+        split = known.groupBy("bucket").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
+        split = durable(split.select("bucket", "size"))
+        known = durable(known.join(split.select("bucket"), "bucket"))
         if known.isEmpty():
             break
         order = Window.partitionBy("bucket").orderBy("rep")
-        chosen = known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= centres).drop("at")
-        pairs = chosen.select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")).join(
-            known.select("bucket", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b")), "bucket")
-        new = durable(fitting(pairs.where("label_a <> label_b")).join(tested, ["a", "b"], "left_anti"))
-        more = durable(confirmed(new, texts, shingle, percent))
+        chosen = durable(known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= centres).drop("at"))
+        new = durable(meetings(known, chosen, split, sets, percent).join(tested, ["a", "b"], "left_anti"))
+        more = durable(confirmed(new, sets, percent))
         tested = tested.unionAll(new)
         if not more.isEmpty():
             links = links.unionAll(more)
@@ -198,8 +282,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     found = classes.select("set_a", "set_b", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
-    linked = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b", "n_shingles"], "left")
-    return linked.select(
+    judged = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b", "n_shingles"], "left")
+    return judged.select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
