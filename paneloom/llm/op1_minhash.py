@@ -8,8 +8,8 @@
 3. ``rows`` bins make a band, a band's values the key of a bucket. A bucket gives edges in the
    shape of a star: its smallest member against all others. Edges are confirmed on full sets.
 4. A star can miss a link between two members that its centre does not join. Buckets whose
-   members that have not been centres lie in several components get further stars, with twice
-   as many centres each time, until none is left; members of one component are not compared
+   members that have not been centres lie in several components get further stars, with 16
+   times as many centres each time, until none is left; members of one component are not compared
    again, nor members whose set sizes alone rule a link out.
 5. Before sets are fetched, an edge must agree on enough bins of a second signature of 2048 bins
    of one bit each (5 standard deviations below the wanted similarity). For the further stars
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     labels = components(links)
     # Members that have not been centres; a bucket of two is done.
     open_ = members.where("size > 2 and rep <> centre").select("bucket", "rep", "n")
-    centres = 2
+    centres = 32
     while True:
         known = open_.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
             "bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             links = links.unionAll(more)
             labels = components(links)
         open_ = known.join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n")
-        centres *= 2
+        centres *= 16
 
     found = classes.select("set_a", "set_b", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
