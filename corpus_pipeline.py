@@ -1,16 +1,86 @@
-"""A corpus pipeline of operators of ``paneloom.llm``; stages read what their predecessors wrote."""
+"""A corpus pipeline of operators of ``paneloom.llm``: each stage reads what its predecessor wrote.
+
+Language identification, near-duplicates, secrets, mixing, packing. All but the last stage
+return the columns of ``documents``; rows that they keep stay whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from paneloom.llm import op1_minhash, op4_language, op5_secrets, op6_packing, op8_mixing
+from paneloom.llm.base import settle, stored
+
+LEAST_SCORE = 0.5  # a language must be more likely than all others together
+MOST_BITS = 7.5  # a byte; a text that no learned language codes better than at random is in none
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*[f"`{c}`" for c in docs.columns])
+
+
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language: not ``und``, a clear best language, coded better than at random.
+
+    Learns from the labelled rows of ``docs`` that are not held out. Null and letterless texts go.
+    """
+    settle(spark)
+    found = op4_language.identify(docs, op4_language.learned(docs), _row(docs))
+    good = (F.col("lang_pred") != op4_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("bits_per_byte") <= MOST_BITS)
+    return _columns(found.where(good), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each class over shingles of five words, similarity 0.8.
+
+    Rows without doc_id stay; rows that repeat a kept doc_id and text stay.
+    """
+    settle(spark)
+    out = op1_minhash.near_duplicates(docs, shingle=5, percent=80)
+    dropped = out.where(~F.col("kept")).select(F.col("doc_id").alias("__doc_id")).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__doc_id"), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; secrets in their texts are replaced by a mark, n_chars follows."""
+    settle(spark)
+    return op5_secrets.redacted(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: sources by weights 1, 2, 3 in turn, at most 3 times."""
+    settle(spark)
+    # The copies are worked out on narrow rows and then brought to the documents.
+    numbered = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("nth"))
+    numbered = stored(numbered, "numbered")
+    narrow = numbered.select(
+        F.col("row").getField("doc_id").alias("doc_id"), F.col("row").getField("text").alias("text"),
+        F.col("row").getField("source").alias("source"), "nth")
+    copies = op8_mixing.mixed(narrow, keep=("nth",)).where("copies > 0").select("nth", "copies")
+    taken = numbered.join(copies, "nth").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return _columns(taken, docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    settle(spark)
+    return op6_packing.packed_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing),
+]
+# Code lengths, MinHash components and token ids are beyond SQL; tests/llm holds every stage against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
