@@ -8,9 +8,9 @@
 3. ``rows`` bins make a band, a band's values the key of a bucket. A bucket gives edges in the
    shape of a star: its smallest member against all others. Edges are confirmed on full sets.
 4. A star can miss a link between two members that its centre does not join. Buckets whose
-   members that have not been centres lie in several components get further stars, with 16
-   times as many centres each time, until none is left; members of one component are not compared
-   again, nor members whose set sizes alone rule a link out.
+   members that have not been centres lie in several components get further stars, around the
+   members of the smallest components, 16 times as many each time, until none is left; members
+   of one component are not compared again, nor those whose set sizes alone rule a link out.
 5. Before sets are fetched, an edge must agree on enough bins of a second signature of 2048 bins
    of one bit each (5 standard deviations below the wanted similarity). For the further stars
    that is done where centres and blocks of a bucket's members meet, so no pair of a large
@@ -269,8 +269,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         known = durable(known.join(split.select("bucket"), "bucket"))
         if known.isEmpty():
             break
-        order = Window.partitionBy("bucket").orderBy("rep")
-        chosen = durable(known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= centres).drop("at"))
+        # The smallest components of a bucket first: once theirs are done, one component is left.
+        share = known.groupBy("bucket", "label").agg(F.count("*").alias("share"))
+        order = Window.partitionBy("bucket").orderBy("share", "label", "rep")
+        chosen = known.join(share, ["bucket", "label"]).withColumn("at", F.row_number().over(order))
+        chosen = durable(chosen.where(F.col("at") <= centres).select("bucket", "rep", "n", "label"))
         new = durable(meetings(known, chosen, split, sets, percent).join(tested, ["a", "b"], "left_anti"))
         more = durable(confirmed(new, sets, percent))
         tested = tested.unionAll(new)
