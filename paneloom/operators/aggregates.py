@@ -70,12 +70,17 @@ def missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return _long(df.agg(*aggs), cols, ("n_missing", "share_missing"))
 
 
-def crosstab(df: DataFrame, row: str, col: str, values: Sequence) -> DataFrame:
+def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = None, other: str = "other") -> DataFrame:
     """Matrix of counts, zero where a combination does not occur.
 
-    ``values`` are the column headings; giving them saves the pass that looks them up.
+    The column headings are the values found. Giving them saves the pass that looks them
+    up; values that are not among them (nulls too) are then counted in the column ``other``.
     """
-    return df.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).fillna(0)
+    if values is None:
+        return df.groupBy(row).pivot(col).agg(F.count(F.lit(1))).fillna(0)
+    listed = F.when(F.col(col).isin(list(values)), F.col(col)).otherwise(F.lit(other))
+    return df.groupBy(row, listed.alias("_listed")).agg(F.count(F.lit(1)).alias("_n")).groupBy(row).pivot(
+        "_listed", [*values, other]).agg(F.sum("_n")).fillna(0)
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:

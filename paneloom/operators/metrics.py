@@ -84,11 +84,25 @@ def ordinal_shares(pred: DataFrame, codes: Mapping[str, int], within: int = 1, b
     )
 
 
-def confusion(pred: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Confusion matrix with every class as row and column, zero-filled."""
-    counts = pred.groupBy("truth").pivot("prediction", list(classes)).agg(F.count(F.lit(1)))
-    rows = pred.sparkSession.createDataFrame([(c,) for c in classes], "truth string")
-    return rows.join(counts, "truth", "left").fillna(0)
+def confusion(pred: DataFrame, classes: Sequence[str] | None = None, by: Sequence[str] = (), other: str = "other") -> DataFrame:
+    """Confusion matrix, per group of ``by``, with every class as row and column, zero-filled.
+
+    The classes are those found in truth or prediction. Where a list is given, whatever is
+    not on it (nulls too) is counted under ``other``.
+    """
+    cells = pred.groupBy(*by, "truth", "prediction").agg(F.count(F.lit(1)).alias("_n"))
+    if classes is None:
+        found = cells.select("truth").union(cells.select("prediction")).distinct().where("truth is not null")
+        heads = sorted(r[0] for r in found.collect())  # classes, of which there are few
+    else:
+        heads = [*classes, other]
+        for c in ("truth", "prediction"):
+            cells = cells.withColumn(c, F.when(F.col(c).isin(list(classes)), F.col(c)).otherwise(F.lit(other)))
+    counts = cells.groupBy(*by, "truth").pivot("prediction", heads).agg(F.sum("_n"))
+    rows = pred.sparkSession.createDataFrame([(c,) for c in heads], "truth string")
+    if by:
+        rows = pred.select(*by).distinct().crossJoin(F.broadcast(rows))  # a row for each class
+    return rows.join(counts, [*by, "truth"], "left").fillna(0)
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -144,9 +158,22 @@ def mcnemar_p_values(only_1: int, only_2: int) -> dict[str, float | None]:
         return {"plain": None, "corrected": None, "exact": None}
     plain = math.erfc(math.sqrt(gap**2 / n / 2))
     corrected = math.erfc(math.sqrt((gap - 1) ** 2 / n / 2))
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) for k in range(min(only_1, only_2) + 1)]
-    tail = math.fsum(math.exp(x - n * math.log(2)) for x in logs)
-    return {"plain": plain, "corrected": corrected, "exact": min(1.0, 2 * tail)}
+    return {"plain": plain, "corrected": corrected, "exact": min(1.0, 2 * _lower_tail(min(only_1, only_2), n))}
+
+
+def _lower_tail(k: int, n: int) -> float:
+    """P(X <= k) of a fair binomial of n, for k up to n / 2.
+
+    The terms fall by the factor j / (n - j + 1) from k downwards, so the sum stops after a
+    number of terms that does not grow with n beyond the square root.
+    """
+    term = total = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    for j in range(k, 0, -1):
+        term *= j / (n - j + 1)
+        total += term
+        if term < total * 1e-17:
+            break
+    return total
 
 
 def mcnemar(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

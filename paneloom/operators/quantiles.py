@@ -1,12 +1,11 @@
 """Exact quantiles of many columns at any size.
 
-A short column goes through ``percentile``, which holds its distinct values in memory.
-A longer one has its distinct values counted (map-side combined) and the wanted ranks
-read off their running count, which sorts and spills like any window. Beyond that the value range that must contain each wanted rank is narrowed by
-passes of ``percentile_approx`` (one aggregate for all columns and levels; each pass
-shrinks a range about ``ACCURACY / 4`` fold, by its guaranteed rank error), until a
-range holds few enough values. A range is verified by counting, so a bad bracket costs
-another pass and never a wrong result. Only bounds and results reach the driver.
+The value range that must contain each wanted rank is narrowed by passes of
+``percentile_approx`` (one aggregate for all columns and levels; each pass shrinks a range
+about ``ACCURACY / 4`` fold, by its guaranteed rank error), until it holds few enough values
+to be counted and sorted in one task. A range is verified by counting, so a bad bracket
+costs another pass and never a wrong result. Only bounds and results reach the driver.
+Every column takes this one path; how many passes it needs does not change a value.
 """
 
 from __future__ import annotations
@@ -16,10 +15,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# Values of one column that ``percentile`` may hold in memory.
-TINY = 250_000
-# Values of one column that may be sorted (and spilled) in one task.
-SMALL = 10_000_000
+# Values of one column that may be sorted in one task.
+SMALL = 500_000
 ACCURACY = 10_000
 
 
@@ -29,6 +26,11 @@ def _interpolated(n: int, p: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), position - low
 
 
+def _between(low: float, high: float, part: float) -> float:
+    """The point between two neighbours; equal ones (also infinities) are returned as they are."""
+    return low if low == high or not part else (1 - part) * low + part * high
+
+
 def _inside(c: str, lo, hi):
     test = F.col(c).isNotNull()
     return test if lo is None else test & (F.col(c) >= lo) & (F.col(c) <= hi)
@@ -132,27 +134,22 @@ def _split(df: DataFrame, c: str, k: int, bracket: tuple) -> tuple:
 def quantiles(
     df: DataFrame,
     levels: Mapping[str, Sequence[float]],
-    tiny: int = TINY,
     small: int = SMALL,
     accuracy: int = ACCURACY,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated exact quantiles per column (runs the aggregates now)."""
+    """Linearly interpolated exact quantiles per column (runs the aggregates now).
+
+    Infinities are values like others: between equal neighbours no sum is formed.
+    """
     cols = list(levels)
     counted = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     sizes = dict(zip(cols, counted))
     out: dict[str, list[float | None]] = {c: [None] * len(levels[c]) for c in cols}
-    held = [c for c in cols if 0 < sizes[c] <= tiny]
-    if held:
-        exact = [F.percentile(c, list(map(float, levels[c]))).alias(f"q{i}") for i, c in enumerate(held)]
-        out.update({c: list(q) for c, q in zip(held, df.agg(*exact).first())})
-    places = {c: [_interpolated(sizes[c], p) for p in levels[c]] for c in cols if sizes[c] > tiny}
+    places = {c: [_interpolated(sizes[c], p) for p in levels[c]] for c in cols if sizes[c]}
     want = {c: sorted({k for lo, hi, _ in ps for k in (lo, hi)}) for c, ps in places.items()}
     stats = _select(df, want, sizes, small, accuracy)
     for c, ps in places.items():
-        out[c] = [
-            float(stats[c, lo] + (stats[c, hi] - stats[c, lo]) * part if part else stats[c, lo])
-            for lo, hi, part in ps
-        ]
+        out[c] = [_between(float(stats[c, lo]), float(stats[c, hi]), part) for lo, hi, part in ps]
     return out
 
 

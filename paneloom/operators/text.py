@@ -49,15 +49,6 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: s.rlike(WORD_CHAR))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a small file would be read by fewer tasks than cores.
-
-    For a plain scan: a table with enough input splits (any large one) is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def computed_once(df: DataFrame, **values: Column) -> DataFrame:
     """Add columns that later filters use but must not compute again.
 
@@ -199,16 +190,21 @@ def tone_ratios(counts: DataFrame) -> DataFrame:
     return counts.withColumns({n: ratio(F.col(a), F.col(b)) for n, (a, b) in TONE_PAIRS.items()})
 
 
-def label_positivity(labelled: DataFrame, key: str, label: str, failed: str | None = None) -> DataFrame:
+def label_positivity(
+    labelled: DataFrame, key: str, label: str, failed: str | None = None, docs: DataFrame | None = None
+) -> DataFrame:
     """Net positivity of a document from its sentence labels.
 
-    log10((positive + 1) / (negative + 1)); -1 where a sentence is marked as failed.
+    log10((positive + 1) / (negative + 1)); -1 where a sentence is marked as failed. With
+    ``docs`` each of its keys gets a row: a document without sentences has score 0.
     """
     sums = labelled.groupBy(key).agg(
         F.count_if(F.col(label) == "Positive").alias("n_positive"),
         F.count_if(F.col(label) == "Negative").alias("n_negative"),
         F.count_if(F.col(label) == failed if failed else F.lit(False)).alias("_failed"),
     )
+    if docs is not None:
+        sums = docs.select(key).join(sums, key, "left").fillna(0, subset=["n_positive", "n_negative", "_failed"])
     score = smoothed_log_ratio(F.col("n_positive"), F.col("n_negative"))
     return sums.withColumn("score", F.when(F.col("_failed") > 0, -1.0).otherwise(score)).drop("_failed")
 
@@ -365,15 +361,19 @@ def mentions(
     key: str,
     name: str = "name",
     text: str = "text",
-    max_words: int = 4,
 ) -> DataFrame:
-    """Occurrences of each listed name (1 to ``max_words`` words) per document.
+    """Occurrences of each listed name per document.
 
-    Each position of a document gives its next ``max_words`` words. With a name list of
-    checked size, positions whose first word starts no name are dropped at once and the
-    remaining runs are tested where they are read; only counts of hits are shuffled.
-    Otherwise runs are counted per document before they meet the list.
+    Names are split into words as texts are, so marks inside a name do not matter, and the
+    longest name gives the number of words that each position of a document looks ahead.
+    With a name list of checked size, positions whose first word starts no name are dropped
+    at once and the remaining runs are tested where they are read; only counts of hits are
+    shuffled. Otherwise runs are counted per document before they meet the list.
     """
+    listed = names.select(F.upper(name).alias("company_mentioned")).distinct()
+    listed = listed.withColumn("_words", words(tokens(F.col("company_mentioned")))).where(F.size("_words") > 0)
+    max_words = listed.agg(F.max(F.size("_words"))).first()[0] or 1
+    listed = listed.select("company_mentioned", F.concat_ws(" ", "_words").alias("_run"), F.col("_words")[0].alias("_w1"))
     upper = F.transform(words(tokens(F.col(text))), lambda w: F.upper(w))
     at = [f"_w{i}" for i in range(1, max_words + 1)]
     ahead = [F.col("_w"), *[F.slice("_w", i, F.size("_w")) for i in range(2, max_words + 1)]]
@@ -382,15 +382,15 @@ def mentions(
         F.col("_w1"),
         *[F.when(F.col(at[n - 1]).isNotNull(), F.concat_ws(" ", *at[:n])) for n in range(2, max_words + 1)],
     )
-    run = F.explode(F.array_compact(runs)).alias("company_mentioned")
-    listed = names.select(F.upper(name).alias("company_mentioned")).distinct()
+    run = F.explode(F.array_compact(runs)).alias("_run")
+    starts, listed = listed.select("_w1").distinct(), listed.drop("_w1")
     if broadcastable(listed):
-        starts = listed.select(F.split("company_mentioned", " ")[0].alias("_w1")).distinct()
         found = positions.join(F.broadcast(starts), "_w1", "left_semi").select(key, run)
-        hits = found.join(F.broadcast(listed), "company_mentioned", "left_semi")
+        hits = found.join(F.broadcast(listed), "_run")
         return hits.groupBy(key, "company_mentioned").agg(F.count("*").alias("n"))
-    counted = positions.select(key, run).groupBy(key, "company_mentioned").agg(F.count("*").alias("n"))
-    return counted.join(listed, "company_mentioned", "left_semi").select(key, "company_mentioned", "n")
+    near = positions.join(starts, "_w1", "left_semi").select(key, run)
+    counted = near.groupBy(key, "_run").agg(F.count("*").alias("n"))
+    return counted.join(listed, "_run").select(key, "company_mentioned", "n")
 
 
 def link_mentions(found: DataFrame, names: DataFrame, panel: DataFrame, key: str) -> DataFrame:

@@ -89,7 +89,7 @@ def _(t):
     select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as "F", count(*) filter (where o_orderstatus = 'O') as "O",
         count(*) filter (where o_orderstatus = 'P') as "P" from orders group by 1""")
 def _(t):
-    return ag.crosstab(t.orders, "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+    return ag.crosstab(t.orders, "o_orderpriority", "o_orderstatus")
 
 
 _SPARSE = "select nullif(o_orderstatus, 'P') as status, case when o_totalprice > 100000 then o_totalprice end as price, o_custkey as customer from orders"

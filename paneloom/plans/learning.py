@@ -73,7 +73,7 @@ def _(t):
 
 def document_table(t):
     """Labelled documents with their text features, split by hash."""
-    d = tx.spread(t.documents.select("doc_id", "text"))
+    d = t.documents.select("doc_id", "text")
     f = tx.text_features(d.join(t.labels, "doc_id", "left_semi"), "doc_id")
     attrs = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
     table = f.join(attrs, "doc_id").withColumn("quality", F.col("quality").cast("string"))
@@ -212,10 +212,12 @@ def _(t):
 
 
 @query("ml14_confusion", f"""
-    with {SQL_PREDICTIONS}, p as (select * from predictions where model = 'size')
-    select truth, {", ".join(f'''count(*) filter (where prediction = '{c}') as "{c}"''' for c in _CLASSES)} from p group by truth""")
+    with {SQL_PREDICTIONS}, p as (select * from predictions), m as (select distinct model from p),
+    c as (select truth as c from p union select prediction from p)
+    select m.model, c.c as truth, {", ".join(f'''count(*) filter (where prediction = '{c}') as "{c}"''' for c in _CLASSES)}
+    from m cross join c left join p on p.model = m.model and p.truth = c.c group by 1, 2""")
 def _(t):
-    return mt.confusion(predictions(t).where("model = 'size'"), _CLASSES)
+    return mt.confusion(predictions(t), by=["model"])
 
 
 def _shared_model(t):

@@ -10,15 +10,15 @@ from .base import query
 # A "document" is an order; it mentions the suppliers and the customer's nation. Two
 # suppliers are linked by the orders that the one with the smaller key opens (line 1).
 _SQL_MENTIONS = """mentions as (
-    select o_custkey % 40 as a, l_suppkey % 40 as b, cast(date_trunc('year', o_orderdate) as date) as period, count(*) as n
-    from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 30 group by 1, 2, 3)"""
+    select o_custkey as a, l_suppkey as b, cast(date_trunc('year', o_orderdate) as date) as period, count(*) as n
+    from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3)"""
 
 
 def mention_rows(t):
-    li, o = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity"), t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    li, o = t.lineitem.select("l_orderkey", "l_suppkey"), t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     return (
-        li.where("l_quantity >= 30").join(o, li.l_orderkey == o.o_orderkey)
-        .groupBy((F.col("o_custkey") % 40).alias("a"), (F.col("l_suppkey") % 40).alias("b"),
+        li.join(o, li.l_orderkey == o.o_orderkey)
+        .groupBy(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b"),
                  F.trunc(F.to_date("o_orderdate"), "year").alias("period"))
         .agg(F.count("*").alias("n")))
 
@@ -46,16 +46,15 @@ def _(t):
                     gr.node_label(F.col("dst"), F.col("period"), ":").alias("dst"), "weight")
 
 
-# Links that occur in few orders, so that not every link has every period.
 _SQL_LINKS = """links as (
     select distinct o_custkey as src, l_suppkey as dst, cast(date_trunc('year', o_orderdate) as date) as period
-    from lineitem join orders on l_orderkey = o_orderkey where l_quantity = 50 and l_suppkey <> o_custkey)"""
+    from lineitem join orders on l_orderkey = o_orderkey where l_suppkey <> o_custkey)"""
 
 
 def links(t):
-    li, o = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity"), t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    li, o = t.lineitem.select("l_orderkey", "l_suppkey"), t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     return (
-        li.where("l_quantity = 50").join(o, li.l_orderkey == o.o_orderkey)
+        li.join(o, li.l_orderkey == o.o_orderkey)
         .select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), F.trunc(F.to_date("o_orderdate"), "year").alias("period"))
         .where("src <> dst").distinct())
 
@@ -70,14 +69,14 @@ def _(t):
 
 _SQL_NODES = """nodes as (
     select distinct o_custkey as entity, cast(date_trunc('year', o_orderdate) as date) as period,
-        concat(o_custkey, ' : ', cast(date_trunc('year', o_orderdate) as date)) as node from orders where o_orderstatus <> 'P')"""
+        concat(o_custkey, ' : ', cast(date_trunc('year', o_orderdate) as date)) as node from orders)"""
 _SQL_RESOLVED = f"""{_SQL_EXTENDED}, {_SQL_NODES}, resolved as (
     select a.node as src, b.node as dst from extended e join nodes a on e.src = a.entity and e.period = a.period
     join nodes b on e.dst = b.entity and e.period = b.period)"""
 
 
 def nodes(t):
-    n = t.orders.where("o_orderstatus <> 'P'").select(
+    n = t.orders.select(
         F.col("o_custkey").alias("entity"), F.trunc(F.to_date("o_orderdate"), "year").alias("period")).distinct()
     return n.withColumn("node", gr.node_label(F.col("entity"), F.col("period")))
 
@@ -161,11 +160,11 @@ def _(t):
 
 
 @query("gr10_enrich_nodes", """
-    with n as (select distinct l_suppkey % 120 as node from lineitem)
+    with n as (select l_suppkey as node from lineitem union select o_custkey from orders)
     select node, coalesce(s_name, cast(node as varchar)) as name, n_name as sector from n
     left join supplier on node = s_suppkey left join nation on s_nationkey = n_nationkey""")
 def _(t):
-    n = t.lineitem.select((F.col("l_suppkey") % 120).alias("node")).distinct()
+    n = t.lineitem.select(F.col("l_suppkey").alias("node")).union(t.orders.select("o_custkey")).distinct()
     s = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").alias("node"), "s_name", F.col("n_name").alias("sector"))
     return n.join(s, "node", "left").select("node", F.coalesce("s_name", F.col("node").cast("string")).alias("name"), "sector")

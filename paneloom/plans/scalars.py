@@ -380,9 +380,9 @@ def _(t):
 
 @query("st1_mixed_sort", """
     select o_custkey, cast(o_orderdate as date) as day, o_orderkey from orders
-    order by o_custkey asc, o_orderdate desc, o_orderkey asc limit 500""")
+    order by o_custkey asc, o_orderdate desc, o_orderkey asc""")
 def _(t):
-    return t.orders.orderBy(F.asc("o_custkey"), F.desc("o_orderdate"), F.asc("o_orderkey")).limit(500).select(
+    return t.orders.orderBy(F.asc("o_custkey"), F.desc("o_orderdate"), F.asc("o_orderkey")).select(
         "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderkey")
 
 
@@ -405,7 +405,7 @@ def _(t):
     select word, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents)
     group by word order by n desc, word limit 25""")
 def _(t):
-    found = tx.spread(t.documents.select("text")).select(
+    found = t.documents.select("text").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return ag.top_values(found, "word", 25)
 

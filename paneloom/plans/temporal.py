@@ -77,14 +77,13 @@ def _(t):
 
 @query("wn7_fill_forward", """
     with daily as (select user_id, cast(ts as date) as day, arg_max(value, (ts, event_id)) as value from events
-        where event_type = 'purchase' and cast(ts as date) between date '2024-01-01' and date '2024-01-31' group by 1, 2),
+        where cast(ts as date) between date '2024-01-01' and date '2024-01-31' group by 1, 2),
     grid as (select user_id, cast(unnest(generate_series(date '2024-01-01', date '2024-01-31', interval 1 day)) as date) as day from (select distinct user_id from daily)),
     filled as (select g.user_id, g.day, last_value(value ignore nulls) over (partition by g.user_id order by g.day rows unbounded preceding) as value
         from grid g left join daily d on g.user_id = d.user_id and g.day = d.day)
     select * from filled where value is not null""")
 def _(t):
-    bought = t.events.where("event_type = 'purchase'")
-    return wn.fill_forward(bought, "user_id", "ts", "value", date(2024, 1, 1), date(2024, 1, 31), ["event_id"])
+    return wn.fill_forward(t.events, "user_id", "ts", "value", date(2024, 1, 1), date(2024, 1, 31), ["event_id"])
 
 
 @query("wn8_group_statistic", """
@@ -156,5 +155,5 @@ def _(t):
     left join (select doc_id, island, count(*) as n from f group by 1, 2) r on d.doc_id = r.doc_id group by d.doc_id""")
 def _(t):
     ws = tx.words(tx.tokens(F.col("text")))
-    docs = tx.spread(t.documents.select("doc_id", "text")).select("doc_id", ws.alias("ws"))
+    docs = t.documents.select("doc_id", "text").select("doc_id", ws.alias("ws"))
     return docs.select("doc_id", longest_run(F.col("ws"), lambda w: w.rlike(tx.CAPITALISED)).alias("run"))

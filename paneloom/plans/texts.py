@@ -17,7 +17,7 @@ _COUNTS = f"word_counts as (select doc_id, lower(unnest({sql_words()})) as word,
 
 
 def docs(t):
-    return tx.spread(t.documents)
+    return t.documents
 
 
 def text_docs(t):
@@ -129,10 +129,11 @@ def _(t):
     pw as (select doc_id, i, lower(unnest({sql_words("s")})) as word from parts),
     b as (select doc_id, i, sum(coalesce(sign, 0)) as b from pw left join polar using (word) group by 1, 2),
     c as (select doc_id, count(*) filter (where b > 0) as n_positive, count(*) filter (where b < 0) as n_negative from b group by 1)
-    select doc_id, n_positive, n_negative, round(log10((n_positive + 1.0) / (n_negative + 1.0)), 6) as score from c""")
+    select doc_id, coalesce(n_positive, 0) as n_positive, coalesce(n_negative, 0) as n_negative,
+        round(log10((coalesce(n_positive, 0) + 1.0) / (coalesce(n_negative, 0) + 1.0)), 6) as score from documents left join c using (doc_id)""")
 def _(t):
     labels = tx.sentence_labels(text_docs(t), lexicon(t), "doc_id")
-    out = tx.label_positivity(labels, "doc_id", "label")
+    out = tx.label_positivity(labels, "doc_id", "label", docs=t.documents)
     return out.withColumn("score", F.round("score", 6))
 
 
