@@ -19,13 +19,6 @@ def longest_run(items: Column, predicate: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.array_max(runs), F.lit(0))
 
 
-def ngrams(items: Column, n: int) -> Column:
-    """All runs of ``n`` consecutive items joined by one blank (empty when too short)."""
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.coalesce(grams, F.array().cast("array<string>"))
-
-
 def char_grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter text is its own single gram."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))

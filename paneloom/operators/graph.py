@@ -174,8 +174,9 @@ def similarity_edges(
     blocks and emits only what is asked for: first a histogram of the cosines, then the
     values of the one or two bins that hold the wanted ranks, then the pairs that
     qualify. No pair below the threshold leaves its task, and no task holds more than
-    two blocks.
+    two blocks. Null vectors and those of length zero have no direction: they take no part.
     """
+    vectors = vectors.where(F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False)))
     n = vectors.count()
     blocks = max(1, math.ceil(n / block_rows))
     spread = _blocks(vectors, id_, vec, blocks)

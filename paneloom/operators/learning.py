@@ -24,6 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import durable
 from .positions import hash_positions, key_hash
 from .windows import class_map
 
@@ -84,7 +85,8 @@ def design_matrix(numeric: Sequence[str], categorical: Sequence[str], target: st
         hot = [f"{c}__hot" for c in categorical]
         stages += [
             StringIndexer(inputCols=list(categorical), outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep", dropLast=True),
+            # The indexer gives unseen values the last code, which is the slot that is dropped.
+            OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True),
         ]
     else:
         hot = []
@@ -117,11 +119,11 @@ def class_labels(matrix: PipelineModel) -> list[str]:
     return list(next(s for s in reversed(matrix.stages) if hasattr(s, "labels")).labels)
 
 
-def elastic_net(c: float = 1.0, l1_ratio: float = 0.0, n_rows: int | None = None, max_iter: int = 50, one_vs_rest: bool = False, weight: str | None = None) -> Estimator:
-    """Logistic classifier; inverse strength ``c`` becomes a penalty of 1 / (c * n)."""
+def elastic_net(n_rows: int, c: float = 1.0, l1_ratio: float = 0.0, max_iter: int = 50, one_vs_rest: bool = False, weight: str | None = None) -> Estimator:
+    """Logistic classifier; inverse strength ``c`` becomes a penalty of 1 / (c * n_rows)."""
     lr = LogisticRegression(
         maxIter=max_iter,
-        regParam=1.0 / (c * n_rows) if n_rows else 1.0 / c,
+        regParam=1.0 / (c * n_rows),
         elasticNetParam=l1_ratio,
         family="auto" if one_vs_rest else "multinomial",
     )
@@ -234,7 +236,7 @@ def smote(
         extra = target - have
         if extra <= 0 or have < 2:
             continue
-        members = hash_positions(df.where(F.col(label) == name).select(key, features), [key], seed=seed, out="_pos")
+        members = durable(hash_positions(df.where(F.col(label) == name).select(key, features), [key], seed=seed, out="_pos"))
         draws = df.sparkSession.range(extra).select(
             F.col("id").alias("_draw"),
             F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(have)).alias("_pos"),
@@ -277,9 +279,9 @@ def _nearest(seeds: DataFrame, members: DataFrame, features: str, k: int, blocks
         p, q = left["_pos"].to_numpy(), right["_pos"].to_numpy()
         d[p[:, None] == q[None, :]] = np.inf
         keep = min(k, d.shape[1])
-        idx = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-        dist = np.take_along_axis(d, idx, 1).ravel()
-        out = pd.DataFrame({"_seed": np.repeat(p, keep), "_other": q[idx].ravel(), "_d": dist})
+        # All that are as near as the k-th: which of equals stays is decided over all blocks.
+        i, j = np.nonzero(d <= np.partition(d, keep - 1, axis=1)[:, keep - 1: keep])
+        out = pd.DataFrame({"_seed": p[i], "_other": q[j], "_d": d[i, j]})
         return out[np.isfinite(out["_d"])]
 
     pairs = a.unionByName(b).groupBy("bi", "bj").applyInPandas(compare, "_seed long, _other long, _d double")

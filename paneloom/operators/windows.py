@@ -23,9 +23,13 @@ def neighbours(
     previous: Sequence[str] = (),
     following: Sequence[str] = (),
     span: str | Column = "year",
+    flag: str | None = None,
 ) -> DataFrame:
     """Add ``previous_<c>`` and ``next_<c>``: the value in the row before/after.
 
+    With ``flag``, a column of that name says whether there is a row before (``previous``
+    is then needed); a null previous value alone does not tell.
+
     ``order`` must be total within ``key``; key columns and ``order[0]`` are not null.
     ``span`` is the unit that ``order[0]`` (a date) is cut by, or any expression that
     never decreases along ``order``. The rows are shuffled once, by (key, span).
@@ -54,6 +58,8 @@ def neighbours(
         before = F.coalesce(F.lag(F.struct(*previous)).over(inside), F.col("_before"))
         out = out.withColumn("_p", before)
         new.update({f"previous_{c}": F.col("_p")[c] for c in previous})
+        if flag:
+            new[flag] = F.col("_p").isNotNull()
     if following:
         after = F.coalesce(F.lead(F.struct(*following)).over(inside), F.col("_after"))
         out = out.withColumn("_n", after)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_folder
+from ..session import apply_settings, shared_folder
 from ..sources.readers import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +18,11 @@ def query(name: str, sql: str | None = None):
     """Register ``f(tables) -> DataFrame`` under ``name``."""
 
     def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            apply_settings(spark)
+            return f(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = textwrap.dedent(sql).strip()
         return f

@@ -102,7 +102,7 @@ def _(t):
 def _fitted_logistic(t, **settings):
     matrix, train, test, target = _design(t)
     ready = ml.training_rows(matrix, mt.with_balanced_weight(train, target))
-    model = ml.elastic_net(c=1.0, l1_ratio=0.5, n_rows=train.count(), max_iter=30, weight="weight", **settings).fit(ready)
+    model = ml.elastic_net(train.count(), c=1.0, l1_ratio=0.5, max_iter=30, weight="weight", **settings).fit(ready)
     return model, matrix, train, test, target
 
 
@@ -122,7 +122,7 @@ def _(t):
 def _(t):
     matrix, train, _test, _target = _design(t)
     ready = ml.training_rows(matrix, train).select("features", "label").persist()
-    estimator = ml.elastic_net(max_iter=10)
+    estimator = ml.elastic_net(ready.count(), max_iter=10)
     found = ml.grid_search(estimator, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 1.0]}, ready, folds=5)
     rows = ml.grid_results(found, ["regParam", "elasticNetParam"])
     return t.spark.createDataFrame(rows, "regParam double, elasticNetParam double, accuracy double")
@@ -309,7 +309,7 @@ def _(t):
 def _board(t):
     matrix, train, test, _target = _design(t)
     models = {
-        "logistic": (ml.elastic_net(c=1.0, max_iter=20), {"c": 1.0, "max_iter": 20}),
+        "logistic": (ml.elastic_net(train.count(), c=1.0, max_iter=20), {"c": 1.0, "max_iter": 20}),
         "forest": (ml.forest(trees=10, depth=4), {"trees": 10, "depth": 4}),
     }
     ready = ml.training_rows(matrix, train).select("features", "label").persist()

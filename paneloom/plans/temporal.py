@@ -33,14 +33,14 @@ def _(t):
 
 
 _SQL_TYPED = f"""{SQL_RATINGS}, typed as (
-    select *, lag(grade) {_W} as pg, lag(rank) {_W} as pr from ratings),
-    kinds as (select *, case when pg is null then 'Ambiguous' when grade = pg then 'Affirmation' when rank > pr then 'Upgrade'
+    select *, lag(grade) {_W} as pg, lag(rank) {_W} as pr, lag(1) {_W} as before from ratings),
+    kinds as (select *, case when before is null then 'Ambiguous' when grade is not distinct from pg then 'Affirmation' when rank > pr then 'Upgrade'
         when rank < pr then 'Downgrade' else 'Change' end as kind from typed)"""
 
 
 def _typed(t):
-    out = wn.neighbours(ratings(t), KEY, ORDER, previous=["grade", "rank"])
-    return out.withColumn("kind", wn.event_type())
+    out = wn.neighbours(ratings(t), KEY, ORDER, previous=["grade", "rank"], flag="has_previous")
+    return out.withColumn("kind", wn.event_type(first=~F.col("has_previous")))
 
 
 @query("wn3_event_type", f"with {_SQL_TYPED} select agency, entity, tie, grade, kind from kinds")

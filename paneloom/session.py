@@ -40,6 +40,12 @@ def build_session(
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Put ``SQL_CONF`` on a session that somebody else built."""
+    for name, value in SQL_CONF.items():
+        spark.conf.set(name, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 

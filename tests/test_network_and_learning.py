@@ -119,7 +119,7 @@ def test_metrics_edge_cases(spark):
     s = mt.summary(p).first()
     assert s["accuracy"] == 0.4 and s["majority_share"] == 0.4 and s["weighted_f1"] == pytest.approx(0.4)
     cm = {r["truth"]: r.asDict() for r in mt.confusion(p, ["a", "b", "c", "z"]).collect()}
-    assert cm["z"] == {"truth": "z", "a": 0, "b": 0, "c": 0, "z": 0} and cm["b"]["z"] == 1
+    assert cm["z"] == {"truth": "z", "a": 0, "b": 0, "c": 0, "z": 0, "other": 0} and cm["b"]["z"] == 1
 
 
 def test_mcnemar_values():
@@ -160,3 +160,35 @@ def test_first_component_sign_and_scale(spark):
     w = np.linalg.svd(z, full_matrices=False)[2][0]
     expect = z @ (w if w[np.argmax(abs(w))] > 0 else -w)
     np.testing.assert_allclose([got[i] for i in range(200)], expect, atol=1e-8)
+
+
+def test_confusion_and_crosstab_lose_nothing(spark):
+    from paneloom.operators import aggregates as ag
+
+    p = spark.createDataFrame([("m", "a", "a"), ("m", "a", "x"), ("n", None, "b"), ("n", "c", "a")], "model string, truth string, prediction string")
+    listed = mt.confusion(p, ["a", "b"]).collect()
+    assert sum(r["a"] + r["b"] + r["other"] for r in listed) == 4
+    found = {(r["model"], r["truth"]): (r["a"], r["b"], r["c"], r["x"]) for r in mt.confusion(p, by=["model"]).collect()}
+    assert found["m", "a"] == (1, 0, 0, 1) and found["n", "c"] == (1, 0, 0, 0) and len(found) == 8
+    table = {r["model"]: r.asDict() for r in ag.crosstab(p, "model", "prediction", ["a"]).collect()}
+    assert table == {"m": {"model": "m", "a": 1, "other": 1}, "n": {"model": "n", "a": 1, "other": 1}}
+    assert set(ag.crosstab(p, "model", "prediction").columns) == {"model", "a", "b", "x"}
+
+
+def test_unseen_categories_are_zeros(spark):
+    rows = spark.createDataFrame([(1.0, "a", "y"), (2.0, "b", "n"), (3.0, "c", "y")], "x double, c string, t string")
+    matrix = ml.design_matrix(["x"], ["c"], "t").fit(rows)
+    new = spark.createDataFrame([(2.0, "zzz", "y"), (2.0, "b", "n")], "x double, c string, t string")
+    unseen, known = [list(r["features"].toArray()) for r in matrix.transform(new).collect()]
+    assert unseen == [0.0, 0.0, 0.0, 0.0] and known == [0.0, 0.0, 1.0, 0.0]
+
+
+def test_vectors_without_direction_have_no_edges(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, [0.0, 1.0])], "id int, v array<double>")
+    assert [(r["src"], r["dst"]) for r in gr.similarity_edges(v, "id", "v", quantile=None, at_least=0.9).collect()] == [(1, 2)]
+
+
+def test_exact_p_value_of_many_disagreements():
+    many = mt.mcnemar_p_values(2_000_000, 2_001_000)
+    assert many["exact"] == pytest.approx(many["corrected"], rel=1e-3)
+    assert mt.mcnemar_p_values(10**9, 10**9 - 10)["exact"] <= 1.0

@@ -33,7 +33,8 @@ def test_history_rules(spark):
         ("S", "x", D(2011, 1, 1), 4, "BB", 6), ("S", "x", D(2012, 1, 1), 5, "NR", None), ("S", "x", D(2013, 1, 1), 6, "AA", 9),
         ("M", "x", D(2010, 2, 2), 7, "AA", 9), ("M", "x", D(2013, 2, 2), 8, "AAA", 10)]
     df = spark.createDataFrame(data, "agency string, entity string, day date, tie int, grade string, rank int")
-    out = wn.neighbours(df, ["agency", "entity"], ["day", "tie"], previous=["grade", "rank"]).withColumn("kind", wn.event_type())
+    out = wn.neighbours(df, ["agency", "entity"], ["day", "tie"], previous=["grade", "rank"], flag="earlier").withColumn(
+        "kind", wn.event_type(first=~F.col("earlier")))
     got = {r["tie"]: (r["kind"], r["step"]) for r in out.withColumn("step", wn.signed_step(F.col("kind"))).collect()}
     assert got == {
         1: ("Ambiguous", None), 2: ("Ambiguous", None), 3: ("Affirmation", 0), 4: ("Downgrade", -2),
@@ -57,15 +58,15 @@ def test_rank_filter_is_pushed_below_the_shuffle(spark, folder):
     assert "Partial" in plan.split("WindowGroupLimit")[-1]
 
 
-@pytest.mark.parametrize("tiny,small,accuracy", [(10**6, 10**6, 10_000), (0, 10**6, 10_000), (0, 50, 100), (0, 5, 20)])
-def test_quantiles_equal_numpy(spark, tiny, small, accuracy):
+@pytest.mark.parametrize("small,accuracy", [(10**6, 10_000), (50, 100), (5, 20)])
+def test_quantiles_equal_numpy(spark, small, accuracy):
     rng = np.random.default_rng(5)
     x = rng.normal(size=4000) * 10 ** rng.integers(0, 6, 4000)
     y = np.where(rng.random(4000) < 0.6, 7.0, rng.integers(0, 50, 4000).astype(float))
     data = [(float(a), float(b), None) for a, b in zip(x, y)]
     df = spark.createDataFrame(data, "x double, y double, z double")
     levels = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
-    got = quantiles(df, {c: levels for c in "xyz"}, tiny=tiny, small=small, accuracy=accuracy)
+    got = quantiles(df, {c: levels for c in "xyz"}, small=small, accuracy=accuracy)
     np.testing.assert_allclose(got["x"], np.quantile(x, levels), rtol=1e-12)
     np.testing.assert_allclose(got["y"], np.quantile(y, levels), rtol=1e-12)
     assert got["z"] == [None] * 6
@@ -116,3 +117,21 @@ def test_group_statistics_and_average_rank(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 3), ("b", 2)], "g string, v int")
     assert sorted(tuple(r) for r in wn.group_stat(df, ["g"], m=F.max("v")).collect()) == [("a", 1, 3), ("a", 3, 3), ("a", 3, 3), ("b", 2, 2)]
     assert sorted((r["g"], r["v"], r["rank"]) for r in wn.average_rank(df, ["g"], "v").collect()) == [("a", 1, 3), ("a", 3, 1), ("a", 3, 1), ("b", 2, 1)]
+
+
+@pytest.mark.parametrize("small,accuracy", [(10**6, 10_000), (20, 100), (3, 20)])
+def test_quantiles_of_infinities(spark, small, accuracy):
+    inf = float("inf")
+    values = [float(i) for i in range(800)] + [inf] * 100 + [-inf] * 100
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert quantiles(df, {"x": [0.0, 0.05, 0.9751, 1.0]}, small=small, accuracy=accuracy)["x"] == [-inf, -inf, inf, inf]
+    ranked = sorted(values)
+    assert quantiles(df, {"x": [0.5]}, small=small, accuracy=accuracy)["x"] == [(ranked[499] + ranked[500]) / 2]
+
+
+def test_a_null_earlier_grade_is_not_a_first_row(spark):
+    data = [("x", D(2010, 1, 1), 1, None, None), ("x", D(2011, 1, 1), 2, "A", 8), ("x", D(2012, 1, 1), 3, None, None), ("x", D(2012, 5, 1), 4, None, None)]
+    df = spark.createDataFrame(data, "entity string, day date, tie int, grade string, rank int")
+    out = wn.neighbours(df, ["entity"], ["day", "tie"], previous=["grade", "rank"], flag="earlier")
+    got = {r["tie"]: r["kind"] for r in out.withColumn("kind", wn.event_type(first=~F.col("earlier"))).collect()}
+    assert got == {1: "Ambiguous", 2: "Change", 3: "Change", 4: "Affirmation"}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneloom.functions import strings as S
-from paneloom.functions.arrays import char_grams, longest_run, ngrams, wrapped_list
+from paneloom.functions.arrays import char_grams, longest_run, wrapped_list
 from paneloom.operators import text as tx
 
 
@@ -50,8 +50,6 @@ def test_unusable_documents(spark):
 def test_runs_grams_and_lists(spark):
     words = lambda t: F.split(t, " ")
     assert one(spark, "A B c D E F g", lambda t: longest_run(words(t), lambda w: w.rlike("^[A-Z]"))) == 3
-    assert one(spark, "x y", lambda t: ngrams(words(t), 3)) == []
-    assert one(spark, "a b c", lambda t: ngrams(words(t), 2)) == ["a b", "b c"]
     assert one(spark, "abcab", char_grams) == ["abc", "bca", "cab"] and one(spark, "ab", char_grams) == ["ab"]
     assert one(spark, "a b c d", lambda t: wrapped_list(words(t))) == "a, b,\nc, d"
 
@@ -114,3 +112,25 @@ def test_lemmas(spark):
     table = spark.createDataFrame([("mice", "mouse")], "word string, lemma string")
     got = dict(tx.lemmatise(w, table, (("ies", "y"), ("ing", ""))).select("word", "lemma").collect())
     assert got == {"running": "runn", "cities": "city", "mice": "mouse", "cat": "cat"}
+
+
+def test_names_of_any_length_and_with_marks_are_found(spark):
+    docs = spark.createDataFrame([(1, "said A.B. Smith and The Very Long Name Of A Firm today"), (2, "Smith alone")], "doc int, text string")
+    names = spark.createDataFrame([("A.B. Smith",), ("The very long name of a firm",), ("???",), ("Jones",)], "name string")
+    got = sorted(tuple(r) for r in tx.mentions(docs, names, "doc").collect())
+    assert got == [(1, "A.B. SMITH", 1), (1, "THE VERY LONG NAME OF A FIRM", 1)]
+
+
+def test_shuffled_mentions_equal_broadcast_ones(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Big Firm met Small Firm and Big Firm"), (2, "nothing")], "doc int, text string")
+    names = spark.createDataFrame([("Big Firm",), ("Small firm",), ("Firm",)], "name string")
+    one_way = sorted(map(tuple, tx.mentions(docs, names, "doc").collect()))
+    monkeypatch.setattr(tx, "broadcastable", lambda *_: False)
+    assert sorted(map(tuple, tx.mentions(docs, names, "doc").collect())) == one_way != []
+
+
+def test_documents_without_sentences_score_zero(spark):
+    docs = spark.createDataFrame([(1, "good."), (2, "..."), (3, None)], "id int, text string")
+    lexicon = spark.createDataFrame([("good", "Positiv")], "word string, category string")
+    out = tx.label_positivity(tx.sentence_labels(docs, lexicon, "id"), "id", "label", docs=docs)
+    assert {r["id"]: (r["n_positive"], round(r["score"], 6)) for r in out.collect()} == {1: (1, 0.30103), 2: (0, 0.0), 3: (0, 0.0)}
