@@ -250,11 +250,11 @@ def lemmatise(word_table: DataFrame, lemmas: DataFrame, suffixes: Sequence[tuple
     return word_table.join(lemmas, "word", "left").withColumn("lemma", F.coalesce("lemma", rule))
 
 
-def phrase_share(docs: DataFrame, key: str, phrase: str, text: str = "text") -> DataFrame:
-    """Occurrences of a two-word phrase and their share of all word pairs."""
+def phrase_share(docs: DataFrame, key: str, phrase: str, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Occurrences of a two-word phrase and their share of all word pairs; ``keep``: further columns."""
     n = count_occurrences(F.col(text), phrase)
     pairs = F.size(words(tokens(F.col(text)))) - 1
-    return docs.select(key, n.alias("n_phrase"), pairs.alias("n_pairs")).withColumn(
+    return docs.select(key, *keep, n.alias("n_phrase"), pairs.alias("n_pairs")).withColumn(
         "share", ratio(F.col("n_phrase"), F.when(F.col("n_pairs") > 0, F.col("n_pairs")))
     )
 

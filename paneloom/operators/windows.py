@@ -14,6 +14,12 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import days
+from ..session import durable
+
+
+def even_spans(df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "_span") -> DataFrame:
+    """Number the range partitions of (key, order): spans of about equal size, in order (runs a checkpoint)."""
+    return durable(df.repartitionByRange(*key, *order).withColumn(out, F.spark_partition_id()))
 
 
 def neighbours(
@@ -22,7 +28,7 @@ def neighbours(
     order: Sequence[str],
     previous: Sequence[str] = (),
     following: Sequence[str] = (),
-    span: str | Column = "year",
+    span: str | Column | None = None,
     flag: str | None = None,
 ) -> DataFrame:
     """Add ``previous_<c>`` and ``next_<c>``: the value in the row before/after.
@@ -31,11 +37,16 @@ def neighbours(
     is then needed); a null previous value alone does not tell.
 
     ``order`` must be total within ``key``; key columns and ``order[0]`` are not null.
-    ``span`` is the unit that ``order[0]`` (a date) is cut by, or any expression that
-    never decreases along ``order``. The rows are shuffled once, by (key, span).
+    Rows are ordered within spans of a key, and each span passes its edge rows on to the
+    adjoining ones. By default spans are range partitions over (key, order), so a key with
+    a third of all rows is cut into as many spans as it needs (one more shuffle and a
+    checkpoint). ``span`` names another cut: the unit that ``order[0]`` (a date) is cut by, or any
+    expression that never decreases along ``order``; the rows are then shuffled once.
     """
-    cut = F.trunc(order[0], span) if isinstance(span, str) else span
-    df = df.withColumn("_span", cut)
+    if span is None:
+        df = even_spans(df, key, order)
+    else:
+        df = df.withColumn("_span", F.trunc(order[0], span) if isinstance(span, str) else span)
     at = F.struct(*order)
     wanted = {}
     if previous:
@@ -73,7 +84,7 @@ def validity(
     order: Sequence[str],
     end: date,
     valid_to: str = "valid_to",
-    span: str | Column = "year",
+    span: str | Column | None = None,
 ) -> DataFrame:
     """Close each row's interval at the next row's date, the last one at ``end``."""
     when = order[0]

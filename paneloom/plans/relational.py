@@ -137,7 +137,7 @@ def _(t):
     path = scratch(t, "snk2")
     docs = t.documents.select("doc_id", "lang", "text")
     wr.write_csv(docs, path)
-    return rd.read_csv(t.spark, path, docs.schema).groupBy("lang").agg(
+    return rd.read_csv(t.spark, path, docs.schema, multi_line=True).groupBy("lang").agg(
         F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 

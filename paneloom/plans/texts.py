@@ -167,9 +167,8 @@ def _(t):
     with p as (select doc_id, lang, cast((length(lower(text)) - length(replace(lower(text), 'of the', ''))) / 6 as bigint) as n, len({sql_words()}) - 1 as pairs from documents)
     select lang, round(avg(n), 6) as mean_count, round(avg(case when pairs > 0 then n / pairs end), 8) as mean_share from p group by lang""")
 def _(t):
-    p = tx.phrase_share(docs(t), "doc_id", "of the")
-    lang = t.documents.select("doc_id", "lang")
-    return p.join(lang, "doc_id").groupBy("lang").agg(
+    p = tx.phrase_share(docs(t), "doc_id", "of the", keep=["lang"])
+    return p.groupBy("lang").agg(
         F.round(F.avg("n_phrase"), 6).alias("mean_count"), F.round(F.avg("share"), 8).alias("mean_share"))
 
 

@@ -21,20 +21,24 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Delimited files with a header row, quoted multi-line fields and a given schema."""
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = False) -> DataFrame:
+    """Delimited files with a header row and a given schema.
+
+    Large files are read in splits. ``multi_line`` allows line breaks inside quoted fields;
+    each file is then one task, so such data should come in many files.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
     return reader.option("escape", '"').csv(path)
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: StructType, bad: str = "_bad") -> DataFrame:
+def read_tolerant(spark: SparkSession, path: str, schema: StructType, bad: str = "_bad", multi_line: bool = False) -> DataFrame:
     """Like ``read_csv``; a field that does not parse is null and marks its row as bad.
 
     Fields are read as text and cast one by one, so the mark does not depend on which
     columns a later step selects (the reader's own corrupt-record column does).
     """
     text = StructType([StructField(f.name, StringType()) for f in schema])
-    raw = read_csv(spark, path, text)
+    raw = read_csv(spark, path, text, multi_line)
     cast = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema}
     broken = [F.col(n).isNotNull() & c.isNull() for n, c in cast.items()]
     return raw.select(*[c.alias(n) for n, c in cast.items()], reduce(lambda a, b: a | b, broken).alias(bad))

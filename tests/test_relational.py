@@ -163,7 +163,7 @@ def test_tolerant_read_and_unnamed(spark, tmp_path):
 
     (tmp_path / "x.csv").write_text('Unnamed: 0,k,v\n0,a,1\n1,b,oops\n2,"c\nd",\n')
     schema = StructType.fromDDL("`Unnamed: 0` int, k string, v int")
-    df = rd.drop_unnamed(rd.read_tolerant(spark, str(tmp_path / "x.csv"), schema))
+    df = rd.drop_unnamed(rd.read_tolerant(spark, str(tmp_path / "x.csv"), schema, multi_line=True))
     assert rows(df.select("k", "_bad")) == [("a", False), ("b", True), ("c\nd", False)]
     assert "Unnamed: 0" not in df.columns
 
@@ -171,7 +171,7 @@ def test_tolerant_read_and_unnamed(spark, tmp_path):
 def test_csv_round_trip_keeps_blanks_and_newlines(spark, tmp_path):
     df = spark.createDataFrame([(1, ' a "quoted", b\nc '), (2, "x")], "k int, t string")
     wr.write_csv(df, str(tmp_path / "c"))
-    assert rows(rd.read_csv(spark, str(tmp_path / "c"), df.schema)) == rows(df)
+    assert rows(rd.read_csv(spark, str(tmp_path / "c"), df.schema, multi_line=True)) == rows(df)
 
 
 def test_metric_log_last_write_wins(spark, tmp_path):
@@ -186,3 +186,16 @@ def test_last_json_label_wins(spark):
     text = '{"data": {"bs": [{"label": "X", "value": 1}, {"label": "Y", "value": 2}, {"label": "X", "value": 3}], "ic": []}}'
     df = spark.createDataFrame([(text,)], "t string").withColumn("d", rd.json_field(F.col("t"), f"data {rd.ENTRY_SCHEMA}", "data"))
     assert df.select(rd.labelled_value(F.col("d.bs"), "X"), rd.labelled_value(F.col("d.ic"), "X")).first() == (3.0, None)
+
+
+def test_a_csv_file_is_read_in_splits(spark, tmp_path):
+    path = str(tmp_path / "one.csv")
+    with open(path, "w") as f:
+        f.write("a,b\n" + "".join(f"{i},text {i}\n" for i in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        df = rd.read_csv(spark, path, "a long, b string")
+        assert df.rdd.getNumPartitions() > 4 and df.selectExpr("sum(a)").first()[0] == 60_000 * 59_999 // 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -21,7 +21,7 @@ def test_neighbours_equal_plain_window_with_hot_key(spark):
     df = spark.createDataFrame(data, "k string, d date, id int, g int")
     w = Window.partitionBy("k").orderBy("d", "id")
     plain = df.select("k", "d", "id", F.lag("g").over(w), F.lag("d").over(w), F.lead("g").over(w), F.lead("id").over(w))
-    for span in ("year", "month"):
+    for span in ("year", "month", None):
         out = wn.neighbours(df, ["k"], ["d", "id"], ["g", "d"], ["g", "id"], span=span)
         got = out.select("k", "d", "id", "previous_g", "previous_d", "next_g", "next_id")
         assert sorted(map(str, got.collect())) != [] and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
@@ -135,3 +135,23 @@ def test_a_null_earlier_grade_is_not_a_first_row(spark):
     out = wn.neighbours(df, ["entity"], ["day", "tie"], previous=["grade", "rank"], flag="earlier")
     got = {r["tie"]: r["kind"] for r in out.withColumn("kind", wn.event_type(first=~F.col("earlier"))).collect()}
     assert got == {1: "Ambiguous", 2: "Change", 3: "Change", 4: "Affirmation"}
+
+
+def test_a_hot_key_is_cut_into_even_spans(spark):
+    n = 9000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"),
+        F.date_add(F.lit("2000-01-01"), (F.col("id") % 5).cast("int")).alias("d"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with data that is not small
+    try:
+        spans = wn.even_spans(df, ["k"], ["d", "id"])
+        per_span = [r["n"] for r in spans.groupBy("_span").agg(F.count("*").alias("n")).collect()]
+        assert max(per_span) < 2.5 * n / len(per_span) and len(per_span) >= 6
+        assert spans.where("k = 'hot'").select("_span").distinct().count() > 1
+        out = wn.neighbours(df, ["k"], ["d", "id"], ["id"], ["id"])
+        w = Window.partitionBy("k").orderBy("d", "id")
+        plain = df.select("k", "d", "id", F.lag("id").over(w), F.lead("id").over(w))
+        got = out.select("k", "d", "id", "previous_id", "next_id")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
