@@ -7,8 +7,9 @@ next shorter context gives it, with the bytes of the longer contexts excluded; b
 the three bytes before it only: all lengths are worked out once per context, and a text is scored
 by one lookup per byte. The language of the shortest code wins.
 
-Learning takes a sample of about ``TRAIN_DOCS`` labelled texts of each language; the model keeps the
-``CONTEXTS`` most frequent contexts of three bytes and is bounded by that, whatever the data.
+Learning takes a sample of about ``TRAIN_DOCS`` labelled texts of each of the ``LANGUAGES`` most
+frequent languages; the model keeps the ``CONTEXTS`` most frequent contexts of three bytes
+and is bounded by that, whatever the data.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .words import runs
 
 ORDER = 3
 TRAIN_DOCS = 1500  # labelled texts of a language that are learned from, about
+LANGUAGES = 200  # that are learned, the most frequent ones
 CONTEXTS = 16_000  # contexts of three bytes that the model keeps
 UNKNOWN = "und"
 PAD = 0x20  # a text is read as if spaces stood before it
@@ -53,12 +55,17 @@ def _contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def sample(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:
-    """lang, text of about ``per_language`` rows of each language, drawn by a hash of doc_id."""
+def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, languages: int = LANGUAGES) -> DataFrame:
+    """lang, text of about ``per_language`` rows of each of the most frequent languages, drawn by a hash of doc_id.
+
+    The rows of each language are counted first; the shares then are part of the scan's filter,
+    so only drawn texts leave it.
+    """
     known = docs.where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     chance = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 32)) / float(1 << 32)
-    return known.join(counts, "lang").where(chance * F.col("n") < per_language).select("lang", "text")
+    shares = F.create_map(*[F.lit(x) for r in top for x in (r["lang"], per_language / r["n"])]) if top else F.lit(None).cast("map<string,double>")
+    return known.where(chance < F.try_element_at(shares, F.col("lang"))).select("lang", "text")
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
