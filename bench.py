@@ -42,9 +42,14 @@ HEADLINE = [
     "gr8_top_neighbours",
     "gr9_similarity_edges",
     "gr12_neighbour_max",
+    "tx20_embeddings",
     "ml2_exact_holdout",
+    "ml5_elastic_net",
+    "ml6_grid_search",
+    "ml7_boosted_trees",
     "ml13_class_report",
     "ml20_mcnemar_table",
+    "ml22_leaderboard",
 ]
 
 
