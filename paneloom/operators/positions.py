@@ -1,9 +1,9 @@
 """Exact row positions without sorting a whole table in one task.
 
 ``hash_positions`` numbers rows in md5 order of a key. Rows are counted per md5
-prefix first; the running total of those counts (at most 4096 per group) gives
-each prefix its offset, and only rows sharing a prefix are numbered together. A
-class that holds a third of the table is therefore spread over 4096 buckets.
+prefix first; the running total of those counts gives each prefix its offset, and
+only rows sharing a prefix are numbered together. The prefix is as long as the
+largest group asks for, so a bucket has about ``BUCKET_ROWS`` rows at most.
 
 ``ordered_positions`` numbers rows in a stated column order: range partitioning
 (which splits a hot leading key by the later columns), one checkpoint so that
@@ -12,6 +12,7 @@ partition numbers stay fixed, then the same offset step over partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,6 +20,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import durable
 
 
+BUCKET_ROWS = 500_000
+
+
 def key_hash(*keys: str | Column, seed: int = 0) -> Column:
     """md5 of seed and key, the same in any SQL engine."""
     parts = [F.col(k) if isinstance(k, str) else k for k in keys]
@@ -50,10 +54,18 @@ def hash_positions(
     by: Sequence[str] = (),
     seed: int = 0,
     out: str = "position",
-    prefix: int = 3,
+    prefix: int | None = None,
 ) -> DataFrame:
-    """0-based position of each row in md5 order of ``keys`` within ``by``."""
+    """0-based position of each row in md5 order of ``keys`` within ``by``.
+
+    ``prefix``: hexadecimal digits that make a bucket; by default at least 3, and more if the
+    largest bucket of 3 (counted now) is too full.
+    """
     hashed = df.withColumn("_h", key_hash(*keys, seed=seed))
+    if prefix is None:
+        sizes = hashed.groupBy(*by, F.substring("_h", 1, 3).alias("_bucket")).agg(F.count("*").alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0] or 1
+        prefix = 3 + max(0, math.ceil(math.log(largest / BUCKET_ROWS, 16)))
     hashed = hashed.withColumn("_bucket", F.substring("_h", 1, prefix))
     return _number(hashed, by, "_bucket", ["_h", *keys], out).drop("_h")
 

@@ -182,10 +182,14 @@ def attrition(df: DataFrame, key: str, period: str) -> DataFrame:
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Descending rank, ties share their average, cut to an integer.
 
-    Ranks are computed over distinct values and their counts, not over rows.
+    Ranks are computed over distinct values and their counts, not over rows: running
+    counts inside even spans of (by, value), plus the totals of the higher spans.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    above = F.coalesce(F.sum("_n").over(w), F.lit(0))
-    ranks = counts.withColumn(out, F.floor(above + 1 + (F.col("_n") - 1) / 2)).drop("_n")
-    return df.join(ranks, [*by, value])
+    counts = even_spans(df.groupBy(*by, value).agg(F.count("*").alias("_n")), by, [value])
+    higher = Window.partitionBy(*by).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, "_span").agg(F.sum("_n").alias("_s")).withColumn(
+        "_higher", F.coalesce(F.sum("_s").over(higher), F.lit(0))).drop("_s")
+    inside = Window.partitionBy(*by, "_span").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum("_n").over(inside), F.lit(0)) + F.col("_higher")
+    ranks = counts.join(totals, [*by, "_span"]).withColumn(out, F.floor(above + 1 + (F.col("_n") - 1) / 2))
+    return df.join(ranks.drop("_n", "_span", "_higher"), [*by, value])

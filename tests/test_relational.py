@@ -199,3 +199,13 @@ def test_a_csv_file_is_read_in_splits(spark, tmp_path):
         assert df.rdd.getNumPartitions() > 4 and df.selectExpr("sum(a)").first()[0] == 60_000 * 59_999 // 2
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_positions_with_longer_prefixes(spark, monkeypatch):
+    from paneloom.operators import positions
+
+    df = spark.range(5000).select("id", (F.col("id") % 3 == 0).alias("g"))
+    want = {r["id"]: r["position"] for r in positions.hash_positions(df, ["id"], by=["g"]).collect()}
+    monkeypatch.setattr(positions, "BUCKET_ROWS", 1)
+    got = {r["id"]: r["position"] for r in positions.hash_positions(df, ["id"], by=["g"]).collect()}
+    assert got == want and sorted(v for k, v in got.items() if k % 3 == 0) == list(range(1667))
