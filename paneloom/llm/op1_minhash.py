@@ -74,14 +74,18 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.unique(shingle_hashes(words[at[i]: at[i + 1]], size))
 
 
+def band_keys(hashes: np.ndarray, orders: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The key of each band of a sorted array of distinct hashes (not empty)."""
+    factors = mix(np.arange(1, rows + 1, dtype=np.uint64) * M3) | np.uint64(1)
+    values = signature(hashes, bands * rows, orders).reshape(bands, rows)
+    return mix((mix(values) * factors).sum(1) + mix(np.arange(1, bands + 1, dtype=np.uint64)))
+
+
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, two halves of the set's hash, and a key for each band (none for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = bands * rows
-        orders = _orders(bins)
-        factors = mix(np.arange(1, rows + 1, dtype=np.uint64) * M3) | np.uint64(1)
-        salts = mix(np.arange(1, bands + 1, dtype=np.uint64))
+        orders = _orders(bands * rows)
         for batch in batches:
             n = len(batch)
             counts, a, b = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -93,8 +97,7 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
                 if len(hashes):
                     a[i] = mix(hashes).sum()
                     b[i] = np.bitwise_xor.reduce(mix(hashes + M3))
-                    values = signature(hashes, bins, orders).reshape(bands, rows)
-                    keys.append(mix((mix(values) * factors).sum(1) + salts))
+                    keys.append(band_keys(hashes, orders, bands, rows))
                     at[i + 1] += bands
             flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
@@ -107,21 +110,27 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
 
 
 def members_sets(texts: DataFrame, size: int) -> DataFrame:
-    """doc_id, its sorted full set (64-bit hashes) and its second signature."""
+    """doc_id, its sorted full set (64-bit hashes), its second signature, and half of each band's key."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = _orders(SKETCH)
+        orders, band_orders = _orders(SKETCH), _orders(BANDS * ROWS)
         salts = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * M3)
         for batch in batches:
-            sets, out = [], []
+            sets, out, marks = [], [], []
             for hashes in shingle_sets(batch.column(1), size):
                 values = signature(np.sort(mix(hashes)), SKETCH, orders)
                 out.append(np.packbits((mix(values + salts) >> np.uint64(63)).astype(bool)).tobytes())
                 sets.append(hashes.tobytes())
+                marks.append(_mark(band_keys(hashes, band_orders, BANDS, ROWS)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.binary()), pa.array(out, pa.binary())], names=["doc_id", "hashes", "sketch"])
+                [batch.column(0), *(pa.array(x, pa.binary()) for x in (sets, out, marks))], names=["doc_id", "hashes", "sketch", "marks"])
+
+    return texts.select("doc_id", "text").mapInArrow(sketch, "doc_id long, hashes binary, sketch binary, marks binary")
+
 
-    return texts.select("doc_id", "text").mapInArrow(sketch, "doc_id long, hashes binary, sketch binary")
+def _mark(keys: np.ndarray) -> np.ndarray:
+    """Half of each band key: enough to tell which bands two members share."""
+    return (keys >> np.uint64(32)).astype(np.uint32)
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -153,6 +162,8 @@ def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFr
 
     known, chosen: bucket, rep, n, label. sizes: bucket and the number of its members. Members are
     dealt over groups of about ``BLOCK`` by a hash, the centres go to each group of their bucket.
+    A pair that shares several buckets is left to the first of them, which stays open until the pair
+    was compared there or lies in one component.
     """
     most = most_apart(percent)
 
@@ -161,17 +172,20 @@ def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFr
         for batch in batches:
             bucket, block, role, rep, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             bits = _bits(batch.column(6))
+            marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, BANDS)
+            here = _mark(bucket.view(np.uint64))
             edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
             a, b = [], []
             for i, j in zip([0, *edges], [*edges, len(batch)]) if len(batch) else ():
                 if key != (bucket[i], block[i]):
                     centres, key = [], (bucket[i], block[i])
                 first = i + int(np.searchsorted(role[i:j], 1))
-                centres += [(rep[c], n[c], label[c], bits[c].copy()) for c in range(i, first)]
-                for c, size, of, sketch in centres:
+                centres += [(rep[c], n[c], label[c], bits[c].copy(), marks[c].copy()) for c in range(i, first)]
+                for c, size, of, sketch, bands in centres:
                     small, large = np.minimum(n[first:j], size), np.maximum(n[first:j], size)
                     may = np.flatnonzero((label[first:j] != of) & (100 * small >= percent * large)) + first
                     may = may[np.bitwise_count(bits[may] ^ sketch).sum(1, dtype=np.int64) <= most]
+                    may = may[bands[(marks[may] == bands).argmax(1)] == here[i]]
                     a.append(np.minimum(rep[may], c))
                     b.append(np.maximum(rep[may], c))
             if a:
@@ -182,7 +196,8 @@ def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFr
         "bucket", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "rep", "n", "label"
     ).unionAll(chosen.join(blocks, "bucket").select(
         "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0), "rep", "n", "label"))
-    both = both.join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select("bucket", "block", "role", "rep", "n", "label", "sketch")
+    both = both.join(sets.select(F.col("doc_id").alias("rep"), "sketch", "marks"), "rep")
+    both = both.select("bucket", "block", "role", "rep", "n", "label", "sketch", "marks")
     both = both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
     return both.mapInArrow(meet, "a long, b long").distinct()
 
