@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from .base import new_folder, query, stored, table
 
 STRETCH = 8 << 20  # bytes of an archive that one read covers, about
+MOST_TASKS = 20_000  # of a read
 GAP = 64 << 10  # unwanted bytes that a read may cover between two wanted ranges
 INDEX = "page_id long, archive string, offset long, length long, url string, payload_digest string, record_type string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -167,8 +168,11 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if source is not None:
             source.close()
 
+    # Tasks by the bytes to be read, not by those of the index.
+    wanted = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-wanted // (2 * STRETCH)), MOST_TASKS))
     stretch = F.floor(F.col("offset") / STRETCH).alias("stretch")
-    rows = index.select("archive", "offset", "length", stretch).repartition("archive", "stretch")
+    rows = index.select("archive", "offset", "length", stretch).repartition(tasks, "archive", "stretch")
     return rows.sortWithinPartitions("archive", "offset").select("archive", "offset", "length").mapInArrow(read, RECORD)
 
 
