@@ -2,7 +2,7 @@
 
 A vocabulary of byte pairs learned from prose and code needs few tokens for words and many for
 random strings. A run of key-like characters with few characters per token is reported as
-``random``, unless it is a known kind of digest or identifier or overlaps a pattern's span.
+``random``, unless it is a digest, a UUID or a number or overlaps a pattern's span.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ RUN = r"[A-Za-z0-9+/_-]{20,}"
 MAY = {"assign": "(?i)" + ASSIGN, "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "random": r"[A-Za-z0-9+/_-]{20}"}
 PATTERNS = {"assign": re.compile(ASSIGN, re.I | re.A), "access": re.compile(ACCESS), "hex": re.compile(HEX)}
 CANDIDATE = re.compile(RUN)
-# Digests (by length in hexadecimal digits), identifiers, numbers, words joined by marks.
+# Digests (by length in hexadecimal digits), UUIDs, and numbers with marks (dates, phone numbers, rules of
+# marks: a token holds few digits, so their ratio tells nothing). Words and names are left to the ratio.
 KNOWN = re.compile(
     r"([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
     r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-    r"|[0-9_+/-]+|[A-Za-z_+/-]+|([A-Za-z]+|[0-9]+)([_/+-]+([A-Za-z]+|[0-9]+))*", re.I)
+    r"|[0-9_+/-]+", re.I | re.A)
 CHARS_PER_TOKEN = 2.0  # fewer than so many mark a string as random
 MARK = "[SECRET]"
 

@@ -253,6 +253,20 @@ def test_secrets(spark, odd, empty):
     assert op5_secrets.redacted(odd).schema.names == odd.schema.names
 
 
+def test_secrets_of_letters_and_of_groups(spark):
+    rng = random.Random(8)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys = [draw(lower + upper, n) for n in (20, 30, 40)] + [draw(lower, 40), draw(upper, 32)]
+    keys += ["-".join(draw(upper + "0123456789", 5) for _ in range(4)), "/".join(draw(lower + upper, 12) for _ in range(3))]
+    names = ["getCustomerAccountDetailsByIdentifier", "path/to/some/module/file/name", "Donaudampfschifffahrtsgesellschaft",
+             "src/main/java/com/example/service/UserService", "a_very_long_identifier_with_words_2024", "2024-01-01_12-30-45_001-000",
+             "+49-30-1234-5678-9012", "----------------------", "/+/+/+/+/+/+/+/+/+/+/", "123e4567-e89b-12d3-a456-426614174000"]
+    docs = spark.createDataFrame([(i, f"see {x} there") for i, x in enumerate(keys + names)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in op5_secrets.scan(docs).collect()}
+    assert found == {i: f"random:4:{4 + len(x)}" if i < len(keys) else "" for i, x in enumerate(keys + names)}
+
+
 def test_best_fit_and_bounds():
     rng = np.random.default_rng(8)
     for _ in range(200):
