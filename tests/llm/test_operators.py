@@ -140,6 +140,24 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert [a for a, _ in found[750]] == list(range(700, 710))
 
 
+def _recall(table, vectors, step):
+    got, hits = op3_neighbours.nearest(table, F.col("vec_id") % step == 0).collect(), 0
+    exact = vectors.astype(np.float64)
+    for q in range(0, len(exact), step):
+        d = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10]))
+    return hits / (10 * len(range(0, len(exact), step)))
+
+
+def test_neighbours_converge_from_a_poor_first_graph(spark, monkeypatch):
+    first = op3_neighbours.first_graph
+    monkeypatch.setattr(op3_neighbours, "first_graph", lambda nodes, n, k: first(nodes, n, k, trees=2, leaf=30))
+    vectors = np.random.default_rng(9).standard_normal((5000, 40)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    assert _recall(table, vectors, 50) >= 0.93
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<double>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], schema)
