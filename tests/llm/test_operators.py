@@ -158,6 +158,15 @@ def test_neighbours_converge_from_a_poor_first_graph(spark, monkeypatch):
     assert _recall(table, vectors, 50) >= 0.93
 
 
+def test_neighbours_among_thousands_of_jittered_copies(spark):
+    rng = np.random.default_rng(11)
+    one = rng.standard_normal((4000, 64))
+    one[:2500] = one[0] + 2e-4 * rng.standard_normal((2500, 64))
+    vectors = (one / np.linalg.norm(one, axis=1, keepdims=True)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    assert _recall(table, vectors[:2500], 50) >= 0.93
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<double>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], schema)
