@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import SQL_CONF, shared_folder
+from ..session import apply_settings, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,9 +34,12 @@ def query(name: str, sql: str | None = None):
 
 
 def settle(spark: SparkSession) -> None:
-    """Put the runtime settings of the library on ``spark``."""
-    for name, value in SQL_CONF.items():
-        spark.conf.set(name, value)
+    """Put the runtime settings of the library on ``spark``.
+
+    Shuffle files go at the end of the job that wrote them; every later job here reads written tables.
+    """
+    apply_settings(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -68,9 +68,12 @@ def runs(texts: pa.Array | pa.ChunkedArray, limit: int = RUN_BYTES) -> Iterator[
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the n + 1 offsets of the texts among the words."""
-    inside = ~SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the n + 1 offsets of the texts among the words.
+
+    ``outside`` says which bytes belong to no word.
+    """
+    inside = ~outside[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
