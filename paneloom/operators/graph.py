@@ -5,15 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import pair, wrapped_list
 from ..session import durable
 from .joins import in_either_end
 from .positions import hash_positions, key_hash
-from .quantiles import order_statistics
+from .vectors import cosine_join
 from .windows import top_per_group
 
 
@@ -61,8 +59,7 @@ def prune(nodes: DataFrame, edges: DataFrame, label: str, split: str) -> tuple[D
     edges = durable(edges)
     linked = durable(in_either_end(nodes, edges))
     trained = linked.groupBy(label).agg(F.count_if(F.col(split) == "train").alias("_n")).where("_n > 1")
-    classes = trained.agg(F.collect_set(label)).scalar()  # a short list, so no join on the class
-    kept = linked.withColumn("_c", classes).where(F.array_contains("_c", F.col(label))).drop("_c")
+    kept = linked.join(trained.select(label), label, "left_semi").select(*linked.columns)
     edges = induced(edges, kept)
     return in_either_end(kept, edges), edges
 
@@ -119,131 +116,19 @@ def induced(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame
 
 # ---------------------------------------------------------------- similarity graph
 
-_BINS = 1 << 16
-
-
-def _blocks(vectors: DataFrame, id_: str, vec: str, blocks: int) -> DataFrame:
-    """Unit vectors sent to every pair of blocks (i <= j) their own block belongs to."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    unit = F.transform(vec, lambda x: F.try_divide(x.cast("double"), norm))
-    own = F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int")
-    partner = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    return (
-        vectors.select(F.col(id_).alias("id"), unit.alias("v"), own.alias("own"))
-        .withColumn("other", partner)
-        .select(
-            F.least("own", "other").alias("bi"),
-            F.greatest("own", "other").alias("bj"),
-            "own",
-            "id",
-            "v",
-        )
-    )
-
-
-def _pairs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cosines of the pairs of one block pair, each unordered pair once."""
-    # Sorted, so that every pass multiplies the same matrices and rounds alike.
-    pdf = pdf.sort_values("id")
-    bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    rows, cols = pdf[pdf["own"] == bi], pdf[pdf["own"] == bj]
-    if not len(rows) or not len(cols):
-        empty = np.empty(0)
-        return empty, empty, empty
-    sim = np.stack(rows["v"].to_numpy()) @ np.stack(cols["v"].to_numpy()).T
-    a, b = rows["id"].to_numpy(), cols["id"].to_numpy()
-    if bi == bj:
-        i, j = np.nonzero(a[:, None] < b[None, :])
-    else:
-        i, j = np.divmod(np.arange(sim.size), sim.shape[1])
-    return a[i], b[j], sim[i, j]
-
-
 def similarity_edges(
     vectors: DataFrame,
     id_: str,
     vec: str,
     quantile: float | None = 0.98,
     at_least: float | None = None,
-    block_rows: int = 500,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """Pairs (src < dst) with cosine at or above a threshold, exactly.
-
-    The threshold is given, or is the interpolated ``quantile`` of the cosines of all
-    pairs. Vectors are split into blocks of about ``block_rows``; a task multiplies two
-    blocks and emits only what is asked for: first a histogram of the cosines, then the
-    values of the one or two bins that hold the wanted ranks, then the pairs that
-    qualify. No pair below the threshold leaves its task, and no task holds more than
-    two blocks. Null vectors and those of length zero have no direction: they take no part.
-    """
-    vectors = vectors.where(F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False)))
-    n = vectors.count()
-    blocks = max(1, math.ceil(n / block_rows))
-    spread = _blocks(vectors, id_, vec, blocks)
-    grouped = spread.groupBy("bi", "bj")
-
-    if at_least is None:
-        pairs = n * (n - 1) // 2
-        position = (pairs - 1) * quantile
-        low = int(position)
-        high, part = min(low + 1, pairs - 1), position - low
-
-        def binned(sim: np.ndarray) -> np.ndarray:
-            return np.clip(((sim + 1.0) * (_BINS / 2)).astype(np.int64), 0, _BINS - 1)
-
-        def count(pdf: pd.DataFrame) -> pd.DataFrame:
-            bins, counts = np.unique(binned(_pairs(pdf)[2]), return_counts=True)
-            return pd.DataFrame({"bin": bins, "n": counts})
-
-        histogram = (
-            grouped.applyInPandas(count, "bin long, n long")
-            .groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()  # <= 65536 rows
-        )
-        below, sizes, rows_below = 0, {}, {}
-        for row in histogram:
-            if any(below <= k < below + row["n"] for k in (low, high)):
-                sizes[row["bin"]], rows_below[row["bin"]] = row["n"], below
-            below += row["n"]
-        wanted = sorted(sizes)
-
-        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-            sim = _pairs(pdf)[2]
-            bins = binned(sim)
-            hit = np.isin(bins, wanted)
-            return pd.DataFrame({"bin": bins[hit], "sim": sim[hit]})
-
-        inside = grouped.applyInPandas(pick, "bin long, sim double")
-        ranks = {k: max((b for b in wanted if rows_below[b] <= k), key=rows_below.get) for k in (low, high)}
-        value = _values_at(inside, ranks, sizes, rows_below)
-        at_least = value[low] + (value[high] - value[low]) * part
-
-    cut = at_least
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, sim = _pairs(pdf)
-        hit = sim >= cut
-        a, b = a[hit], b[hit]
-        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "similarity": sim[hit]})
-
-    kind = vectors.schema[id_].dataType.simpleString()
-    return grouped.applyInPandas(keep, f"src {kind}, dst {kind}, similarity double")
-
-
-def _values_at(inside: DataFrame, ranks: dict[int, int], sizes: dict[int, int], rows_below: dict[int, int]) -> dict[int, float]:
-    """Values at the given ranks, each looked up in its own bin.
+    """Pairs (src < dst) with cosine at or above a threshold or a quantile of all pairs, exactly: ``vectors.cosine_join``.
 
-    The histogram says how many values the bins hold: few are sorted on the driver,
-    many are searched by further aggregate passes.
+    Null vectors and those of length zero have no direction: they take no part.
     """
-    if sum(sizes.values()) <= 200_000:
-        values: dict[int, list[float]] = {b: [] for b in sizes}
-        for row in inside.collect():
-            values[row["bin"]].append(row["sim"])
-        return {k: sorted(values[b])[k - rows_below[b]] for k, b in ranks.items()}
-    found = {}
-    for k, b in ranks.items():
-        found[k] = order_statistics(inside.where(F.col("bin") == b), "sim", [k - rows_below[b]])[0]
-    return found
+    return cosine_join(vectors, id_, vec, quantile, at_least, block_rows)
 
 
 # ---------------------------------------------------------------- neighbourhood features

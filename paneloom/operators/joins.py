@@ -1,7 +1,6 @@
-"""Joins. Sides are broadcast only after their size was measured: by Spark (file
-statistics, shuffle statistics under AQE), or by ``broadcastable``, which counts a
-derived lookup table. A side too big for that is sort-merge joined, with AQE splitting
-hot keys."""
+"""Joins. Sides are broadcast only after Spark measured their size (file statistics of stored
+tables, shuffle statistics under AQE). A side too big for that is sort-merge joined, with AQE
+splitting hot keys."""
 
 from __future__ import annotations
 
@@ -12,18 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.arrays import char_grams
 from ..functions.dates import MonthGrid
-
-
-BROADCAST_ROWS = 500_000
-
-
-def broadcastable(dim: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when a lookup table of short rows has at most ``limit`` rows (counts it now).
-
-    For tables whose size the optimiser cannot know before it has shuffled the other,
-    much larger side: the result of an aggregate or of exploding.
-    """
-    return dim.limit(limit + 1).count() <= limit
+from ..session import stored
 
 
 def suffix_shared(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> dict[str, DataFrame]:
@@ -45,6 +33,30 @@ def fold_inner(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFram
     return reduce(lambda a, b: a.join(b, list(keys)), suffix_shared(tables, keys).values())
 
 
+def audited_fold(base: DataFrame, steps: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> tuple[DataFrame, DataFrame]:
+    """Inner joins of ``base`` with one table after another, and an audit of what each step did.
+
+    steps: (name, table, keys). The audit has a row for each step: rows before and after, rows
+    lost, and how many keys of the table occur more than once (they would multiply rows). The joins
+    run once, as outer joins with a flag for each table, into a written table; one aggregate
+    of the flags then gives all counts, and the rows with all flags are the result.
+    """
+    rows, repeated = base, []
+    for i, (_, table, keys) in enumerate(steps):
+        rows = rows.join(table.withColumn(f"_in_{i}", F.lit(True)), list(keys), "left")
+        repeated.append(table.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").agg(F.count("*")).scalar())
+    rows = stored(rows, "fold")
+    flags = [F.coalesce(F.col(f"_in_{i}"), F.lit(False)) for i in range(len(steps))]
+    upto = [reduce(lambda a, b: a & b, flags[:i], F.lit(True)) for i in range(len(steps) + 1)]
+    counts = rows.agg(*[F.count_if(u).alias(f"n{i}") for i, u in enumerate(upto)])
+    lines = [
+        F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("joined"), F.col(f"n{i}").alias("rows_in"), F.col(f"n{i + 1}").alias("rows_out"),
+                 (F.col(f"n{i}") - F.col(f"n{i + 1}")).alias("lost"), F.col(f"r{i}").alias("repeated_keys"))
+        for i, (name, _, _) in enumerate(steps)]
+    audit = counts.withColumns({f"r{i}": r for i, r in enumerate(repeated)}).select(F.inline(F.array(*lines)))
+    return rows.where(upto[-1]).drop(*[f"_in_{i}" for i in range(len(steps))]), audit
+
+
 def flagged_full_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], flags: tuple[str, str]
 ) -> DataFrame:
@@ -175,6 +187,51 @@ def key_coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
+HOT_GRAM = 1000  # names with a gram among their rarest, from which on the gram is split by size
+
+
+def ranked_grams(df: DataFrame, c: str, threshold: float, n: int, frequency: DataFrame | None = None) -> DataFrame:
+    """name, size, place, gram, freq: the rarest grams of each distinct name, as many as a partner must share one of.
+
+    Grams are in one order for all names: by how many names hold them, then by themselves.
+    """
+    grams = name_grams(df, c, n)
+    frequency = frequency if frequency is not None else gram_frequency(grams)
+    size = F.size("grams")
+    keep = F.least(size - F.floor(size * threshold).cast("int") + 1, size)  # one more than the bound, where rounding asks for it
+    ranked = (
+        grams.select("name", F.explode("grams").alias("gram")).join(frequency, "gram")
+        .groupBy("name").agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("grams"))
+    )
+    rare = F.posexplode(F.slice("grams", F.lit(1), keep)).alias("place", "g")
+    return ranked.select("name", size.alias("size"), rare).select("name", "size", "place", "g.gram", "g.freq")
+
+
+def name_grams(df: DataFrame, c: str, n: int) -> DataFrame:
+    """Each distinct name and its set of grams."""
+    known = df.select(F.col(c).alias("name")).where(F.col("name").isNotNull()).distinct()
+    return known.withColumn("grams", char_grams(F.col("name"), n))
+
+
+def gram_frequency(*named: DataFrame) -> DataFrame:
+    """gram, freq: how many names of all tables hold it."""
+    every = [d.select(F.explode("grams").alias("gram")) for d in named]
+    return reduce(DataFrame.unionAll, every).groupBy("gram").agg(F.count("*").alias("freq"))
+
+
+def gram_groups(x: DataFrame, y: DataFrame, threshold: float, hot: int = HOT_GRAM) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet, with their key (gram, cell): a gram of ``hot`` names or more has a cell for each size.
+
+    Sizes of a pair lie within the factor ``threshold``. So the right rows of a hot gram stay in the cell
+    of their own size, and a left row visits the cells of the sizes that it can match.
+    """
+    low, high = F.ceil(F.col("size") * threshold - 1e-6).cast("int"), F.floor(F.col("size") / threshold + 1e-6).cast("int")
+    cells = F.when(F.col("freq") >= hot, F.sequence(low, high)).otherwise(F.array(F.lit(0)))
+    left = x.select("name", "size", "place", "gram", F.explode(cells).alias("cell"))
+    right = y.select("name", "size", "place", "gram", F.when(F.col("freq") >= hot, F.col("size")).otherwise(0).alias("cell"))
+    return left, right
+
+
 def fuzzy_best_match(
     left: DataFrame,
     right: DataFrame,
@@ -183,58 +240,35 @@ def fuzzy_best_match(
     threshold: float = 0.7,
     n: int = 3,
     not_equal: bool = False,
+    hot: int = HOT_GRAM,
 ) -> DataFrame:
     """Best partner of each distinct left name by character n-gram Jaccard similarity.
 
-    Exact set-similarity join by prefix filtering. Grams are ordered by how many
-    names contain them; two sets with similarity >= t must share one of the
-    ``size - ceil(t * size) + 1`` rarest grams of each, and their sizes lie within a
-    factor t. Only those rare grams are joined on, so frequent grams never form
-    groups, and every pair that can reach the threshold is still compared. Copies of
-    a name are reduced to one before matching; join the result back by name.
+    Exact set-similarity join. Grams are ordered by how many names contain them; two sets with
+    similarity >= t must share one of the ``size - ceil(t * size) + 1`` rarest grams of
+    each, and their sizes lie within a factor t. Only those rare grams are joined on.
+    Where two names meet, what stands behind the shared gram in each bounds what they can have in
+    common (positional filter); only pairs that still can reach the threshold fetch their grams.
+    Copies of a name are reduced to one before matching; join the result back by name.
     """
-    def names(df: DataFrame, c: str) -> DataFrame:
-        known = df.select(F.col(c).alias("name")).where(F.col("name").isNotNull()).distinct()
-        return known.withColumn("grams", char_grams(F.col("name"), n))
-
-    a, b = names(left, left_col), names(right, right_col)
-    frequency = (
-        a.select(F.explode("grams").alias("gram"))
-        .union(b.select(F.explode("grams").alias("gram")))
-        .groupBy("gram")
-        .agg(F.count("*").alias("freq"))
-    )
-
-    def rare(df: DataFrame) -> DataFrame:
-        size = F.size("grams")
-        # One gram more than the bound, where rounding asks for it.
-        keep = size - F.floor(size * threshold).cast("int") + 1
-        return (
-            df.select("name", "grams", F.explode("grams").alias("gram"))
-            .join(frequency, "gram")
-            .groupBy("name", "grams")
-            .agg(F.sort_array(F.collect_list(F.struct("freq", "gram"))).alias("ranked"))
-            .select(
-                "name",
-                "grams",
-                F.explode(F.slice("ranked", 1, F.least(keep, size))["gram"]).alias("gram"),
-            )
-        )
-
-    x = rare(a).withColumnsRenamed({"name": left_col, "grams": "_a"})
-    y = rare(b).withColumnsRenamed({"name": right_col, "grams": "_b"})
-    near = (F.size("_b") >= F.size("_a") * threshold - 1e-6) & (F.size("_a") >= F.size("_b") * threshold - 1e-6)
+    a, b = name_grams(left, left_col, n), name_grams(right, right_col, n)
+    frequency = gram_frequency(a, b)
+    x, y = gram_groups(
+        ranked_grams(left, left_col, threshold, n, frequency), ranked_grams(right, right_col, threshold, n, frequency), threshold, hot)
+    y = y.withColumnsRenamed({"name": "_other", "size": "_size", "place": "_place"})
+    total = F.col("size") + F.col("_size")
+    ahead = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place"))
+    may = (F.least("size", "_size") >= F.greatest("size", "_size") * threshold - 1e-6) & (ahead >= total * (threshold / (1 + threshold)) - 1e-6)
     if not_equal:
-        near &= F.col(left_col) != F.col(right_col)
-    common = F.size(F.array_intersect("_a", "_b"))
-    similarity = common / (F.size("_a") + F.size("_b") - common)
+        may &= F.col("name") != F.col("_other")
+    pairs = x.join(y, ["gram", "cell"]).where(may).select("name", "_other").distinct()
+    pairs = pairs.join(a, "name").join(b.select(F.col("name").alias("_other"), F.col("grams").alias("_b")), "_other")
+    common = F.size(F.array_intersect("grams", "_b"))
+    similarity = common / (F.size("grams") + F.size("_b") - common)
     best = Window.partitionBy(left_col).orderBy(F.desc("similarity"), right_col)
     return (
-        x.join(y, "gram")
-        .where(near)
-        .select(left_col, right_col, similarity.alias("similarity"))
+        pairs.select(F.col("name").alias(left_col), F.col("_other").alias(right_col), similarity.alias("similarity"))
         .where(F.col("similarity") >= threshold)
-        .distinct()
         .withColumn("_r", F.row_number().over(best))
         .where("_r = 1")
         .drop("_r")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Mapping, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    PCA,
     IndexToString,
     OneHotEncoder,
     StandardScaler,
@@ -22,10 +22,12 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import durable
 from .positions import hash_positions, key_hash
+from .vectors import nearest_members
 from .windows import class_map
 
 # ---------------------------------------------------------------- roles and splits
@@ -119,12 +121,20 @@ def class_labels(matrix: PipelineModel) -> list[str]:
     return list(next(s for s in reversed(matrix.stages) if hasattr(s, "labels")).labels)
 
 
-def elastic_net(n_rows: int, c: float = 1.0, l1_ratio: float = 0.0, max_iter: int = 50, one_vs_rest: bool = False, weight: str | None = None) -> Estimator:
-    """Logistic classifier; inverse strength ``c`` becomes a penalty of 1 / (c * n_rows)."""
+def elastic_net(
+    n_rows: int, c: float | None = 1.0, l1_ratio: float = 0.0, max_iter: int = 100, one_vs_rest: bool = False,
+    weight: str | None = None, tol: float = 1e-7,
+) -> Estimator:
+    """Logistic classifier; inverse strength ``c`` becomes a penalty of 1 / (c * n_rows), None means no penalty.
+
+    The penalty is on the coefficients of the features as they are (the design matrix standardises them).
+    """
     lr = LogisticRegression(
         maxIter=max_iter,
-        regParam=1.0 / (c * n_rows),
+        tol=tol,
+        regParam=0.0 if c is None else 1.0 / (c * n_rows),
         elasticNetParam=l1_ratio,
+        standardization=False,
         family="auto" if one_vs_rest else "multinomial",
     )
     if weight:
@@ -182,6 +192,80 @@ def feature_names(df: DataFrame, col: str = "features") -> list[str]:
     return [a.get("name", str(a["idx"])) for a in sorted(attrs, key=lambda a: a["idx"])]
 
 
+def optimality(model, rows: DataFrame, reg: float, l1_ratio: float, weight: str | None = None) -> np.ndarray:
+    """Certificate of a multinomial fit: for each class and coefficient (the last is the intercept) how far it is from optimal.
+
+    One aggregate over ``rows`` (features, label) gives the gradient of the mean loss at the fitted
+    coefficients. An optimal coefficient b has gradient + reg * ((1 - l1_ratio) * b + l1_ratio * sign(b)) = 0,
+    and where b = 0 any subgradient of the l1 part may close the gap; intercepts bear no penalty.
+    """
+    b, shift = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    k, d = b.shape
+    columns = [vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"),
+               (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")]
+
+    def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, d + 1))
+        mass = 0.0
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), d)
+            y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            z = x @ b.T + shift
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(y)), y] -= 1
+            p *= w[:, None]
+            total[:, :d] += p.T @ x
+            total[:, d] += p.sum(0)
+            mass += w.sum()
+        cells = np.append(total.ravel(), mass)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], names=["i", "s"])
+
+    cells = rows.select(*columns).mapInArrow(gradient, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    flat = np.zeros(k * (d + 1) + 1)
+    for r in cells:
+        flat[r["i"]] = r["s"]
+    g = flat[:-1].reshape(k, d + 1) / max(flat[-1], 1e-300)
+    out = np.abs(g)
+    smooth = g[:, :d] + reg * (1 - l1_ratio) * b
+    l1 = reg * l1_ratio
+    out[:, :d] = np.where(b != 0, np.abs(smooth + l1 * np.sign(b)), np.maximum(np.abs(smooth) - l1, 0))
+    return out
+
+
+# ---------------------------------------------------------------- saved models
+
+
+def fingerprint(rows: DataFrame, settings: Mapping) -> str:
+    """Hash of what a fit depends on: settings, columns, and the rows in any order (one aggregate, runs now)."""
+    marks = [F.xxhash64(*rows.columns, F.lit(i)) for i in (1, 2)]
+    parts = [F.count("*").alias("n")]
+    for i, m in enumerate(marks):
+        parts += [F.bit_xor(m).alias(f"x{i}"), F.sum(F.pmod(m, F.lit(1 << 31))).alias(f"s{i}")]
+    found = tuple(rows.agg(*parts).first())
+    return hashlib.md5(json.dumps([rows.dtypes, found, sorted(settings.items())], default=str).encode()).hexdigest()
+
+
+def fitted(estimator: Estimator, rows: DataFrame, folder: str, settings: Mapping, key: DataFrame | None = None):
+    """The model of ``estimator`` on ``rows``: loaded if it was saved for the same data and settings, else fitted and saved.
+
+    ``key``: the table that is fingerprinted where ``rows`` holds vectors; it must determine them.
+    """
+    path = f"{folder.rstrip('/')}/{type(estimator).__name__}-{fingerprint(rows if key is None else key, settings)}"
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return DefaultParamsReader.loadParamsInstance(path, spark.sparkContext)
+    model = estimator.fit(rows)
+    model.write().overwrite().save(path)
+    return model
+
+
+# ---------------------------------------------------------------- tables of fitted models
+
+
 def coefficient_table(spark, model, classes: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Coefficients as rows (label, feature, coefficient)."""
     m = model.coefficientMatrix.toArray()
@@ -225,9 +309,9 @@ def smote(
 
     Each synthetic row takes a seed row of its class, one of the seed's ``k`` nearest
     class members and a gap in [0, 1): seed + gap * (neighbour - seed). Choices come
-    from hashes. Neighbours are exact: seeds and class members are cut into blocks, a
-    task compares two blocks and keeps ``k`` per seed, and the best ``k`` over all
-    blocks remain. ``features`` is an array column; new rows have a null key.
+    from md5 hashes of the draw's number, so that any SQL engine can repeat them. Neighbours
+    are exact (``vectors.nearest_members``), equal ones in md5 order of their keys.
+    ``features`` is an array column; new rows have a null key.
     """
     counts = {r[0]: r[1] for r in df.where(F.col(label).isin(list(targets))).groupBy(label).count().collect()}
     parts = [df.select(key, label, features)]
@@ -237,20 +321,23 @@ def smote(
         if extra <= 0 or have < 2:
             continue
         members = durable(hash_positions(df.where(F.col(label) == name).select(key, features), [key], seed=seed, out="_pos"))
+        def drawn(what: str) -> Column:
+            return F.conv(F.substring(key_hash(F.lit(what), "id", seed=seed), 1, 8), 16, 10).cast("long")
+
         draws = df.sparkSession.range(extra).select(
             F.col("id").alias("_draw"),
-            F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(have)).alias("_pos"),
-            F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(min(k, have - 1))).alias("_pick"),
-            (F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(1 << 30)) / (1 << 30)).alias("_gap"),
+            F.pmod(drawn("row"), F.lit(have)).alias("_pos"),
+            F.pmod(drawn("neighbour"), F.lit(min(k, have - 1))).cast("int").alias("_pick"),
+            (drawn("gap") / F.lit(float(1 << 32))).alias("_gap"),
         )
         seeds = members.join(draws.select("_pos").distinct(), "_pos", "left_semi")
-        near = _nearest(seeds, members, features, k, max(1, math.ceil(have / block_rows)))
+        near = nearest_members(seeds, members, "_pos", features, k, block_rows)
         base = members.select(F.col("_pos"), F.col(features).alias("_x"))
-        other = members.select(F.col("_pos").alias("_other"), F.col(features).alias("_y"))
+        other = members.select(F.col("_pos").alias("other"), F.col(features).alias("_y"))
         mixed = (
-            draws.join(near, (F.col("_pos") == F.col("_seed")) & (F.col("_pick") == F.col("_rank")))
+            draws.join(near, (F.col("_pos") == F.col("seed")) & (F.col("_pick") == F.col("rank")))
             .join(base, "_pos")
-            .join(other, "_other")
+            .join(other, "other")
         )
         step = F.zip_with("_x", "_y", lambda x, y: x + F.col("_gap") * (y - x))
         kind = df.schema[key].dataType
@@ -263,33 +350,6 @@ def smote(
     return out
 
 
-def _nearest(seeds: DataFrame, members: DataFrame, features: str, k: int, blocks: int) -> DataFrame:
-    """(_seed, _other, _rank): the k nearest members of each seed, itself left out."""
-    block = F.pmod(F.xxhash64("_pos"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = seeds.select("_pos", features, F.lit(True).alias("is_seed"), block.alias("bi")).withColumn("bj", every)
-    b = members.select("_pos", features, F.lit(False).alias("is_seed"), block.alias("bj")).withColumn("bi", every)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["is_seed"]], pdf[~pdf["is_seed"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"_seed": [], "_other": [], "_d": []})
-        x, y = np.stack(left[features].to_numpy()), np.stack(right[features].to_numpy())
-        d = (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None, :]
-        p, q = left["_pos"].to_numpy(), right["_pos"].to_numpy()
-        d[p[:, None] == q[None, :]] = np.inf
-        keep = min(k, d.shape[1])
-        # All that are as near as the k-th: which of equals stays is decided over all blocks.
-        i, j = np.nonzero(d <= np.partition(d, keep - 1, axis=1)[:, keep - 1: keep])
-        out = pd.DataFrame({"_seed": p[i], "_other": q[j], "_d": d[i, j]})
-        return out[np.isfinite(out["_d"])]
-
-    pairs = a.unionByName(b).groupBy("bi", "bj").applyInPandas(compare, "_seed long, _other long, _d double")
-    w = Window.partitionBy("_seed").orderBy("_d", "_other")
-    ranked = pairs.withColumn("_rank", F.row_number().over(w) - 1).where(F.col("_rank") < k)
-    return ranked.drop("_d")
-
-
 # ---------------------------------------------------------------- importance and baselines
 
 
@@ -347,43 +407,20 @@ def prior_baseline(train: DataFrame, test: DataFrame, label: str, keys: Sequence
     return drawn.withColumn("prediction", F.get(hit, 0)["label"]).drop("_u", "_steps")
 
 
-# ---------------------------------------------------------------- projections and embeddings
+# ---------------------------------------------------------------- embeddings
 
 
-def first_component(df: DataFrame, cols: Sequence[str], key: str, out: str) -> DataFrame:
-    """First principal component of standardised columns; its largest loading is positive.
+def embed(docs: DataFrame, token_col: str, out: str = "embedding", size: int = 32, min_count: int = 5, window: int = 5, epochs: int = 1, seed: int = 0, train: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Document vector: mean of word vectors learnt on ``train`` (default: all documents).
 
-    Rows with a null in ``cols`` get a null score.
+    Spark trains the partitions apart and averages them; there are as many as the input has, at
+    least two, unless ``partitions`` says otherwise.
     """
-    known = df.dropna(subset=list(cols))
-    assembled = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(known)
-    scaler = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(assembled)
-    scaled = scaler.transform(assembled)
-    loadings = PCA(k=1, inputCol="_s", outputCol="_p").fit(scaled).pc.toArray()[:, 0]
-    if loadings[np.argmax(np.abs(loadings))] < 0:
-        loadings = -loadings
-    # sample to population standard deviation
-    n = known.count()
-    adjust = math.sqrt(n / (n - 1)) if n > 1 else 1.0
-    arr = vector_to_array("_s")
-    value = sum((F.get(arr, i) * float(w * adjust) for i, w in enumerate(loadings)), F.lit(0.0))
-    return df.join(scaled.select(key, value.alias(out)), key, "left")
-
-
-def explained_variance(df: DataFrame, vector: str, k: int) -> list[float]:
-    """Share of variance per leading principal component of an array column."""
-    from pyspark.ml.functions import array_to_vector
-
-    doubles = F.transform(vector, lambda x: x.cast("double"))
-    v = df.select(array_to_vector(doubles).alias("_v"))
-    return [float(x) for x in PCA(k=k, inputCol="_v", outputCol="_p").fit(v).explainedVariance]
-
-
-def embed(docs: DataFrame, token_col: str, out: str = "embedding", size: int = 32, min_count: int = 5, window: int = 5, epochs: int = 1, seed: int = 0, train: DataFrame | None = None, partitions: int = 8) -> DataFrame:
-    """Document vector: mean of word vectors learnt on ``train`` (default: all documents)."""
+    learnt_on = docs if train is None else train
+    partitions = partitions or max(2, learnt_on.rdd.getNumPartitions())
     w2v = Word2Vec(
         inputCol=token_col, outputCol="_vec", vectorSize=size, minCount=min_count,
         windowSize=window, maxIter=epochs, seed=seed, numPartitions=partitions,
     )
-    model = w2v.fit(docs if train is None else train)
+    model = w2v.fit(learnt_on)
     return model.transform(docs).withColumn(out, vector_to_array("_vec")).drop("_vec")

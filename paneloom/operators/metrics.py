@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -221,6 +222,60 @@ def model_pairs(predictions: DataFrame, keys: Sequence[str], pairs: Sequence[tup
     )
 
 
+def agreement_of_all(predictions: DataFrame, keys: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """Agreement table of every pair of models, from one count of who was right.
+
+    A row's key gathers a bit for each model that has it and one for each that is right; patterns are
+    counted, and the pairs follow from the few patterns that occur. Keys that one model of a
+    pair lacks do not count for the pair.
+    """
+    bit = F.create_map(*[F.lit(x) for i, m in enumerate(models) for x in (m, 1 << i)])[F.col("model")].cast("long")
+    seen = predictions.where(F.col("model").isin(list(models))).groupBy(*keys).agg(
+        F.bit_or(bit).alias("has"), F.bit_or(F.when(correct(), bit).otherwise(F.lit(0).cast("long"))).alias("right"))
+    patterns = seen.groupBy("has", "right").agg(F.count("*").alias("n"))
+    pairs = F.array(*[
+        F.struct(F.lit(a).alias("model_1"), F.lit(b).alias("model_2"), F.lit(1 << i).cast("long").alias("x"), F.lit(1 << j).cast("long").alias("y"))
+        for i, a in enumerate(models) for j, b in enumerate(models) if a < b])
+    rows = patterns.select("has", "right", "n", F.inline(pairs))
+    one, two = (F.col("right").bitwiseAND(F.col(c)) != 0 for c in ("x", "y"))
+    both = (F.col("has").bitwiseAND(F.col("x")) != 0) & (F.col("has").bitwiseAND(F.col("y")) != 0)
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0)).cast("long")
+    return rows.where(both).groupBy("model_1", "model_2").agg(
+        total(one & two).alias("both_right"), total(one & ~two).alias("only_1_right"),
+        total(~one & two).alias("only_2_right"), total(~one & ~two).alias("both_wrong"))
+
+
+def p_value_block(table: DataFrame, digits: int = 4) -> DataFrame:
+    """An agreement table with p-values as text, ``-`` where two models never differ (a row for each pair, runs now)."""
+    shown = lambda p: "-" if p is None else f"{p:.{digits}f}"
+    rows = []
+    for r in table.collect():
+        p = mcnemar_p_values(r["only_1_right"], r["only_2_right"])
+        rows.append((*r, shown(p["plain"]), shown(p["corrected"]), shown(p["exact"])))
+    schema = table.schema
+    for name in ("p_plain", "p_corrected", "p_exact"):
+        schema = schema.add(name, "string")
+    return table.sparkSession.createDataFrame(rows, schema)
+
+
+def family_table(families: Mapping[str, DataFrame], baselines: Mapping[str, DataFrame], common: str = "Most Common Class Baseline") -> DataFrame:
+    """Accuracy of all models of all families, of a majority-class row, and of baselines with predictions of their own.
+
+    families: name -> long predictions (model, truth, prediction). baselines: name -> (truth, prediction).
+    """
+    rate = F.avg(F.when(correct(), 1.0).otherwise(0.0)).alias("accuracy")
+    parts, shares = [], []
+    for family, p in families.items():
+        found = summary(p, ["model"])
+        parts.append(found.select("model", F.lit(family).alias("family"), "accuracy"))
+        shares.append(found.select("majority_share"))
+    majority = reduce(DataFrame.unionAll, shares).agg(F.max("majority_share").alias("accuracy"))
+    parts.append(majority.select(F.lit(common).alias("model"), F.lit("baseline").alias("family"), "accuracy"))
+    for name, p in baselines.items():
+        parts.append(p.agg(rate).select(F.lit(name).alias("model"), F.lit("baseline").alias("family"), "accuracy"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def comparison(predictions: DataFrame, codes: Mapping[str, int], baseline: str = "Most Common Class Baseline") -> DataFrame:
     """One row per model (accuracy, weighted F1, within one) and a majority-class row."""
     table = summary(predictions, ["model"]).join(ordinal_shares(predictions, codes, by=["model"]), "model")

@@ -131,6 +131,44 @@ def _split(df: DataFrame, c: str, k: int, bracket: tuple) -> tuple:
     return bottom_right, hi, below + n_left, size - n_left
 
 
+def _regions(df: DataFrame, brackets: Mapping[str, Sequence[tuple]], want: Mapping[str, Sequence[int]]) -> dict[tuple[str, int], float]:
+    """Values at ranks that lie inside the brackets of their column; ranks that do not are missing from the result.
+
+    One pass: a value is counted by itself inside a bracket, and with its region between two
+    brackets otherwise, so the running count places every rank exactly.
+    """
+    entries = []
+    for i, (c, ranges) in enumerate(brackets.items()):
+        region, col = F.lit(2 * len(ranges)), F.col(c)
+        for j, (lo, hi) in reversed(list(enumerate(ranges))):
+            region = F.when(col < lo, 2 * j).when(col <= hi, 2 * j + 1).otherwise(region)
+        entries.append(F.struct(F.lit(i).alias("i"), F.when(col.isNotNull(), region).alias("region"), col.cast("double").alias("v")))
+    counts = (
+        df.select(F.inline(F.array(*entries))).where("region is not null")
+        .groupBy("i", "region", F.when(F.col("region") % 2 == 1, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    )
+    running = Window.partitionBy("i").orderBy("region", "v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("n").over(running))
+    cols = list(brackets)
+    tests = [(F.col("i") == cols.index(c)) & (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k) for c in cols for k in want[c]]
+    found = {}
+    for row in ranked.where((F.col("region") % 2 == 1) & reduce(lambda x, y: x | y, tests)).collect():
+        c = cols[row["i"]]
+        found |= {(c, k): row["v"] for k in want[c] if row["upto"] - row["n"] <= k < row["upto"]}
+    return found
+
+
+def _merged(ranges: Sequence[tuple]) -> list[tuple]:
+    """The ranges in order, overlapping ones as one."""
+    out: list[tuple] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def quantiles(
     df: DataFrame,
     levels: Mapping[str, Sequence[float]],
@@ -139,15 +177,30 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated exact quantiles per column (runs the aggregates now).
 
-    Infinities are values like others: between equal neighbours no sum is formed.
+    The first aggregate counts and sketches all columns together; the second looks the ranks up
+    inside the brackets of the sketch. Ranks that it does not find, and all if the brackets would
+    hold too many values for a sort, are narrowed further. Infinities are values like
+    others: between equal neighbours no sum is formed.
     """
-    cols = list(levels)
-    counted = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    sizes = dict(zip(cols, counted))
+    cols, slack = list(levels), 4.0 / accuracy
+    exprs = [F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]
+    for i, c in enumerate(cols):
+        around = [min(max(p + d, 0.0), 1.0) for p in levels[c] for d in (-slack, slack)]
+        exprs.append((F.percentile_approx(c, around, accuracy) if around else F.lit(None)).alias(f"q{i}"))
+    first = df.agg(*exprs).first()
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(cols)}
     out: dict[str, list[float | None]] = {c: [None] * len(levels[c]) for c in cols}
-    places = {c: [_interpolated(sizes[c], p) for p in levels[c]] for c in cols if sizes[c]}
+    places = {c: [_interpolated(sizes[c], p) for p in levels[c]] for c in cols if sizes[c] and levels[c]}
     want = {c: sorted({k for lo, hi, _ in ps for k in (lo, hi)}) for c, ps in places.items()}
-    stats = _select(df, want, sizes, small, accuracy)
+    stats: dict[tuple[str, int], float] = {}
+    within = 6 * slack * max((sizes[c] * len(levels[c]) for c in want), default=0)
+    if want and within <= small and min(sizes[c] for c in want) > 4 / slack:
+        brackets = {c: _merged(list(zip(first[f"q{i}"][::2], first[f"q{i}"][1::2]))) for i, c in enumerate(cols) if c in want}
+        stats = _regions(df, brackets, want)
+    missing = {c: [k for k in ks if (c, k) not in stats] for c, ks in want.items()}
+    missing = {c: ks for c, ks in missing.items() if ks}
+    if missing:
+        stats |= _select(df, missing, sizes, small, accuracy)
     for c, ps in places.items():
         out[c] = [_between(float(stats[c, lo]), float(stats[c, hi]), part) for lo, hi, part in ps]
     return out

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.arrays import longest_run
 from ..functions.numbers import ratio, smoothed_log_ratio
 from ..functions.strings import count_occurrences, number_between, override, remove_patterns, replace_chain, split_first
-from .joins import broadcastable
+from ..session import stored
 
 TOKEN = r"[\p{L}\p{N}]+(?:[.'’_-][\p{L}\p{N}]+|,\p{N}+)*|[^\s\p{L}\p{N}]"
 SENTENCE = r"[^.!?]+[.!?]*"
 WORD_CHAR = r"[\p{L}\p{N}]"
+# Fixed value: what counts as a number.
 NUMERIC = r"^[0-9]{1,4}(?:,[0-9])*(?:\.[0-9]+)?(?:$|[^A-Za-z0-9_.-])"
 THREE_SYLLABLES = r"[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]+[aeiouy]"
 CAPITALISED = r"^\p{Lu}"
@@ -170,19 +171,16 @@ def lexicon_counts(
 ) -> DataFrame:
     """Hits per document and category, zero for documents without any.
 
-    The lexicon becomes one row per word with a 0/1 column per category, so a word meets
-    one row. A lexicon of checked size is broadcast to the words where they are read, and
-    only sums per document are shuffled. For a larger one words are counted per document
-    before the shuffle join, so that a frequent word costs one row per document.
+    The lexicon becomes a written table with a row per word and a 0/1 column per category, so a
+    word meets one row and Spark broadcasts the lexicon if it is measured to be small; only
+    sums per document are shuffled then. Words without an entry stay in the join, so
+    every document keeps a row and the texts are read once.
     """
     marks = [F.max((F.col("category") == c).cast("long")).alias(f"_{c}") for c in categories]
-    per_word = lexicon.groupBy("word").agg(*marks)
-    if broadcastable(per_word):
-        found = exploded_words(docs, [key], text).withColumn("n", F.lit(1)).join(F.broadcast(per_word), "word")
-    else:
-        found = word_counts(docs, [key], text).join(per_word, "word")
-    hits = found.groupBy(key).agg(*[F.sum(F.col("n") * F.col(f"_{c}")).alias(c) for c in categories])
-    return docs.select(key).join(hits, key, "left").fillna(0, subset=list(categories))
+    per_word = stored(lexicon.groupBy("word").agg(*marks), "lexicon")
+    lowered = F.transform(words(tokens(F.col(text))), lambda w: F.lower(w))
+    found = docs.select(key, F.explode_outer(lowered).alias("word")).join(per_word, "word", "left")
+    return found.groupBy(key).agg(*[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(c) for c in categories])
 
 
 def tone_ratios(counts: DataFrame) -> DataFrame:
@@ -215,15 +213,11 @@ def sentence_labels(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "
     polar = lexicon.where(F.col("category").isin("Positiv", "Negativ")).groupBy("word").agg(
         F.sum(F.when(F.col("category") == "Positiv", 1).otherwise(-1)).alias("_sign")
     )
-    said = exploded_words(parts, [key, "sentence"], "_s").withColumn("n", F.lit(1))
-    if broadcastable(polar):
-        polar = F.broadcast(polar)
-    else:
-        said = word_counts(parts, [key, "sentence"], "_s")
+    polar = stored(polar, "polar")
     balance = (
-        said.join(polar, "word", "left")
+        exploded_words(parts, [key, "sentence"], "_s").join(polar, "word", "left")
         .groupBy(key, "sentence")
-        .agg(F.sum(F.col("n") * F.coalesce("_sign", F.lit(0))).alias("_b"))
+        .agg(F.sum(F.coalesce("_sign", F.lit(0))).alias("_b"))
     )
     label = F.when(F.col("_b") > 0, "Positive").when(F.col("_b") < 0, "Negative").otherwise("Neutral")
     return balance.select(key, "sentence", label.alias("label"))
@@ -364,33 +358,26 @@ def mentions(
 ) -> DataFrame:
     """Occurrences of each listed name per document.
 
-    Names are split into words as texts are, so marks inside a name do not matter, and the
-    longest name gives the number of words that each position of a document looks ahead.
-    With a name list of checked size, positions whose first word starts no name are dropped
-    at once and the remaining runs are tested where they are read; only counts of hits are
-    shuffled. Otherwise runs are counted per document before they meet the list.
+    Names are split into words as texts are, so marks inside a name do not matter. The list is
+    written, so Spark broadcasts it if it is measured to be small. A position of a text that
+    starts a name looks as far ahead as the longest name with that first word and no
+    further; all names that start there are found.
     """
     listed = names.select(F.upper(name).alias("company_mentioned")).distinct()
     listed = listed.withColumn("_words", words(tokens(F.col("company_mentioned")))).where(F.size("_words") > 0)
-    max_words = listed.agg(F.max(F.size("_words"))).first()[0] or 1
-    listed = listed.select("company_mentioned", F.concat_ws(" ", "_words").alias("_run"), F.col("_words")[0].alias("_w1"))
+    listed = stored(listed.select(
+        "company_mentioned", F.concat_ws(" ", "_words").alias("_run"), F.col("_words")[0].alias("_w1"), F.size("_words").alias("_n")), "names")
+    starts = stored(listed.groupBy("_w1").agg(F.sort_array(F.collect_set("_n")).alias("_lengths")), "starts")
+    longest = listed.agg(F.max("_n")).first()[0] or 1
     upper = F.transform(words(tokens(F.col(text))), lambda w: F.upper(w))
-    at = [f"_w{i}" for i in range(1, max_words + 1)]
-    ahead = [F.col("_w"), *[F.slice("_w", i, F.size("_w")) for i in range(2, max_words + 1)]]
+    # A position carries the few words after it, not its text.
+    at = [f"_w{i}" for i in range(1, longest + 1)]
+    ahead = [F.col("_w"), *[F.slice("_w", i, F.size("_w")) for i in range(2, longest + 1)]]
     positions = docs.select(key, upper.alias("_w")).select(key, F.inline(F.arrays_zip(*ahead))).toDF(key, *at)
-    runs = F.array(
-        F.col("_w1"),
-        *[F.when(F.col(at[n - 1]).isNotNull(), F.concat_ws(" ", *at[:n])) for n in range(2, max_words + 1)],
-    )
-    run = F.explode(F.array_compact(runs)).alias("_run")
-    starts, listed = listed.select("_w1").distinct(), listed.drop("_w1")
-    if broadcastable(listed):
-        found = positions.join(F.broadcast(starts), "_w1", "left_semi").select(key, run)
-        hits = found.join(F.broadcast(listed), "_run")
-        return hits.groupBy(key, "company_mentioned").agg(F.count("*").alias("n"))
-    near = positions.join(starts, "_w1", "left_semi").select(key, run)
-    counted = near.groupBy(key, "_run").agg(F.count("*").alias("n"))
-    return counted.join(listed, "_run").select(key, "company_mentioned", "n")
+    near = positions.join(starts, "_w1").withColumn("_next", F.array(*at))
+    run = F.transform("_lengths", lambda n: F.when(F.get("_next", n - 1).isNotNull(), F.array_join(F.slice("_next", F.lit(1), n), " ")))
+    hits = near.select(key, F.explode(F.array_compact(run)).alias("_run")).join(listed.select("_run", "company_mentioned"), "_run")
+    return hits.groupBy(key, "company_mentioned").agg(F.count("*").alias("n"))
 
 
 def link_mentions(found: DataFrame, names: DataFrame, panel: DataFrame, key: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..functions.arrays import widen
 from ..operators import learning as ml
 from ..operators import metrics as mt
+from ..operators import moments as mo
 from ..operators import text as tx
 from ..operators.windows import average_rank
-from .base import query
-from .standins import GRADE_RANK, SQL_RANK, sql_words
+from ..session import stored
+from .base import query, scratch
+from .standins import GRADE_RANK, SQL_RANK, sql_tokens, sql_words
+from .texts import NUM, SENT
 
 _UNIFORM = "(('0x' || substr(md5('{seed}|' || {key}), 1, 8))::bigint / 4294967296.0)"
 
@@ -82,27 +87,48 @@ def document_table(t):
 
 
 def _design(t, model="text"):
-    """Fitted design matrix, training and test matrices (kept, as every fit rereads them)."""
+    """Fitted design matrix, training and test rows (written, as every fit rereads them)."""
     numeric, categorical, target = ml.select_roles(REGISTER, model)
-    table = document_table(t).select("doc_id", "split", target, *numeric, *categorical).persist()
+    table = stored(document_table(t).select("doc_id", "split", target, *numeric, *categorical), "design")
     train, test = table.where("split = 'train'"), table.where("split = 'test'")
     matrix = ml.design_matrix(numeric, categorical, target).fit(train)
     return matrix, train, test, target
 
 
-@query("ml4_design_matrix")
+# The labelled documents with their text features, as ``document_table`` makes them.
+_SQL_TABLE = f"""labelled as (select doc_id, cast(quality as varchar) as quality, lang, text, {sql_tokens()} as ts, {sql_words()} as ws,
+        len({SENT}) as n_sentences, case when {_UNIFORM.format(seed=1, key="doc_id")} < 0.8 then 'train' else 'test' end as split
+        from documents join labels using (doc_id)),
+    document_table as (select doc_id, quality, lang, split, len(ws) as word_count, n_sentences,
+        coalesce(round(len([x for x in ts if regexp_matches(x, {NUM})]) / nullif(len(list_distinct([x for x in ts if not regexp_matches(x, {NUM})])), 0), 2), 0) as num_transparency,
+        coalesce(len(ws) / nullif(n_sentences, 0), 0) as mean_sentence_length,
+        coalesce(list_max([length(r) for r in regexp_extract_all(array_to_string([case when regexp_matches(w, $$^\\p{{Lu}}$$) then '1' else '0' end for w in ws], ''), '1+')]), 0) as capital_run
+        from labelled)"""
+_NUMBERS = ("word_count", "n_sentences", "num_transparency", "mean_sentence_length", "capital_run")
+_SCALED = ", ".join(f"round(coalesce(({c} - m{i}) / nullif(s{i}, 0), 0), 6) as f{i}" for i, c in enumerate(_NUMBERS))
+
+
+@query("ml4_design_matrix", f"""
+    with {_SQL_TABLE}, fit as (select {", ".join(f"avg({c}) as m{i}, stddev_samp({c}) as s{i}" for i, c in enumerate(_NUMBERS))},
+        list(distinct lang order by lang) as langs from document_table where split = 'train')
+    select doc_id, split, {_SCALED}, {", ".join(f"case when lang = langs[{i + 1}] then 1.0 else 0.0 end::double as f{5 + i}" for i in range(4))}
+    from document_table, fit""")
 def _(t):
-    from pyspark.ml.functions import vector_to_array
-
     matrix, train, test, _target = _design(t)
     out = matrix.transform(test.unionByName(train))
-    return out.select("doc_id", "split", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+    names = ml.feature_names(out)
+    values = out.select("doc_id", "split", F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("x"))
+    return values.select("doc_id", "split", *widen(F.col("x"), len(names), "f"))
 
 
 def _fitted_logistic(t, **settings):
+    """Fitted with balanced weights; a model that was saved for the same rows and settings is loaded."""
     matrix, train, test, target = _design(t)
-    ready = ml.training_rows(matrix, mt.with_balanced_weight(train, target))
-    model = ml.elastic_net(train.count(), c=1.0, l1_ratio=0.5, max_iter=30, weight="weight", **settings).fit(ready)
+    weighted = mt.with_balanced_weight(train, target)
+    ready = ml.training_rows(matrix, weighted)
+    settings = {"c": 1.0, "l1_ratio": 0.5, "weight": "weight"} | settings
+    estimator = ml.elastic_net(train.count(), **settings)
+    model = ml.fitted(estimator, ready, scratch(t, "models"), settings, key=weighted)
     return model, matrix, train, test, target
 
 
@@ -118,12 +144,33 @@ def _(t):
     return ml.score(model, matrix, test, ["doc_id"], target)
 
 
+_FITS = {"ridge": {"c": 1.0, "l1_ratio": 0.0}, "mixed": {"c": 1.0, "l1_ratio": 0.5}, "lasso": {"c": 0.1, "l1_ratio": 1.0}}
+RESIDUAL = 1e-3  # of the mean loss's gradient, on standardised features
+
+
+@query("ml5_optimality", f"""
+    with {_SQL_TABLE}, k as (select distinct quality as label from document_table where split = 'train')
+    select model, label, cast(feature as integer) as feature, true as optimal
+    from k, (select unnest({list(_FITS)}) as model), (select unnest(range(10)) as feature)""")
+def _(t):
+    matrix, train, _test, target = _design(t)
+    weighted = mt.with_balanced_weight(train, target)
+    ready, n = ml.training_rows(matrix, weighted), train.count()
+    rows = []
+    for name, settings in _FITS.items():
+        model = ml.fitted(ml.elastic_net(n, weight="weight", **settings), ready, scratch(t, "models"), settings | {"weight": "weight"}, key=weighted)
+        gaps = ml.optimality(model, ready, 1.0 / (settings["c"] * n), settings["l1_ratio"], "weight")
+        rows += [(name, label, j, bool(gap <= RESIDUAL)) for label, gap_row in zip(ml.class_labels(matrix), gaps) for j, gap in enumerate(gap_row)]
+    return t.spark.createDataFrame(rows, "model string, label string, feature int, optimal boolean")
+
+
 @query("ml6_grid_search")
 def _(t):
     matrix, train, _test, _target = _design(t)
-    ready = ml.training_rows(matrix, train).select("features", "label").persist()
-    estimator = ml.elastic_net(ready.count(), max_iter=10)
-    found = ml.grid_search(estimator, {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 1.0]}, ready, folds=5)
+    ready = stored(ml.training_rows(matrix, train).select("features", "label"), "grid")
+    n = ready.count()
+    strengths = [1.0 / (c * n) for c in (0.01, 1.0, 100.0)]
+    found = ml.grid_search(ml.elastic_net(n, max_iter=20), {"regParam": strengths, "elasticNetParam": [0.0, 0.5, 1.0]}, ready, folds=5)
     rows = ml.grid_results(found, ["regParam", "elasticNetParam"])
     return t.spark.createDataFrame(rows, "regParam double, elasticNetParam double, accuracy double")
 
@@ -154,9 +201,29 @@ def _oversampled(t):
     return ml.smote(v, "label", "vec_id", "embedding", {0: target, 1: target}, k=5, seed=11)
 
 
-@query("ml9_smote")
+_DRAWN = "('0x' || substr(md5('11|{what}|' || draw), 1, 8))::bigint"
+
+
+@query("ml9_smote", f"""
+    with m as (select vec_id, label, cast(embedding as double[]) as x, row_number() over (partition by label order by md5('11|' || vec_id), vec_id) - 1 as pos
+        from embeddings),
+    have as (select label, count(*) as n from embeddings group by 1), top as (select max(n) + 20 as target from have),
+    draws as (select label, draw, {_DRAWN.format(what="row")} % n as pos, {_DRAWN.format(what="neighbour")} % least(5, n - 1) as pick,
+        {_DRAWN.format(what="gap")} / 4294967296.0 as gap
+        from (select label, n, unnest(range(target - n)) as draw from have, top where label in (0, 1) and n > 1)),
+    seeds as (select distinct label, pos from draws),
+    near as (select a.label, a.pos, b.pos as other,
+            row_number() over (partition by a.label, a.pos order by list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.pos) - 1 as rank
+        from m a join seeds using (label, pos) join m b on a.label = b.label and a.pos <> b.pos),
+    mixed as (select d.label, list_transform(list_zip(a.x, b.x), lambda z: z[1] + gap * (z[2] - z[1])) as v
+        from draws d join near n on d.label = n.label and d.pos = n.pos and pick = rank
+        join m a on a.label = d.label and a.pos = d.pos join m b on b.label = d.label and b.pos = other)
+    select label, round(v[1], 9) as first, round(v[len(v)], 9) as last, round(list_sum(v), 6) as total from mixed""")
 def _(t):
-    return _oversampled(t).where("vec_id is null").select("label", "embedding")
+    new = _oversampled(t).where("vec_id is null")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return new.select("label", F.round(F.element_at("embedding", 1), 9).alias("first"), F.round(F.element_at("embedding", -1), 9).alias("last"),
+                      F.round(total, 6).alias("total"))
 
 
 @query("ml10_score_and_check")
@@ -290,9 +357,62 @@ def _(t):
     return table.withColumns({c: F.round(c, 6) for c in ("chi2", "chi2_corrected")})
 
 
-@query("ml20_mcnemar_p_values")
+# erfc by its series below 3, by its continued fraction above; the binomial tail by its terms.
+_ERFC = """case when z < 3 then 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: (-1) ** i * z ** (2 * i + 1) / (gamma(i + 1) * (2 * i + 1))))
+    else exp(-z * z) / sqrt(pi()) / list_reduce(list_prepend(z, list_transform(range(60, 0, -1), lambda i: i / 2.0)), lambda a, x: z + x / a) end"""
+
+
+def _sql_p_values(cells: str) -> str:
+    """p-values of a table with only_1_right and only_2_right."""
+    return f"""zs as (select *, only_1_right + only_2_right as n, least(only_1_right, only_2_right) as low,
+        abs(only_1_right - only_2_right) / sqrt(nullif(2.0 * (only_1_right + only_2_right), 0)) as z1,
+        abs(abs(only_1_right - only_2_right) - 1) / sqrt(nullif(2.0 * (only_1_right + only_2_right), 0)) as z2 from {cells}),
+    ps as (select *, {_ERFC.replace("z", "z1")} as p_plain, {_ERFC.replace("z", "z2")} as p_corrected,
+        case when n > 0 then least(1.0, 2 * list_sum(list_transform(range(0, low + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2))))) end as p_exact from zs)"""
+
+
+@query("ml20_mcnemar_p_values", f"""
+    with {_SQL_PAIRS}, {_sql_p_values("cells")}
+    select model_1, model_2, both_right, only_1_right, only_2_right, both_wrong, round(p_plain, 8) as p_plain, round(p_corrected, 8) as p_corrected, round(p_exact, 8) as p_exact from ps""")
+def _(t):
+    found = mt.mcnemar(mt.model_pairs(predictions(t), ["o_orderkey"], _PAIRS), ["model_1", "model_2"]).drop("chi2", "chi2_corrected")
+    return found.withColumns({c: F.round(c, 8) for c in ("p_plain", "p_corrected", "p_exact")})
+
+
+# A fourth model that never differs from the third.
+_SQL_FOUR = SQL_PREDICTIONS + """, four as (select model, o_orderkey, truth = prediction as hit from predictions
+    union all select 'same', o_orderkey, truth = prediction from predictions where model = 'constant'),
+    cells as (select x.model as model_1, y.model as model_2, count(*) filter (where x.hit and y.hit) as both_right, count(*) filter (where x.hit and not y.hit) as only_1_right,
+        count(*) filter (where y.hit and not x.hit) as only_2_right, count(*) filter (where not x.hit and not y.hit) as both_wrong
+        from four x join four y on x.o_orderkey = y.o_orderkey and x.model < y.model group by 1, 2)"""
+
+
+@query("ml21_p_value_block", f"""
+    with {_SQL_FOUR}, {_sql_p_values("cells")}
+    select model_1, model_2, both_right, only_1_right, only_2_right, both_wrong, {", ".join(f"coalesce(format('{{:.4f}}', {c}), '-') as {c}" for c in ("p_plain", "p_corrected", "p_exact"))} from ps""")
 def _(t):
-    return mt.mcnemar(mt.model_pairs(predictions(t), ["o_orderkey"], _PAIRS), ["model_1", "model_2"])
+    p = predictions(t)
+    p = p.unionByName(p.where("model = 'constant'").withColumn("model", F.lit("same")))
+    table = mt.agreement_of_all(p, ["o_orderkey"], ["size", "customer", "constant", "same"])
+    return mt.p_value_block(table)
+
+
+_SQL_DRAWN = f"""drawn as (select o_orderkey, substr(truth, 3) as truth, substr(arg_min(label, upper), 3) as prediction from (
+        select o_orderkey, o_orderpriority as truth, {_UNIFORM.format(seed=222, key="o_orderkey")} as u from orders where {_UNIFORM.format(seed=3, key="o_orderkey")} >= 0.8)
+    join (select o_orderpriority as label, sum(count(*)) over (order by o_orderpriority) / sum(count(*)) over () as upper from orders
+        where {_UNIFORM.format(seed=3, key="o_orderkey")} < 0.8 group by 1) on upper > u group by 1, 2)"""
+
+
+@query("ml21_all_baselines", f"""
+    with {_SQL_CLASSES}, {_SQL_DRAWN}, m as (select model, round(sum(tp) / sum(support), 6) as accuracy, max(support) / sum(support) as majority from report group by 1)
+    select model, 'rule' as family, accuracy from m
+    union all select 'Most Common Class Baseline', 'baseline', round(max(majority), 6) from m
+    union all select 'Class Prior Baseline', 'baseline', round(avg(case when truth = prediction then 1.0 else 0.0 end), 6) from drawn""")
+def _(t):
+    s = t.orders.select("o_orderkey", F.col("o_orderpriority").alias("truth"), ml.split_flag(["o_orderkey"], 0.8, 3).alias("split"))
+    drawn = ml.prior_baseline(s.where("split = 'train'"), s.where("split = 'test'"), "truth", ["o_orderkey"], seed=222)
+    table = mt.family_table({"rule": predictions(t)}, {"Class Prior Baseline": drawn})
+    return table.withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("ml21_model_comparison", f"""
@@ -312,7 +432,7 @@ def _board(t):
         "logistic": (ml.elastic_net(train.count(), c=1.0, max_iter=20), {"c": 1.0, "max_iter": 20}),
         "forest": (ml.forest(trees=10, depth=4), {"trees": 10, "depth": 4}),
     }
-    ready = ml.training_rows(matrix, train).select("features", "label").persist()
+    ready = stored(ml.training_rows(matrix, train).select("features", "label"), "board")
     return ml.leaderboard(t.spark, models, ready, matrix.transform(test))
 
 
@@ -335,7 +455,36 @@ def _(t):
     return p.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.when(mt.correct(), 1.0).otherwise(0.0)), 6).alias("accuracy"))
 
 
+@query("ml23_retrained")
+def _(t):
+    """The rows of short documents: predictions of the model of all rows, and of one fitted to such rows with the same settings."""
+    model, matrix, train, test, target = _fitted_logistic(t)
+    short = train.unionByName(test).where("word_count <= 500").select("doc_id")
+    some, others = (r.join(short, "doc_id", "left_semi") for r in (train, test))
+    filtered = mt.restricted(ml.score(model, matrix, test, ["doc_id"], target), short, ["doc_id"])
+    own = mt.with_balanced_weight(some, target)
+    settings = {"c": 1.0, "l1_ratio": 0.5, "weight": "weight"}
+    again = ml.fitted(ml.elastic_net(some.count(), **settings), ml.training_rows(matrix, own), scratch(t, "models"), settings, key=own)
+    both = filtered.select(F.lit("filtered").alias("branch"), "*").unionByName(
+        ml.score(again, matrix, others, ["doc_id"], target).select(F.lit("retrained").alias("branch"), "*"))
+    return both.groupBy("branch").agg(F.count("*").alias("n"), F.avg(F.when(mt.correct(), 1.0).otherwise(0.0)).alias("accuracy"))
+
+
 @query("ml24_explained_variance")
 def _(t):
-    shares = ml.explained_variance(t.embeddings, "embedding", 5)
+    shares = mo.explained_variance(t.embeddings, "embedding", 5)
     return t.spark.createDataFrame([(i, s) for i, s in enumerate(shares, 1)], "component int, share double")
+
+
+# The eigenvalues of a symmetric 3 x 3 matrix in closed form.
+@query("ml24_three_columns", """
+    with v as (select l_quantity / 50.0 as a, l_extendedprice / 100000.0 as b, l_discount * 10.0 as c from lineitem),
+    m as (select covar_samp(a, a) as aa, covar_samp(b, b) as bb, covar_samp(c, c) as cc, covar_samp(a, b) as ab, covar_samp(a, c) as ac, covar_samp(b, c) as bc from v),
+    q as (select *, (aa + bb + cc) / 3 as q, sqrt(((aa - (aa + bb + cc) / 3) ** 2 + (bb - (aa + bb + cc) / 3) ** 2 + (cc - (aa + bb + cc) / 3) ** 2 + 2 * (ab ** 2 + ac ** 2 + bc ** 2)) / 6) as p from m),
+    r as (select *, acos(greatest(-1.0, least(1.0, (((aa - q) * ((bb - q) * (cc - q) - bc ** 2) - ab * (ab * (cc - q) - bc * ac) + ac * (ab * bc - (bb - q) * ac)) / p ** 3) / 2))) / 3 as phi from q),
+    e as (select q + 2 * p * cos(phi) as e1, q + 2 * p * cos(phi + 2 * pi() / 3) as e3, 3 * q as total from r)
+    select component::int as component, round(case component when 1 then e1 when 2 then total - e1 - e3 else e3 end / total, 8) as share from e, (values (1), (2), (3)) x(component)""")
+def _(t):
+    v = t.lineitem.select(F.array(F.col("l_quantity") / 50.0, F.col("l_extendedprice") / 100000.0, F.col("l_discount") * 10.0).alias("v"))
+    shares = mo.explained_variance(v, "v", 3)
+    return t.spark.createDataFrame([(i, round(s, 8)) for i, s in enumerate(shares, 1)], "component int, share double")

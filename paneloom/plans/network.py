@@ -91,14 +91,20 @@ def _(t):
 
 
 # Class: nation of the customer and last digit of its key; split by hash of the node.
-_SQL_PRUNED = f"""{_SQL_RESOLVED}, features as (
-    select node, entity, concat(c_nationkey, '-', entity % 10) as label,
+_SQL_PRUNED = f"""{_SQL_LINKS}, {_SQL_NODES},
+    pairs as materialized (select distinct src, dst from links), periods as (select distinct period from links),
+    resolved as materialized (select a.node as src, b.node as dst from pairs cross join periods p
+        join nodes a on src = a.entity and p.period = a.period join nodes b on dst = b.entity and p.period = b.period),
+    features as materialized (select node, entity, concat(c_nationkey, '-', entity % 10) as label,
         case when ('0x' || substr(md5('0|' || node), 1, 8))::bigint / 4294967296.0 < 0.8 then 'train' else 'test' end as split
-    from nodes join customer on entity = c_custkey),
-    f1 as (select * from features where node in (select src from resolved) or node in (select dst from resolved)),
-    f2 as (select * from f1 where label in (select label from f1 where split = 'train' group by label having count(*) > 1)),
-    e2 as (select * from resolved where src in (select node from f2) and dst in (select node from f2)),
-    f3 as (select * from f2 where node in (select src from e2) or node in (select dst from e2))"""
+        from nodes join customer on entity = c_custkey),
+    ends as materialized (select src as node from resolved union select dst from resolved),
+    f1 as materialized (select features.* from features join ends using (node)),
+    trained as (select label from f1 where split = 'train' group by label having count(*) > 1),
+    f2 as materialized (select f1.* from f1 join trained using (label)),
+    e2 as materialized (select r.src, r.dst from resolved r join f2 a on r.src = a.node join f2 b on r.dst = b.node),
+    ends2 as materialized (select src as node from e2 union select dst from e2),
+    f3 as (select f2.* from f2 join ends2 using (node))"""
 
 
 def features(t):

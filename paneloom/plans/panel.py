@@ -11,10 +11,11 @@ from ..functions.numbers import at_least
 from ..operators import finance as fin
 from ..operators import joins as jn
 from ..operators import windows as wn
+from ..session import stored
 from .base import query
 from .relational import SQL_HISTORY, history
-from .scalars import SQL_CLIPPED, SQL_SCORE_RATIOS, SQL_Z, score_ratios
-from .standins import GRID, SQL_GRID, SQL_SHIPMENTS, SQL_STATEMENTS, shipments
+from .scalars import SQL_CLIPPED, SQL_FAMILY, SQL_SCORE_RATIOS, SQL_Z, family, score_ratios
+from .standins import GRID, SQL_GRID, SQL_PANEL, SQL_SHIPMENTS, SQL_STATEMENTS, panel, shipments
 from .temporal import LABELS
 
 # Status of every customer on each quarter start, its change since the previous quarter
@@ -72,6 +73,50 @@ def _(t):
         F.count_if(d == LABELS[2]).alias("same"), F.count_if(d.isNull()).alias("unknown"), F.round(F.avg("days_since"), 6).alias("mean_days"))
 
 
+# The whole panel: status, sector and nation of the customer, its spending in the quarter, and the statement of
+# the supplier with the same key, whose ratios and changes count.
+_TABLES = ("sector", "nation", "spending", "statement")
+SQL_FULL = f"""{SQL_STATUS}, {SQL_STATEMENTS}, {SQL_FAMILY}, {SQL_PANEL.replace("panel as", "spending as")},
+    changes as (select a.ticker, a.period, a.Altman_Z, a.currentRatio, a.Altman_Z - b.Altman_Z as Altman_Z_diff, a.currentRatio - b.currentRatio as currentRatio_diff
+        from family a left join family b on a.ticker = b.ticker and b.period = cast(a.period - interval 3 month as date)),
+    fold as (
+        select p.*, n_name as nation, s.n as orders, s.spend, Altman_Z, currentRatio, Altman_Z_diff, currentRatio_diff,
+            c.c_custkey is not null as in_0, k.n_nationkey is not null as in_1, s.entity is not null as in_2, h.ticker is not null as in_3
+        from panel_rows p left join customer c on p.entity = c.c_custkey left join nation k on c.c_nationkey = k.n_nationkey
+        left join spending s on p.entity = s.entity and p.grid_date = s.period left join changes h on p.entity = h.ticker and p.grid_date = h.period)"""
+
+
+def _full(t):
+    customer = t.customer.select(F.col("c_custkey").alias("entity"), "c_nationkey")
+    nation = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
+    spending = panel(t).select("entity", F.col("period").alias("grid_date"), F.col("n").alias("orders"), "spend")
+    rows = stored(family(t), "family").withColumn("previous", F.add_months("period", -3))
+    changes = jn.previous_period(rows, "ticker", "period", "previous", ["Altman_Z", "currentRatio"])
+    changes = changes.select(F.col("ticker").alias("entity"), F.col("period").alias("grid_date"), "Altman_Z", "currentRatio", "Altman_Z_diff", "currentRatio_diff")
+    steps = zip(_TABLES, (customer, nation, spending, changes), (["entity"], ["c_nationkey"], ["entity", "grid_date"], ["entity", "grid_date"]))
+    return jn.audited_fold(status_panel(t), list(steps))
+
+
+_ROUNDED = ("Altman_Z", "currentRatio", "Altman_Z_diff", "currentRatio_diff")
+
+
+@query("panel_full", f"""
+    with {SQL_FULL} select entity, grid_date, grade, rank, ship_day, days_since, investment_grade, direction, change, sector, nation, orders, spend,
+        {", ".join(f"round({c}, 5) as {c}" for c in _ROUNDED)} from fold where in_0 and in_1 and in_2 and in_3""")
+def _(t):
+    full = _full(t)[0].drop("c_nationkey")
+    return full.withColumns({c: F.round(c, 5) for c in _ROUNDED})
+
+
+@query("panel_audit", f"""
+    with {SQL_FULL}, n as (select count(*) as n0, count(*) filter (where in_0) as n1, count(*) filter (where in_0 and in_1) as n2,
+        count(*) filter (where in_0 and in_1 and in_2) as n3, count(*) filter (where in_0 and in_1 and in_2 and in_3) as n4 from fold)
+    select step::int as step, joined, rows_in, rows_out, rows_in - rows_out as lost, 0::bigint as repeated_keys from (
+        {" union all ".join(f"select {i + 1} as step, '{x}' as joined, n{i} as rows_in, n{i + 1} as rows_out from n" for i, x in enumerate(_TABLES))})""")
+def _(t):
+    return _full(t)[1]
+
+
 _DIFFED = ["Altman_Z", *fin.SCORE_RATIOS]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..sources import readers as rd
 from ..sources import writers as wr
 from .base import query, scratch
 from .standins import (
-    END, GRID, SQL_GRID, SQL_PANEL, SQL_RATINGS, SQL_SHIPMENTS, panel, ratings, shipments,
+    END, GRID, SQL_FIRMS, SQL_GRID, SQL_PANEL, SQL_RATINGS, SQL_SHIPMENTS, firms, panel, ratings, shipments, sql_best_match,
 )
 from ..operators.windows import validity
 
@@ -58,22 +59,46 @@ def _(t):
     return slim.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
-@query("src5_path_encoded", r"""
-    with paths as (
-        select o_orderkey, concat('root/', o_orderstatus, '/', substr(o_orderpriority, 3), '/C', o_custkey,
-            year(o_orderdate), quarter(o_orderdate), '.csv') as path from orders)
-    select o_orderkey, split_part(path, '/', 2) as sector, split_part(path, '/', 3) as company,
-        regexp_extract(path, '([^/]+)[0-9]{5}\.csv$', 1) as symbol,
-        cast(regexp_extract(path, '([0-9]{4})[0-9]\.csv$', 1) as integer) as year,
-        cast(regexp_extract(path, '[0-9]{4}([0-9])\.csv$', 1) as integer) as quarter
-    from paths""")
+# A tree of call files: one for each nation and quarter, in folders of region and nation.
+_SQL_CALLS = """calls as (
+    select trim(r_name) as sector, trim(n_name) as company, concat('N', n_nationkey) as symbol, year(o_orderdate) as year, quarter(o_orderdate) as quarter,
+        max(o_orderkey) as last_key, count(*) as n, max(cast(o_orderdate as date)) as day
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+    group by all)"""
+
+
+def _calls(t):
+    """The tree, written anew: every seventh file (by its last key) is cut before the transcript, every folder has a file of speakers."""
+    c, n, r = t.customer.select("c_custkey", "c_nationkey"), t.nation, t.region
+    rows = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(
+        F.trim("r_name").alias("sector"), F.trim("n_name").alias("company"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("symbol"),
+        F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"),
+    ).agg(F.max("o_orderkey").alias("last_key"), F.count("*").alias("n"), F.max(F.to_date("o_orderdate")).alias("day"))
+    folder = F.concat_ws("/", "sector", "company")
+    whole = F.concat(F.lit(',0\ndate,'), F.col("day").cast("string"), F.lit(' 17:00\ncontent,"Operator: '), F.col("n").cast("string"),
+                     F.lit(" orders, thank you.\nNext, the last is "), F.col("last_key").cast("string"), F.lit('."'))
+    text = F.when(F.col("last_key") % 7 == 0, F.substring_index(whole, "\ncontent", 1)).otherwise(whole)
+    calls = rows.select(F.concat(folder, F.lit("/"), "symbol", F.col("year").cast("string"), F.col("quarter").cast("string"), F.lit(".csv")).alias("file"), text.alias("value"))
+    speakers = rows.select(F.concat(folder, F.lit("/speaker names.csv")).alias("file"), F.lit("name,firm").alias("value")).distinct()
+    path = scratch(t, f"calls-{uuid.uuid4().hex}")
+    wr.write_named_texts(calls.unionByName(speakers), path, "file", "value")
+    return path
+
+
+@query("src5_path_encoded", f"""
+    with {_SQL_CALLS}
+    select sector, company, symbol, cast(year as integer) as year, cast(quarter as integer) as quarter, concat(day, ' 17:00') as datetime,
+        concat('Operator: ', n, ' orders, thank you.', chr(10), 'Next, the last is ', last_key, '.') as transcript
+    from calls where last_key % 7 <> 0""")
 def _(t):
-    path = F.concat(
-        F.lit("root/"), "o_orderstatus", F.lit("/"), F.substring("o_orderpriority", 3, 100), F.lit("/C"),
-        "o_custkey", F.year("o_orderdate"), F.quarter("o_orderdate"), F.lit(".csv"))
-    keys = rd.path_keys(F.col("path"))
-    return t.orders.select("o_orderkey", path.alias("path")).select(
-        "o_orderkey", *[c.alias(n) for n, c in keys.items()])
+    return rd.read_calls(t.spark, _calls(t))
+
+
+@query("src6_tree_audit", f"""
+    with {_SQL_CALLS} select sector, count(*) as n_raw, count(*) filter (where last_key % 7 <> 0) as n_ok from calls group by sector""")
+def _(t):
+    return fl.load_audit(rd.read_call_files(t.spark, _calls(t)), "sector", F.col("loaded"))
 
 
 @query("src6_tolerant_load", """
@@ -105,17 +130,20 @@ def _(t):
 
 
 @query("src8_score_shards", """
-    select event_id as position, value as score from events""")
-def _(t):
-    lines = 1000
-    start = F.floor(F.col("event_id") / lines) * lines
-    shard = (
-        t.events.groupBy(start.alias("start"))
-        .agg(F.sort_array(F.collect_list(F.struct("event_id", F.col("value").cast("string").alias("v")))).alias("rows"))
-        .select(
-            F.concat(F.lit("result_"), "start", F.lit("_"), F.col("start") + lines, F.lit(".txt")).alias("file"),
-            F.array_join("rows.v", "\n").alias("value")))
-    return rd.parse_score_shards(shard)
+    with f as (select min(event_id) as first from events)
+    select event_id - first as position, case when event_id % 11 <> 0 then value end as score from events, f""")
+def _(t):
+    # Shards of uneven length: the k-th holds 100 * (2k + 1) events; some lines hold no number.
+    first = t.events.agg(F.min("event_id")).scalar()
+    at = (F.col("event_id") - first).alias("at")
+    shard = F.floor(F.sqrt(at / 100)).cast("long")
+    text = F.when(F.col("event_id") % 11 != 0, F.col("value").cast("string")).otherwise("n/a")
+    start, end = (100 * F.pow("shard", 2)).cast("long"), (100 * F.pow(F.col("shard") + 1, 2)).cast("long")
+    rows = t.events.select(at, shard.alias("shard"), text.alias("value"))
+    rows = rows.select("at", "value", F.concat_ws("_", F.lit("result"), start.cast("string"), F.concat(end.cast("string"), F.lit(".txt"))).alias("file"))
+    path = scratch(t, f"src8-{uuid.uuid4().hex}")
+    wr.write_named_texts(rows, path, "file", "value", ["at"])
+    return rd.read_score_shards(t.spark, path)
 
 
 # ---------------------------------------------------------------- sinks
@@ -485,13 +513,13 @@ def _(t):
     return out.select("agency", "entity", "tie", "grid_date", "ship_day", "l_orderkey")
 
 
-@query("jn9_match_not_self", """
-    select a.c_custkey as id, b.s_suppkey as other from customer a
-    join supplier b on a.c_nationkey = b.s_nationkey and a.c_custkey <> b.s_suppkey""")
+@query("jn9_match_not_self", f"""
+    with {SQL_FIRMS}
+    select a.doc_id as id, b.doc_id as other, a.name from firms a join firms b on a.name = b.name and a.k = 2 and b.k = 2 and a.doc_id <> b.doc_id""")
 def _(t):
-    c = t.customer.select(F.col("c_custkey").alias("id"), "c_nationkey")
-    s = t.supplier.select(F.col("s_suppkey").alias("other"), "s_nationkey")
-    return jn.match_not_self(c, s, ("c_nationkey", "s_nationkey"), ("id", "other")).select("id", "other")
+    f = firms(t).where("k = 2")
+    other = f.select(F.col("doc_id").alias("other"), F.col("name").alias("other_name"))
+    return jn.match_not_self(f.select(F.col("doc_id").alias("id"), "name"), other, ("name", "other_name"), ("id", "other")).select("id", "other", "name")
 
 
 @query("jn10_keys_by_grid", f"""
@@ -524,19 +552,15 @@ def _(t):
     return jn.lookup_ends(edges, t.nation.select("n_nationkey", "n_name"), "n_nationkey")
 
 
-SQL_GRAMS = "list_distinct([substr({c}, i, 3) for i in range(1, greatest(length({c}) - 2, 1) + 1)])"
-
-
+# Listed names: one letter of every firm is dropped and its document's language added.
 @query("jn13_fuzzy_best_match", f"""
-    with x as (select distinct p_name as name, {SQL_GRAMS.format(c='p_name')} as g from part),
-    y as (select distinct concat(p_name, ' ', p_type) as name, {SQL_GRAMS.format(c="concat(p_name, ' ', p_type)")} as g from part),
-    s as (select x.name as p_name, y.name as label, len(list_intersect(x.g, y.g)) as c, len(x.g) as a, len(y.g) as b from x, y),
-    r as (select p_name, label, c / (a + b - c) as similarity from s)
-    select p_name, label, round(similarity, 6) as similarity from (
-        select *, row_number() over (partition by p_name order by similarity desc, label) as k from r where similarity >= 0.5) where k = 1""")
-def _(t):
-    right = t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("label"))
-    out = jn.fuzzy_best_match(t.part, right, "p_name", "label", threshold=0.5)
+    with {SQL_FIRMS}, listed as (select concat(substr(name, 1, 4), substr(name, 6), ' ', lang) as name from firms join documents using (doc_id)),
+    {sql_best_match("firms", "listed", "firm", "listed_name", 0.5)}""")
+def _(t):
+    f = firms(t)
+    listed = f.join(t.documents.select("doc_id", "lang"), "doc_id").select(
+        F.concat(F.substring("name", 1, 4), F.expr("substr(name, 6)"), F.lit(" "), "lang").alias("listed_name"))
+    out = jn.fuzzy_best_match(f.select(F.col("name").alias("firm")), listed, "firm", "listed_name", threshold=0.5)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 

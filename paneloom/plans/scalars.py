@@ -11,6 +11,8 @@ from ..functions import strings as S
 from ..operators import aggregates as ag
 from ..operators import finance as fin
 from ..operators import text as tx
+from ..operators.joins import previous_period
+from ..session import stored
 from .base import query
 from .standins import GRADE_RANK, GRADES, GRID, SQL_GRID, SQL_PANEL, SQL_STATEMENTS, panel, statements
 
@@ -237,8 +239,8 @@ SQL_CLIPPED = (
 
 
 def score_ratios(t):
-    """Statements with their score ratios; kept, as the quantiles and the rows both read them."""
-    return statements(t).withColumns(fin.ratio_columns(fin.SCORE_RATIOS)).persist()
+    """Statements with their score ratios; written, as the quantiles and the rows both read them."""
+    return stored(statements(t).withColumns(fin.ratio_columns(fin.SCORE_RATIOS)), "score_ratios")
 
 
 @query("fn_m3_linear_score", f"""
@@ -286,6 +288,30 @@ def _(t):
     return c.select("ticker", "period", *[F.round(n, 6).alias(n) for n in fin.SCORE_LEVELS])
 
 
+# The later ratios keep a signed infinity on a zero denominator until they are clipped.
+_SQL_SIGNED = ", ".join(
+    f"case when ({d}) = 0 then case when ({n}) > 0 then 'inf'::double when ({n}) < 0 then '-inf'::double end else ({n}) / ({d}) end as {name}"
+    for name, (n, d) in fin.RATIOS.items())
+
+
+def _sql_quantile(values: str, p: float) -> str:
+    """Of a sorted list: between its neighbours, or the value itself where they are equal (also infinities)."""
+    at = f"floor((len({values}) - 1) * {p})::bigint"
+    low, high, part = f"{values}[{at} + 1]", f"{values}[least({at} + 2, len({values}))]", f"((len({values}) - 1) * {p} - {at})"
+    return f"case when {low} = {high} or {part} = 0 then {low} else (1 - {part}) * {low} + {part} * {high} end"
+
+
+@query("fn_m6_clipped_ratios", f"""
+    with {SQL_STATEMENTS}, signed as (select ticker, period, {_SQL_SIGNED} from statements),
+    lists as (select {", ".join(f"list({n} order by {n}) filter (where {n} is not null) as {n}_l" for n in fin.RATIOS)} from signed),
+    bounds as (select {", ".join(f"{_sql_quantile(f'{n}_l', 0.025)} as {n}_lo, {_sql_quantile(f'{n}_l', 0.975)} as {n}_hi" for n in fin.RATIOS)} from lists)
+    select ticker, period, {", ".join(f"round(case when {n} is not null then greatest(least({n}, {n}_hi), {n}_lo) end, 6) as {n}" for n in fin.RATIOS)} from signed, bounds""")
+def _(t):
+    rows = stored(statements(t).withColumns(fin.ratio_columns(fin.RATIOS, zero_division="clip")), "signed")
+    clipped = fin.winsorise(rows, {n: (0.025, 0.975) for n in fin.RATIOS})
+    return clipped.select("ticker", "period", *[F.round(n, 6).alias(n) for n in fin.RATIOS])
+
+
 @query("fn_m7_smoothed_log_ratio", """
     select l_suppkey, round(log10((count(*) filter (where l_returnflag = 'A') + 1.0) / (count(*) filter (where l_returnflag = 'R') + 1.0)), 6) as score
     from lineitem group by l_suppkey""")
@@ -304,6 +330,35 @@ def _(t):
     return statements(t).select("ticker", "period", *[F.round(c, 6).alias(n) for n, c in d.items()])
 
 
+# Ratios that come with the statements, here from their columns.
+_GIVEN = {
+    "grossProfitRatio": ("revenue - inventory_balance_sheet", "revenue"),
+    "ebitdaratio": ("ebitda", "revenue"),
+    "operatingIncomeRatio": ("EBIT", "revenue"),
+    "incomeBeforeTaxRatio": ("EBIT - 0.01 * totalDebt", "revenue"),
+    "netIncomeRatio": ("netIncome_income_statement", "revenue"),
+}
+_FAMILY = {**fin.SCORE_RATIOS, **_GIVEN, **fin.RATIOS}
+SQL_FAMILY = f"""family as (select *, {SQL_Z} as Altman_Z from (
+    select ticker, period, {", ".join(f"{_sql_ratio(n, d)} as {name}" for name, (n, d) in _FAMILY.items())} from statements))"""
+
+
+def family(t):
+    """All variables whose change is kept, of every statement."""
+    rows = statements(t).withColumns(fin.ratio_columns(_FAMILY))
+    return fin.altman(rows).select("ticker", "period", *fin.DIFFERENCED)
+
+
+@query("fn_m8_change_family", f"""
+    with {SQL_STATEMENTS}, {SQL_FAMILY}
+    select a.ticker, a.period, {", ".join(f"round(a.{c} - b.{c}, 5) as {c}_diff" for c in fin.DIFFERENCED)}
+    from family a left join family b on a.ticker = b.ticker and b.period = cast(a.period - interval 3 month as date)""")
+def _(t):
+    rows = stored(family(t), "family").withColumn("previous", F.add_months("period", -3))
+    out = previous_period(rows, "ticker", "period", "previous", fin.DIFFERENCED)
+    return out.select("ticker", "period", *[F.round(f"{c}_diff", 5).alias(f"{c}_diff") for c in fin.DIFFERENCED])
+
+
 @query("fn_m9_threshold_flag", f"""
     with {SQL_PANEL} select entity, period, coalesce(rank >= 3, false) as investment_grade from panel""")
 def _(t):

@@ -204,3 +204,29 @@ def entries(t: Tables) -> DataFrame:
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# Names of firms: the first, second and third three words of each document, a few hundred words in all.
+SQL_FIRMS = r"""firms as (
+    select doc_id, k, array_to_string(ws[3 * k + 1:3 * k + 3], ' ') as name
+    from (select doc_id, unnest(range(3)) as k, regexp_extract_all(replace(text, 'ß', 'ss'), '[^ \t\n\r\f\v]+') as ws from documents)
+    where len(ws) >= 3 * k + 3)"""
+
+
+def firms(t: Tables) -> DataFrame:
+    """doc_id, k, name."""
+    found = F.regexp_extract_all(F.replace("text", F.lit("ß"), F.lit("ss")), F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
+    rows = t.documents.select("doc_id", found.alias("ws")).select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    rows = rows.where(F.size("ws") >= 3 * F.col("k") + 3)
+    return rows.select("doc_id", "k", F.array_join(F.slice("ws", 3 * F.col("k") + 1, 3), " ").alias("name"))
+
+
+def sql_best_match(left: str, right: str, a: str, b: str, threshold: float, not_equal: bool = False) -> str:
+    """Best partner by trigrams, of the tables ``left`` (name) and ``right`` (name), through their common grams."""
+    grams = "list_distinct([substr(name, i, 3) for i in range(1, greatest(length(name) - 2, 1) + 1)])"
+    return f"""x as (select distinct name, {grams} as g from {left}), y as (select distinct name, {grams} as g from {right}),
+    xg as (select name, len(g) as size, unnest(g) as gram from x), yg as (select name, len(g) as size, unnest(g) as gram from y),
+    c as (select xg.name as {a}, yg.name as {b}, count(*) / (any_value(xg.size) + any_value(yg.size) - count(*)) as similarity
+        from xg join yg using (gram) {"where xg.name <> yg.name" if not_equal else ""} group by xg.name, yg.name having similarity >= {threshold})
+    select {a}, {b}, round(similarity, 6) as similarity from (
+        select *, row_number() over (partition by {a} order by similarity desc, {b}) as r from c) where r = 1"""

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learning as ml
+from ..operators import moments as mo
 from ..operators import text as tx
+from ..session import stored
 from .base import query
-from .standins import SQL_LEXICON, SQL_WORD, entries, sql_tokens, sql_words
+from .standins import SQL_FIRMS, SQL_LEXICON, SQL_WORD, entries, firms, sql_best_match, sql_tokens, sql_words
 
-_NUM = r"$$^[0-9]{1,4}(?:,[0-9])*(?:\.[0-9]+)?(?:$|[^A-Za-z0-9_.-])$$"
+NUM = r"$$^[0-9]{1,4}(?:,[0-9])*(?:\.[0-9]+)?(?:$|[^A-Za-z0-9_.-])$$"
 _HARD = r"$$[aeiouy][^aeiouy]+[aeiouy]+[^aeiouy]+[aeiouy]$$"
-_SENT = f"[s for s in regexp_extract_all(text, $$[^.!?]+[.!?]*$$) if regexp_matches(s, {SQL_WORD})]"
+SENT = f"[s for s in regexp_extract_all(text, $$[^.!?]+[.!?]*$$) if regexp_matches(s, {SQL_WORD})]"
 _WORDS = f"with_words as (select *, {sql_words()} as ws from documents)"
 _COUNTS = f"word_counts as (select doc_id, lower(unnest({sql_words()})) as word, 1 as one from documents)"
 
@@ -25,8 +27,7 @@ def text_docs(t):
 
 
 def lexicon(t):
-    """Kept: it is counted before it is broadcast."""
-    return tx.build_lexicon(entries(t)).persist()
+    return tx.build_lexicon(entries(t))
 
 
 @query("tx1_tokenise", f"""
@@ -38,7 +39,7 @@ def _(t):
 
 
 @query("tx2_sentences", f"""
-    with k as (select doc_id, len({_SENT}) as n, len({sql_words()}) as w from documents)
+    with k as (select doc_id, len({SENT}) as n, len({sql_words()}) as w from documents)
     select doc_id, n as n_sentences, round(w / nullif(n, 0), 4) as mean_length from k""")
 def _(t):
     k = text_docs(t).select("doc_id", F.size(tx.sentences(F.col("text"))).cast("long").alias("n_sentences"),
@@ -64,27 +65,28 @@ def _(t):
 
 @query("tx5_numeric_transparency", f"""
     with k as (select doc_id, {sql_tokens()} as ts from documents)
-    select doc_id, round(len([x for x in ts if regexp_matches(x, {_NUM})]) / nullif(len(list_distinct([x for x in ts if not regexp_matches(x, {_NUM})])), 0), 2) as num_transparency from k""")
+    select doc_id, round(len([x for x in ts if regexp_matches(x, {NUM})]) / nullif(len(list_distinct([x for x in ts if not regexp_matches(x, {NUM})])), 0), 2) as num_transparency from k""")
 def _(t):
     return text_docs(t).select("doc_id", tx.tokens(F.col("text")).alias("ts")).select(
         "doc_id", tx.numeric_transparency(F.col("ts")).alias("num_transparency"))
 
 
 @query("tx6_fog", f"""
-    with {_WORDS}, k as (select doc_id, len(ws) as n, len({_SENT}) as s, len([w for w in ws if regexp_matches(lower(w), {_HARD})]) as h from with_words)
+    with {_WORDS}, k as (select doc_id, len(ws) as n, len({SENT}) as s, len([w for w in ws if regexp_matches(lower(w), {_HARD})]) as h from with_words)
     select doc_id, case when n >= 100 then round(0.4 * (n / nullif(s, 0) + 100 * (h / nullif(n, 0))), 4) end as gf_score from k""")
 def _(t):
     k = text_docs(t).select("doc_id", tx.words(tx.tokens(F.col("text"))).alias("ws"), F.size(tx.sentences(F.col("text"))).alias("s"))
     return k.select("doc_id", F.round(tx.fog(F.col("ws"), F.col("s")), 4).alias("gf_score"))
 
 
+# The texts hold few question marks, so a full stop counts as the mark here.
 @query("tx7_question_features", f"""
-    with k as (select page_id, length(url) - length(replace(url, '?', '')) as q, len({sql_words("url")}) as n from pages)
-    select page_id, q as num_questions, round(q / nullif(n, 0), 6) as per_word, round(n / nullif(q, 0), 6) as words_per_question,
+    with {_WORDS}, k as (select doc_id, length(text) - length(replace(text, '.', '')) as q, len(ws) as n from with_words)
+    select doc_id, q as num_questions, round(q / nullif(n, 0), 6) as per_word, round(n / nullif(q, 0), 6) as words_per_question,
         round(1000 * (q / nullif(n, 0)), 4) as per_1000 from k""")
 def _(t):
-    f = tx.text_features(t.pages.select("page_id", "url"), "page_id", "url")
-    return f.select("page_id", "num_questions", F.round("num_q_by_len", 6).alias("per_word"),
+    f = tx.text_features(text_docs(t), "doc_id", "text", question=".")
+    return f.select("doc_id", "num_questions", F.round("num_q_by_len", 6).alias("per_word"),
                     F.round("words_per_question", 6).alias("words_per_question"), F.round("questions_per_1000", 4).alias("per_1000"))
 
 
@@ -110,10 +112,28 @@ def _(t):
     return r.select("doc_id", *[F.round(n, 6).alias(n) for n in tx.TONE_PAIRS])
 
 
-@query("tx10_first_component")
+_T = [f"t{i}" for i in range(4)]
+_CORR = [[f"m{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+_TIMES = [" + ".join(f"{_CORR[i][j]} * v{j}" for j in range(4)) for i in range(4)]
+
+
+# The leading eigenvector of the correlations by repeated multiplication.
+@query("tx10_first_component", f"""
+    with recursive {_SQL_HITS}, r as (select doc_id, {", ".join(f"{a} / nullif({b}, 0) as {x}" for x, (a, b) in zip(_T, tx.TONE_PAIRS.values()))} from hits),
+    known as (select * from r where {" and ".join(f"{x} is not null" for x in _T)}),
+    m as materialized (select {", ".join(f"corr({_T[i]}, {_T[j]}) as m{i}{j}" for i in range(4) for j in range(i, 4))},
+        {", ".join(f"avg({x}) as a{i}, stddev_pop({x}) as d{i}" for i, x in enumerate(_T))} from known),
+    w as (select 0 as step, 0.9::double as v0, 0.8::double as v1, 0.7::double as v2, 0.6::double as v3
+        union all select step + 1, {", ".join(f"x{i} / sqrt(x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3)" for i in range(4))}
+        from (select step, {", ".join(f"{e} as x{i}" for i, e in enumerate(_TIMES))} from w, m where step < 3000)),
+    e as (select *, greatest(v0, v1, v2, v3) as hi, least(v0, v1, v2, v3) as lo from w where step = 3000),
+    f as (select case when abs(lo) > hi then -1 else 1 end as sign, * from e)
+    select r.doc_id, round(case when {" and ".join(f"{x} is not null" for x in _T)} then sign * ({" + ".join(f"v{i} * ({x} - a{i}) / d{i}" for i, x in enumerate(_T))}) end, 5) as tone
+    from r, f, m""")
 def _(t):
     r = tx.tone_ratios(tx.lexicon_counts(text_docs(t), lexicon(t), "doc_id"))
-    return ml.first_component(r.select("doc_id", *tx.TONE_PAIRS), list(tx.TONE_PAIRS), "doc_id", "tone").select("doc_id", "tone")
+    r = stored(r.select("doc_id", *tx.TONE_PAIRS), "tones")
+    return mo.first_component(r, list(tx.TONE_PAIRS), "tone").select("doc_id", F.round("tone", 5).alias("tone"))
 
 
 @query("tx11_net_positivity", f"""
@@ -125,7 +145,7 @@ def _(t):
 
 @query("tx12_label_positivity", f"""
     with {SQL_LEXICON}, polar as (select word, sum(case category when 'Positiv' then 1 else -1 end) as sign from lexicon where category in ('Positiv', 'Negativ') group by 1),
-    parts as (select doc_id, generate_subscripts(ss, 1) as i, unnest(ss) as s from (select doc_id, {_SENT} as ss from documents)),
+    parts as (select doc_id, generate_subscripts(ss, 1) as i, unnest(ss) as s from (select doc_id, {SENT} as ss from documents)),
     pw as (select doc_id, i, lower(unnest({sql_words("s")})) as word from parts),
     b as (select doc_id, i, sum(coalesce(sign, 0)) as b from pw left join polar using (word) group by 1, 2),
     c as (select doc_id, count(*) filter (where b > 0) as n_positive, count(*) filter (where b < 0) as n_negative from b group by 1)
@@ -176,7 +196,7 @@ def names(t):
     """Names to look for: the first one, two and three words of each passage."""
     w = t.benchmark.select("item_id", tx.words(tx.tokens(F.col("text"))).alias("w"))
     parts = F.array(*[F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", 1, n), " ").alias("name")) for n in (1, 2, 3)])
-    return w.where(F.size("w") >= 3).select("item_id", F.inline(parts)).persist()
+    return w.where(F.size("w") >= 3).select("item_id", F.inline(parts))
 
 
 _SQL_NAMES = f"""bw as (select item_id, {sql_words()} as w from benchmark),
@@ -228,19 +248,17 @@ def _(t):
     return tx.link_mentions(found, linkable, t.labels.where("quality = 1"), "doc_id")
 
 
-_GRAMS = "list_distinct([substr({c}, i, 3) for i in range(1, greatest(length({c}) - 2, 1) + 1)])"
+_FIRM_RAW = "concat(name, case doc_id % 6 when 0 then ' Corp.' when 1 then ' Holdings Inc.' when 2 then ' Co.' when 3 then ' Co Ltd' when 4 then ', Inc' else ' LP!' end)"
 
 
 @query("tx18_link_fuzzy", f"""
-    with x as (select distinct name, {_GRAMS.format(c="name")} as g from (select upper({_RAW}) as name from part)),
-    y as (select distinct name as clean_name, {_GRAMS.format(c="name")} as h from (select {_sql_normalised(_RAW)} as name from part)),
-    s as (select name, clean_name, len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h))) as similarity from x, y)
-    select name, clean_name, round(similarity, 6) as similarity from (
-        select *, row_number() over (partition by name order by similarity desc, clean_name) as k from s where similarity >= 0.7 and name <> clean_name) where k = 1""")
+    with {SQL_FIRMS}, raw as (select {_FIRM_RAW} as raw from firms), said as (select upper(raw) as name from raw),
+    clean as (select {_sql_normalised("raw")} as name from raw),
+    {sql_best_match("said", "clean", "name", "clean_name", 0.7, not_equal=True)}""")
 def _(t):
     from ..operators.joins import fuzzy_best_match
 
-    raw = _raw_names(t)
+    raw = firms(t).select(F.expr(_FIRM_RAW).alias("raw"))
     a = raw.select(F.upper("raw").alias("name"))
     b = raw.select(tx.normalise_name(F.col("raw")).alias("clean_name"))
     out = fuzzy_best_match(a, b, "name", "clean_name", threshold=0.7, not_equal=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back.
+
+    For tables that are read several times and for lookup tables made by a job: the optimiser knows
+    the size of what was written, so it decides by measure whether to broadcast it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/paneloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,6 +26,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def write_named_texts(df: DataFrame, path: str, name: str, value: str, order: Sequence[str] = ()) -> None:
+    """Write text files with names of their own: ``path/<name>`` holds the values of that name, line by line.
+
+    ``name`` may have folders in it. One task writes a file, from rows sorted by ``order``. Spark's
+    writer makes a folder for each name; its one file is then renamed through the
+    file system of ``path``, a call for each file.
+    """
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}.parts"
+    rows = df.repartition(name).sortWithinPartitions(name, *order).select(F.col(value).alias("value"), F.col(name).alias("_file"))
+    rows.write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("_file").text(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.globStatus(hadoop.Path(f"{staged}/_file=*")):
+        target = hadoop.Path(f"{path.rstrip('/')}/{unquote(folder.getPath().getName().removeprefix('_file='))}")
+        fs.mkdirs(target.getParent())
+        for file in fs.globStatus(hadoop.Path(folder.getPath(), "part-*")):
+            if not fs.rename(file.getPath(), target):
+                raise RuntimeError(f"{target} could not be written")
+
+
 def piece_bounds(df: DataFrame, order: Sequence[str], n: int) -> list[tuple]:
     """Order keys of the first row of pieces 1..n-1, ``order`` being a unique key.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paneloom.operators import graph as gr
 from paneloom.operators import learning as ml
 from paneloom.operators import metrics as mt
+from paneloom.operators import moments
 
 
 def rows(df):
@@ -153,7 +154,7 @@ def test_first_component_sign_and_scale(spark):
     x = rng.normal(size=200)
     data = [(i, float(v), float(2 * v + rng.normal() * 0.1)) for i, v in enumerate(x)] + [(999, None, 1.0)]
     df = spark.createDataFrame(data, "id int, a double, b double")
-    got = {r["id"]: r["pc"] for r in ml.first_component(df, ["a", "b"], "id", "pc").collect()}
+    got = {r["id"]: r["pc"] for r in moments.first_component(df, ["a", "b"], "pc").collect()}
     assert got[999] is None
     z = np.array([[a, b] for _, a, b in data[:-1]])
     z = (z - z.mean(0)) / z.std(0)

@@ -121,12 +121,16 @@ def test_names_of_any_length_and_with_marks_are_found(spark):
     assert got == [(1, "A.B. SMITH", 1), (1, "THE VERY LONG NAME OF A FIRM", 1)]
 
 
-def test_shuffled_mentions_equal_broadcast_ones(spark, monkeypatch):
+def test_shuffled_mentions_equal_broadcast_ones(spark):
     docs = spark.createDataFrame([(1, "Big Firm met Small Firm and Big Firm"), (2, "nothing")], "doc int, text string")
     names = spark.createDataFrame([("Big Firm",), ("Small firm",), ("Firm",)], "name string")
     one_way = sorted(map(tuple, tx.mentions(docs, names, "doc").collect()))
-    monkeypatch.setattr(tx, "broadcastable", lambda *_: False)
-    assert sorted(map(tuple, tx.mentions(docs, names, "doc").collect())) == one_way != []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, tx.mentions(docs, names, "doc").collect())) == one_way != []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_documents_without_sentences_score_zero(spark):
