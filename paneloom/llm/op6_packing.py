@@ -12,9 +12,11 @@ counts by length; memory is bounded by the pieces of a partition.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +32,41 @@ ROUNDS = 6
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The tokens that a tokenizers file adds to its vocabulary: it finds them in any text, as they are."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as lines:
+        return {t["content"]: t["id"] for t in json.load(lines)["added_tokens"]}
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str, pattern: str, added: tuple[tuple[str, int], ...]):
+    """The tiktoken encoder of a rank file with added tokens; one for each worker process."""
+    import tiktoken
+
+    plain = encoder(path, pattern)
+    return tiktoken.Encoding("with added", pat_str=pattern, mergeable_ranks=plain._mergeable_ranks, special_tokens=dict(added))
+
+
 def pieces(docs: DataFrame, row: Column, capacity: int = CAPACITY, files: tuple[str, str] | None = None) -> DataFrame:
     """row, piece, start, length, ids_crc32 of every piece of every row of ``docs``; only the text is read.
 
-    Ids are those of the byte-level vocabulary without special tokens, then ``END``. tiktoken gives
-    the same ids as the tokenizers file of that vocabulary, about four times as fast. A longer
-    document is cut into pieces of ``capacity``, of which the first may be shorter.
+    Ids are those of the tokenizers file of the byte-level vocabulary, then ``END``; a marker
+    that the file adds, such as <|endoftext|>, is one id wherever a text holds it. tiktoken gives
+    the same ids, about four times as fast. A longer document is cut into pieces of ``capacity``,
+    of which the first may be shorter.
     """
-    files = files or vocabulary()
+    files, added = files or vocabulary(), tuple(added_tokens().items())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(*files)
+        words = tokenizer(*files, added)
         for batch in batches:
             which, number, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                ids = words.encode_ordinary(text.as_py() or "")
+                ids = words.encode(text.as_py() or "", allowed_special="all")
                 ids.append(END)
                 data = np.array(ids, "<u4")
                 n = len(data)
