@@ -28,12 +28,18 @@ RUN = r"[A-Za-z0-9+/_-]{20,}"
 MAY = {"assign": "(?i)" + ASSIGN, "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "random": r"[A-Za-z0-9+/_-]{20}"}
 PATTERNS = {"assign": re.compile(ASSIGN, re.I | re.A), "access": re.compile(ACCESS), "hex": re.compile(HEX)}
 CANDIDATE = re.compile(RUN)
-# Digests (by length in hexadecimal digits), UUIDs, and numbers with marks (dates, phone numbers, rules of
-# marks: a token holds few digits, so their ratio tells nothing). Words and names are left to the ratio.
+# Digests (by length in hexadecimal digits, also with a prefix, or in base64 after one), short hashes of commits,
+# UUIDs, ISBNs, and numbers with marks (dates, phone numbers, rules of marks: a token holds few digits, so
+# their ratio tells nothing). Words and names are left to the ratio.
 KNOWN = re.compile(
-    r"([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
+    r"(?:(?:md5|sha-?(?:1|224|256|384|512)|commit|git|rev)[-_/])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"
+    r"|sha-?(?:1-[a-z0-9+/]{27}|224-[a-z0-9+/]{38}|256-[a-z0-9+/]{43}|384-[a-z0-9+/]{64}|512-[a-z0-9+/]{86})"
+    r"|(?:[a-z]+[-_/])*(?:commit|git|rev)[-_/][0-9a-f]{7,40}"
     r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+    r"|(?:[a-z]+[-_/])*isbn(?:-1[03])?[-_/]?[0-9x-]{10,17}"
     r"|[0-9_+/-]+", re.I | re.A)
+LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+SEQUENCES = (LETTERS * 2 + DIGITS, DIGITS + LETTERS * 2)  # the plain alphabet, with digits before or after
 CHARS_PER_TOKEN = 2.0  # fewer than so many mark a string as random
 MARK = "[SECRET]"
 
@@ -65,12 +71,24 @@ def pattern_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def known(run: str) -> bool:
+    """Whether a run is a digest, an identifier, a number or a stretch of the alphabet."""
+    return bool(KNOWN.fullmatch(run)) or any(run.lower().rstrip("+/_-") in s for s in SEQUENCES)
+
+
 def random_spans(text: str, taken: list[Span], words) -> list[Span]:
-    """Runs of key-like characters with few characters per token that no taken span overlaps."""
+    """Runs of key-like characters with few characters per token that no taken span overlaps.
+
+    Runs and taken spans are both walked in the order of their starts.
+    """
     found = []
+    at, reach = 0, 0  # taken spans that start before a run's end, and the furthest end among them
     for m in CANDIDATE.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
         run = m[0]
-        if KNOWN.fullmatch(run) or any(s < m.end() and m.start() < e for s, e, _ in taken):
+        if reach > m.start() or known(run):
             continue
         if len(run) < CHARS_PER_TOKEN * len(words.encode_ordinary(run)):
             found.append((m.start(), m.end(), "random"))
