@@ -3,7 +3,8 @@
 The records are put in the order of a 64-bit hash of their text, then of doc_id, so equal texts
 are neighbours. A size-weighted sample of keys gives quantile boundaries; they cut the order
 into ranges. A range that is overfull is subdivided: by even cuts of its interval of keys, or,
-where one key fills it (a boundary drawn twice), by a hash of doc_id. Counts and bytes of all
+where one key fills it (a boundary drawn twice), by a hash of the row. A key of too many rows for
+one task, however small they are, is found by a count and cut by a hash of the row. Counts and bytes of all
 ranges then give each record its exact place in the order, and a shard is an equal stretch
 of all bytes: no shard is off by more than one record.
 """
@@ -61,8 +62,12 @@ def place(docs: DataFrame, shards: int = 40) -> DataFrame:
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
+        F.monotonically_increasing_id().alias("nth"),
     )
     rows = stored(rows, "rows")
+    # Keys of more rows than one task should sort, by one count (combined where the rows are read): at most rows / RANGE_ROWS.
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS)
+    hot = stored(hot.select("key", F.ceil(F.col("n") / RANGE_ROWS).cast("long").alias("hot_parts")), "hot")
     total = rows.agg(F.sum("size")).first()[0] or 0
     bounds = boundaries(rows, total)
     # A boundary drawn twice or more is a key that fills a range: [key, key + 1) becomes a range of its own.
@@ -77,17 +82,23 @@ def place(docs: DataFrame, shards: int = 40) -> DataFrame:
     plan = F.broadcast(sums.select("range", "low", "high", parts.alias("parts")))  # at most 2 * RANGES rows
     by_key = F.floor((F.col("key").cast("double") - F.col("low").cast("double"))
                      / (F.col("high").cast("double") - F.col("low").cast("double") + 1) * F.col("parts"))
-    by_id = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.col("parts"))
+    by_id = F.pmod(F.xxhash64("doc_id", "nth"), F.col("parts"))
     sub = F.when(F.col("parts") == 1, F.lit(0)).when(F.col("low") == F.col("high"), by_id).otherwise(
         F.least(by_key, F.col("parts") - 1)).cast("long")
-    ranged = ranged.join(plan, "range").select("doc_id", "size", "text_crc32", "key", "range", sub.alias("sub"))
-
-    before = Window.orderBy("range", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("range", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select(
-        "range", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
+    # The rows of a hot key stand after the others of their stretch, in parts of their own.
+    piece = F.when(F.col("hot_parts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "nth"), F.col("hot_parts"))).cast("long")
+    ranged = ranged.join(plan, "range").join(hot, "key", "left").select(
+        "doc_id", "size", "text_crc32", "key", "range", sub.alias("sub"), F.when(F.col("hot_parts").isNotNull(), F.col("key")).alias("hot"), piece.alias("piece"))
+    ranged = ranged.withColumn("stretch", F.xxhash64("range", "sub", "hot", "piece"))
+
+    before = Window.orderBy("range", "sub", "hot", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    cells = ["range", "sub", "hot", "piece", "stretch"]
+    offsets = ranged.groupBy(*cells).agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select(
+        "range", "sub", "piece", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
-    inside = Window.partitionBy("range", "sub").orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    order = ranged.withColumns({"at": F.row_number().over(inside), "upto": F.sum("size").over(inside)}).join(offsets, ["range", "sub"])
+    keys = ["range", "sub", "piece", "stretch"]
+    inside = Window.partitionBy(*keys).orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
+    order = ranged.withColumns({"at": F.row_number().over(inside), "upto": F.sum("size").over(inside)}).join(offsets, keys)
     middle = F.col("bytes_before") + F.col("upto") - F.col("size") / 2
     placed = order.select(
         "doc_id", "size", "text_crc32", (F.col("rows_before") + F.col("at") - 1).alias("rank"),
