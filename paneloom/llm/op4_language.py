@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .base import query, table
@@ -28,6 +29,7 @@ ORDER = 3
 TRAIN_DOCS = 1500  # labelled texts of a language that are learned from, about
 LANGUAGES = 200  # that are learned, the most frequent ones
 CONTEXTS = 16_000  # contexts of three bytes that the model keeps
+SLICE = 1 << 18  # bytes that are scored at once
 UNKNOWN = "und"
 PAD = 0x20  # a text is read as if spaces stood before it
 
@@ -190,14 +192,20 @@ def code_lengths(model: Model, texts: pa.Array) -> np.ndarray:
                 shifted[at[at < offsets[full + 1]]] = pad
             index *= width
             index += shifted
-        rows = model.state[index] * width + symbols
-        out[first + full] = np.add.reduceat(model.cost[rows], offsets[full], axis=0, dtype=np.float64)
+        starts = offsets[full]
+        for a in range(0, len(data), SLICE):  # a float for each language and byte of a slice
+            b = min(len(data), a + SLICE)
+            costs = model.cost[model.state[index[a:b]] * width + symbols[a:b]]
+            i, j = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b))
+            out[first + full[i:j]] += np.add.reduceat(costs, np.maximum(starts[i:j], a) - a, axis=0, dtype=np.float64)
     return out
 
 
-def identify(docs: DataFrame, model: Model, row: Column) -> DataFrame:
+def identify(docs: DataFrame, model: Model, row: Column, text_in_row: bool = False) -> DataFrame:
     """row, lang_pred, score, bits_per_byte of every row of ``docs``; only the text is read.
 
+    ``text_in_row``: ``row`` is a struct with the field ``text``, which then goes to the tasks once.
+
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or if the model knows no
     language. score is the share of the best language if all were as likely beforehand; a tie goes
     to the smaller name. bits_per_byte: best code length over the text's bytes (0 for ``und``).
@@ -205,17 +213,19 @@ def identify(docs: DataFrame, model: Model, row: Column) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     text = F.col("text").cast("string")
-    rows = docs.select(row.alias("row"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered")
+    rows = docs.select(row.alias("row"), lettered, *([] if text_in_row else [text.alias("text")]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         names = pa.array([*known.languages, UNKNOWN], pa.string())
         for batch in batches:
-            may = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (len(known.languages) > 0)
+            may = batch.column(1).to_numpy(zero_copy_only=False).astype(bool) & (len(known.languages) > 0)
             best = np.full(len(batch), len(known.languages))
             score, per_byte = np.zeros(len(batch)), np.zeros(len(batch))
             if may.any():
-                texts = batch.column(1).filter(pa.array(may))
+                texts = pc.struct_field(batch.column(0), "text").cast(pa.string()) if text_in_row else batch.column(2)
+                texts = texts.filter(pa.array(may))
                 bits = code_lengths(known, texts)
                 least = bits.min(1)
                 best[may] = bits.argmin(1)

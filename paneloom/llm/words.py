@@ -97,13 +97,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     lengths = ends - starts
     out = np.zeros(len(starts), np.uint64)
     full = np.flatnonzero(lengths)
-    if len(full):
-        lengths_full = lengths[full]
-        first = np.cumsum(lengths_full) - lengths_full
-        position = np.arange(first[-1] + lengths_full[-1]) - np.repeat(first, lengths_full)
-        at = position + np.repeat(starts[full], lengths_full)
-        value = BYTE_VALUE[data[at]] * position_factors(int(lengths_full.max()))[position]
-        out[full] = np.add.reduceat(value, first)
+    # In chunks of whole spans, as a byte takes some forty while it is hashed.
+    upto = np.cumsum(lengths[full])
+    i = 0
+    while i < len(full):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + RUN_BYTES, "right")))
+        some = full[i:j]
+        own = lengths[some]
+        first = np.cumsum(own) - own
+        position = np.arange(first[-1] + own[-1]) - np.repeat(first, own)
+        at = position + np.repeat(starts[some], own)
+        out[some] = np.add.reduceat(BYTE_VALUE[data[at]] * position_factors(int(own.max()))[position], first)
+        i = j
     return mix(out + lengths.astype(np.uint64) * M3)
 
 
