@@ -37,9 +37,11 @@ def settle(spark: SparkSession) -> None:
     """Put the runtime settings of the library on ``spark``.
 
     Shuffle files go at the end of the job that wrote them; every later job here reads written tables.
+    Whole texts go to tasks in batches of few rows, as a batch is bounded by rows only.
     """
     apply_settings(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

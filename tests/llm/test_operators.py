@@ -502,3 +502,127 @@ def test_matches_sql(spark, folder, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_returns_rows(spark, folder, name):
     assert QUERIES[name](spark, folder).count() > 0
+
+
+def test_ids_of_added_tokens_and_odd_characters(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [mark, mark * 3, f"a{mark}b", f"{mark} x", f"x {mark}", f"in{mark}side{mark}", "<|endoftext|", "<|endoftext |>", "plain"]
+    texts += ["".join(map(chr, range(i, min(i + 500, 0xD800)))) for i in range(1, 0xD800, 500)]
+    texts += [" ".join(map(chr, range(i, i + 500))) for i in (0xE000, 0xFF00, 0x1F300, 0x20000)]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice(" \t\n\r\x0b\x1c'’sdt0a.- 　é") for _ in range(40)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in op6_packing.packed_documents(docs).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        for start, length, crc in got[i]:
+            assert zlib.crc32(ids[start: start + length].tobytes()) == crc
+        assert sum(x[1] for x in got[i]) == len(ids)
+
+
+def test_near_copies_of_one_text_take_few_links(spark, monkeypatch):
+    rng = random.Random(11)
+    fresh = iter(f"z{i}" for i in range(10**6))
+    base = [next(fresh) for _ in range(120)]
+    docs = []
+    for i in range(2000):
+        own = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, 9)):
+            own[k] = next(fresh)
+        docs.append((i, " ".join(own)))
+    pairs, links = [], []
+    likely, meetings = op1_minhash.likely, op1_minhash.meetings
+    monkeypatch.setattr(op1_minhash, "likely", lambda e, *a: pairs.append(e.count()) or likely(e, *a))
+    monkeypatch.setattr(op1_minhash, "meetings", lambda *a: links.append(op1_minhash.durable(meetings(*a))) or links[-1])
+    got = {r.doc_id: r.component_id for r in op1_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()}
+    assert sum(pairs) + sum(x.count() for x in links) < 20 * 2000
+    want = brute.classes(rng.sample(docs, 200), 2, 80)
+    for i, (_, c) in want.items():  # what a part of the table links is linked in all of it
+        assert got[i] == got[c]
+
+
+def test_known_forms_are_not_random():
+    words = op5_secrets.encoder(*op5_secrets.vocabulary())
+    known = [
+        "sha256-" + base64.b64encode(hashlib.sha256(b"x").digest()).decode(), "sha512-" + base64.b64encode(hashlib.sha512(b"y").digest()).decode(),
+        "md5-" + hashlib.md5(b"z").hexdigest(), "commit-" + hashlib.sha1(b"c").hexdigest()[:14], "abcdefghijklmnopqrstuvwxyz0123456789",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "books/isbn/978-3-16-148410-0"]
+    for text in known:
+        assert op5_secrets.random_spans(text, [], words) == []
+    assert op5_secrets.random_spans("qZ7xK2pW9vL4mT8rB3nY6cJ1", [], words) != []
+    assert op5_secrets.random_spans("sha256-short-qZ7xK2pW9vL4mT8rB3nY6cJ1", [], words) != []
+
+
+def test_secrets_of_whole_documents_as_a_plain_scan(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in op5_secrets.scan(docs).collect():
+        found = []
+        for m in op5_secrets.re.finditer(op5_secrets.ASSIGN, text[r.doc_id], op5_secrets.re.I | op5_secrets.re.A):
+            if len(m[2]) >= 6:
+                found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+        for m in op5_secrets.re.finditer("AKIA[A-Z0-9]+", text[r.doc_id]):
+            if len(m[0]) >= 20:
+                found.append((m.start(), 1, f"access:{m.start()}:{m.end()}"))
+        for m in op5_secrets.re.finditer("[0-9a-f]+", text[r.doc_id]):
+            if len(m[0]) >= 24:
+                found.append((m.start(), 2, f"hex:{m.start()}:{m.end()}"))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in found) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(x for _, _, x in sorted(found)).encode()).hexdigest()
+
+
+def test_many_random_runs_in_one_text_take_linear_time():
+    import time
+
+    words = op5_secrets.encoder(*op5_secrets.vocabulary())
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    text = " ".join(f"password={key()} {key()}" for _ in range(4000))
+    base = op5_secrets.pattern_spans(text)
+    start = time.perf_counter()
+    assert len(op5_secrets.random_spans(text, base, words)) > 3500
+    assert time.perf_counter() - start < 5
+
+
+def test_hot_rows_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(op9_shards, "RANGE_ROWS", 200)
+    monkeypatch.setattr(op8_mixing, "CELL_ROWS", 200)
+    docs = [(None if i % 3 == 0 else i, "" if i % 3 == 1 else f"w{i % 7} text of some words", "a") for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    placed = op9_shards.place(frame, 7).collect()
+    sizes = Counter()
+    for r in placed:
+        sizes[r.shard] += r.size
+    assert len(placed) == 3000 and max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in placed)
+    for s in sizes:
+        assert sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed)))
+    one, two = (Counter(map(tuple, op8_mixing.mixed(f).collect())) for f in (frame, frame.repartition(5)))
+    assert one == two and sum(one.values()) == 3000
+
+
+def test_chunked_hashes_equal_whole_ones(monkeypatch):
+    from paneloom.llm import words
+
+    data = np.frombuffer(("some words and a " + "long" * 50 + " one ").encode() * 30, np.uint8)
+    offsets = np.array([0, len(data)])
+    starts, ends, _ = words.word_spans(data, offsets)
+    whole = words.span_hashes(data, starts, ends)
+    monkeypatch.setattr(words, "RUN_BYTES", 64)
+    assert (words.span_hashes(data, starts, ends) == whole).all()
+
+
+def test_code_lengths_in_slices(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = op4_language.learned(docs)
+    import pyarrow as pa
+
+    texts = pa.array([r.text for r in docs.limit(40).collect()] + ["", "a", None])
+    whole = op4_language.code_lengths(model, texts)
+    monkeypatch.setattr(op4_language, "SLICE", 100)
+    np.testing.assert_allclose(op4_language.code_lengths(model, texts), whole, rtol=1e-9)
