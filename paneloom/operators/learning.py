@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import durable
 from .positions import hash_positions, key_hash
 from .vectors import nearest_members
-from .windows import class_map
+from .windows import with_class_value
 
 # ---------------------------------------------------------------- roles and splits
 
@@ -71,9 +71,9 @@ def exact_holdout(df: DataFrame, label: str, keys: Sequence[str], share: float =
     """Exactly floor(share * n) rows of each class held out, chosen by hash."""
     placed = hash_positions(df, keys, by=[label], seed=seed, out="_pos")
     sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.floor(share * F.count("*")).alias("_take"))
-    taken = placed.withColumn("_takes", class_map(sizes, label, "_take"))
-    flag = F.when(F.col("_pos") < F.try_element_at("_takes", F.col(label)), "validation").otherwise("train")
-    return taken.withColumn(out, flag).drop("_pos", "_takes")
+    taken = with_class_value(placed, sizes, label, "_take")
+    flag = F.when(F.col("_pos") < F.col("_take"), "validation").otherwise("train")
+    return taken.withColumn(out, flag).drop("_pos", "_take")
 
 
 # ---------------------------------------------------------------- design matrix and models

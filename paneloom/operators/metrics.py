@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import encode, ratio
-from .windows import class_map
+from .windows import with_class_value
 
 
 def correct(truth: str = "truth", prediction: str = "prediction") -> Column:
@@ -115,9 +115,8 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of its class to each row, without a join on the class."""
-    weights = class_map(balanced_weights(df, label), label, "weight")
-    return df.withColumn("_w", weights).withColumn(out, F.try_element_at("_w", F.col(label))).drop("_w")
+    """Attach the balanced weight of its class to each row."""
+    return with_class_value(df, balanced_weights(df, label).withColumnRenamed("weight", out), label, out)
 
 
 def aligned(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,12 +14,12 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import days
-from ..session import durable
+from ..session import stored
 
 
 def even_spans(df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "_span") -> DataFrame:
-    """Number the range partitions of (key, order): spans of about equal size, in order (runs a checkpoint)."""
-    return durable(df.repartitionByRange(*key, *order).withColumn(out, F.spark_partition_id()))
+    """Number the range partitions of (key, order): spans of about equal size, in order (written once)."""
+    return stored(df.repartitionByRange(*key, *order).withColumn(out, F.spark_partition_id()), "spans")
 
 
 def neighbours(
@@ -40,7 +40,7 @@ def neighbours(
     Rows are ordered within spans of a key, and each span passes its edge rows on to the
     adjoining ones. By default spans are range partitions over (key, order), so a key with
     a third of all rows is cut into as many spans as it needs (one more shuffle and a
-    checkpoint). ``span`` names another cut: the unit that ``order[0]`` (a date) is cut by, or any
+    written table). ``span`` names another cut: the unit that ``order[0]`` (a date) is cut by, or any
     expression that never decreases along ``order``; the rows are then shuffled once.
     """
     if span is None:
@@ -164,13 +164,13 @@ def group_stat(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame
     return df.join(side, list(keys))
 
 
-def class_map(table: DataFrame, key: str, value: str) -> Column:
-    """A small table (one row per class) as one map, for lookups without a join.
+def with_class_value(df: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """Attach ``value`` of a table with a row per class.
 
-    A join on the class would shuffle the rows by it, and the largest class would go to
-    one task. Only for keys from a short list, such as ratings.
+    The table is written first, so Spark broadcasts it if it is measured to be small, and a huge class
+    does not go to one task; beyond that the join's skew handling splits the class.
     """
-    return table.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+    return df.join(stored(table.select(key, value), "classes"), key, "left").select(*df.columns, value)
 
 
 def attrition(df: DataFrame, key: str, period: str) -> DataFrame:

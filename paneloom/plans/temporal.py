@@ -61,6 +61,7 @@ def _(t):
     return panel(t).select("entity", "period", "rank", F.lag("rank").over(w).alias("previous_rank"))
 
 
+# The labels of a change.
 LABELS = ("Downgrade Since Last Fixed Quarter Date", "Upgrade Since Last Fixed Quarter Date", "Same As Last Fixed Quarter Date")
 
 

@@ -321,5 +321,5 @@ def _(t):
     found = tx.mentions(text_docs(t), names(t), "doc_id")
     best = found.groupBy("company_mentioned").agg(
         F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"), F.max("n").alias("n"))
-    texts = t.documents.select("doc_id", F.md5("text").alias("digest"))
-    return best.join(texts, "doc_id")
+    # Only the texts that are shown are hashed.
+    return stored(best, "best").join(text_docs(t), "doc_id").select("company_mentioned", "doc_id", "n", F.md5("text").alias("digest"))
