@@ -7,10 +7,12 @@
    The keys are stored in index order, so that a lookup ends with a comparison of the whole key.
 3. Shards are broadcast in waves of at most ``WAVE_BYTES``. For each wave a second pass over all
    documents looks up the distinct terms of a stretch of text and increments dense slots, an
-   array for each (lang, source) and shard; they leave a task as counts above zero when they
-   reach ``SLOT_BYTES`` and at its end, and are summed by Spark.
-4. Shares p are exact integers. The sources of a language are compared pairwise in blocks of terms,
-   as dense matrices; a source that lacks a term has the least share there.
+   array for each (lang, source) and shard. They leave a task when they reach ``SLOT_BYTES`` and at
+   its end, as lists of the slots above zero, a row for each block of slots, and are added up
+   block by block, again in dense slots.
+4. A block is a matrix of sources by terms, whose size is bounded for any number of sources. There
+   shares p are worked out as exact integers (a source that lacks a term has its least share), the
+   sources are compared pairwise, and each source's most divergent terms are found.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ TOP = 200  # ranks reported of a group's terms
 SHARD_KEYS = 1 << 15
 WAVE_BYTES = 48 << 20  # of keys and bits broadcast at once
 SLOT_BYTES = 96 << 20  # of slots in a task
-INDEX = 1 << 20  # a term's slot is its shard times this plus its index in the shard
-BLOCK = 1 << 20  # shares in the matrix of one block of terms
+BLOCK = 1 << 18  # cells in the matrix of one block of terms
 RUN = 4 << 20
 LEVELS = 24
 SALTS = mix(np.arange(1, LEVELS + 1, dtype=np.uint64) * M3)
@@ -62,6 +63,12 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, in any order, and how often each occurs."""
+    found = pc.value_counts(pa.array(values))
+    return found.field("values").to_numpy(), found.field("counts").to_numpy()
+
+
 def frequencies(docs: DataFrame) -> DataFrame:
     """lang, term (binary, UTF-8), docs: partial numbers of documents with the term; sum them."""
 
@@ -69,8 +76,8 @@ def frequencies(docs: DataFrame) -> DataFrame:
         for batch in batches:
             langs, names = _codes(batch.column(0))
             for _, _, doc, code, terms in _stretches(batch.column(1)):
-                pairs = np.unique(doc * len(terms) + code)
-                pairs, n = np.unique(langs[pairs // len(terms)] * len(terms) + pairs % len(terms), return_counts=True)
+                pairs = pc.unique(pa.array(doc * len(terms) + code)).to_numpy()
+                pairs, n = _counted(langs[pairs // len(terms)] * len(terms) + pairs % len(terms))
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(pairs // len(terms))), terms.take(pa.array(pairs % len(terms))).cast(pa.binary()), pa.array(n)],
                     names=["lang", "term", "docs"])
@@ -179,13 +186,23 @@ def _crc32(terms: pa.Array) -> np.ndarray:
     return np.fromiter((crc32(t) for t in terms.to_pylist()), np.int64, len(terms))
 
 
-def recount(docs: DataFrame, built: DataFrame) -> DataFrame:
-    """lang, source, slot, n: occurrences of every kept term in every group that has it."""
+COUNTS = "lang string, source string, shard int, part int, slots binary, n binary"
+
+
+def recount(docs: DataFrame, built: DataFrame, sources: DataFrame) -> DataFrame:
+    """lang, source, shard, part, slots, n, total: occurrences of the kept terms in every group that has any.
+
+    sources: lang, n_sources. A part is a block of ``width`` slots of a shard, so that a matrix of all
+    sources of the language has about ``BLOCK`` cells. total: sum of n.
+    """
     spark = docs.sparkSession
-    plan = built.select("lang", "shard", "size").orderBy("lang", "shard").collect()  # a short row for each SHARD_KEYS terms
+    # A short row for each SHARD_KEYS terms.
+    plan = built.select("lang", "shard", "size").join(sources, "lang").orderBy("lang", "shard").collect()
     parts: dict[str, int] = {}
+    widths: dict[str, int] = {}
     for r in plan:
         parts[r["lang"]] = max(parts.get(r["lang"], 0), r["shard"] + 1)
+        widths[r["lang"]] = block_width(r["n_sources"])
     waves: list[list] = []
     room = 0
     for r in plan:
@@ -202,14 +219,19 @@ def recount(docs: DataFrame, built: DataFrame) -> DataFrame:
             F.col("lang").isin(langs) & (F.struct("lang", "shard") >= F.struct(F.lit(low[0]), F.lit(low[1]).cast("int")))
             & (F.struct("lang", "shard") <= F.struct(F.lit(high[0]), F.lit(high[1]).cast("int"))))
         sent = spark.sparkContext.broadcast([r.asDict() for r in chosen.collect()])  # at most WAVE_BYTES
-        counts = rows.where(F.col("lang").isin(langs)).mapInArrow(_counter(sent, parts), "lang string, source string, slot long, n long")
+        counts = rows.where(F.col("lang").isin(langs)).mapInArrow(_counter(sent, parts, widths), COUNTS)
         out = counts if out is None else out.unionByName(counts)
     if out is None:
-        return spark.createDataFrame([], "lang string, source string, slot long, n long")
-    return out.groupBy("lang", "source", "slot").agg(F.sum("n").alias("n"))
+        return spark.createDataFrame([], f"{COUNTS}, total long")
+    keys = ["lang", "shard", "part"]
+    return out.repartition(*keys).sortWithinPartitions(*keys, "source").mapInArrow(_adder(widths), f"{COUNTS}, total long")
+
+
+def block_width(n_sources: int) -> int:
+    return max(1, BLOCK // max(1, n_sources))
 
 
-def _counter(sent, parts: dict[str, int]):
+def _counter(sent, parts: dict[str, int], widths: dict[str, int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(sent.value, parts)
         slots: dict[tuple[str, str, int], np.ndarray] = {}
@@ -218,9 +240,9 @@ def _counter(sent, parts: dict[str, int]):
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source, shard), counts in slots.items():
                 has = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(has), pa.string()), pa.array([source] * len(has), pa.string()),
-                     pa.array(has + shard * INDEX), pa.array(counts[has].astype(np.int64))], names=["lang", "source", "slot", "n"])
+                part = has // widths[lang]
+                yield _count_rows([
+                    (lang, source, shard, int(k), has[part == k], counts[has[part == k]]) for k in np.unique(part)])
             slots.clear()
 
         for batch in batches:
@@ -228,9 +250,10 @@ def _counter(sent, parts: dict[str, int]):
             sources, source_names = _codes(batch.column(1))
             lang_names, source_names = lang_names.to_pylist(), source_names.to_pylist()
             for _, _, doc, code, terms in _stretches(batch.column(2)):
-                group = langs[doc] * len(source_names) + sources[doc]
-                pairs, n = np.unique(group * len(terms) + code, return_counts=True)
+                pairs, n = _counted((langs[doc] * len(source_names) + sources[doc]) * len(terms) + code)
                 group, code = pairs // len(terms), pairs % len(terms)
+                order = np.argsort(group, kind="stable")
+                group, code, n = group[order], code[order], n[order]
                 crc, own = _crc32(terms), _hashes(terms)
                 edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1), len(group)]
                 by_lang: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -266,59 +289,117 @@ def _counter(sent, parts: dict[str, int]):
     return count
 
 
-def numbered_terms(built: DataFrame) -> DataFrame:
-    """lang, slot, term (string) of all kept terms."""
+def _count_rows(rows: list[tuple], totals: bool = False) -> pa.RecordBatch:
+    """Batch of (lang, source, shard, part, slots, counts): slots as 32-bit, counts as 64-bit numbers."""
+    lang, source, shard, part, slots, counts = zip(*rows) if rows else [()] * 6
+    columns = [
+        pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(shard, pa.int32()), pa.array(part, pa.int32()),
+        pa.array([x.astype(np.uint32).tobytes() for x in slots], pa.binary()), pa.array([x.astype(np.int64).tobytes() for x in counts], pa.binary())]
+    names = ["lang", "source", "shard", "part", "slots", "n"]
+    if totals:
+        columns, names = [*columns, pa.array([int(x.sum()) for x in counts], pa.int64())], [*names, "total"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _adder(widths: dict[str, int]):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, dense = None, None
+
+        def done() -> pa.RecordBatch:
+            has = np.flatnonzero(dense)
+            return _count_rows([(*key, has + key[3] * widths[key[0]], dense[has])], totals=True)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys = _strings(np.frombuffer(r["keys"], np.uint8), np.frombuffer(r["lengths"], np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["lang"]] * r["n"], pa.string()), pa.array(np.arange(r["n"]) + r["shard"] * INDEX),
-                     keys.cast(pa.binary()).cast(pa.string())], names=["lang", "slot", "term"])
+                own = (r["lang"], r["source"], r["shard"], r["part"])
+                if own != key:
+                    if key is not None:
+                        yield done()
+                    key, dense = own, np.zeros(widths[own[0]], np.int64)
+                dense[np.frombuffer(r["slots"], np.uint32) - own[3] * widths[own[0]]] += np.frombuffer(r["n"], np.int64)
+        if key is not None:
+            yield done()
 
-    return built.select("lang", "shard", "n", "lengths", "keys").mapInArrow(explode, "lang string, slot long, term string")
+    return add
 
 
 # -- shares and divergence --------------------------------------------------------------------
 
-def share(n: str | Column, total: str, terms: str) -> Column:
-    """1 + floor(10^9 (n + 1) / (total + terms)) as a long, in exact decimals; null without any term."""
-    n = F.col(n) if isinstance(n, str) else n
-    above = (n + 1).cast("decimal(25,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.call_function("div", above, (F.col(total) + F.col(terms)).cast("decimal(25,0)")) + 1
+def share(n: np.ndarray, total: int, terms: int) -> np.ndarray:
+    """1 + floor(10^9 (n + 1) / (total + terms)), exact for any counts."""
+    if len(n) and int(n.max()) >= 9 * 10**9 - 1:  # beyond 64 bits
+        return np.array([1 + UNIT * (int(x) + 1) // (total + terms) for x in n], np.int64)
+    return 1 + UNIT * (n + 1) // (total + terms)
+
+
+FOUND = "lang string, part string, s int, t int, item string, value long"
 
 
-def compared(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """lang, s, t, value: sum of f over the terms found in any source, s and t being places of sources.
+def compared(counts: DataFrame, built: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+    """Of each block of terms: lang, part, s, t, item, value, s and t being places of sources.
 
-    counts: lang, slot, place, p. groups: lang, p0s (the least share of each source by place).
-    A block of terms is a matrix of at most about ``BLOCK`` shares, so tasks are even in any language.
+    Part ``pair``: the sum of f over the block for two sources. Part ``term``: at most ``top`` terms of a
+    source, the most divergent ones. groups: lang, source, place, total, v. A group of rows is
+    a row for each source that has terms of the block, and one with the keys.
     """
 
+    cells = BLOCK
+
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        least = next(x for x in rows.column("p0s").to_pylist() if x is not None)
-        place, slot, p = (rows.column(c).to_numpy() for c in ("place", "slot", "p"))
-        own = place >= 0
-        _, at = np.unique(slot[own], return_inverse=True)
-        shares = np.repeat(np.array(least, np.int64)[:, None], int(at.max()) + 1 if len(at) else 0, axis=1)
-        shares[place[own], at] = p[own]
-        n = len(least)
-        values = np.zeros((n, n), np.int64)
-        for s in range(n):
-            apart = shares - shares[s]
-            values[s] = (apart * apart // shares).sum(1)
-        s, t = np.nonzero(~np.eye(n, dtype=bool))
-        return pa.table({"lang": [key[0].as_py()] * len(s), "s": pa.array(s, pa.int32()), "t": pa.array(t, pa.int32()), "value": values[s, t]})
-
-    width = F.greatest(F.lit(1), F.floor(F.lit(BLOCK) / F.size("p0s"))).cast("long")
-    rows = counts.join(groups.select("lang", width.alias("width")), "lang").select(
-        "lang", F.expr("slot div width").alias("block"), "place", "slot", "p")
-    rows = rows.withColumn("p0s", F.lit(None).cast("array<long>"))
-    blocks = rows.select("lang", "block").distinct().join(groups.select("lang", "p0s"), "lang").select(
-        "lang", "block", F.lit(-1).alias("place"), F.lit(-1).cast("long").alias("slot"), F.lit(0).cast("long").alias("p"), "p0s")
-    found = rows.unionByName(blocks).groupBy("lang", "block").applyInArrow(compare, "lang string, s int, t int, value long")
-    return found.groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
+        rows = rows.to_pylist()
+        info = next(r for r in rows if r["totals"] is not None)
+        own = sorted((r for r in rows if r["totals"] is None), key=lambda r: r["place"])
+        totals, v = info["totals"], info["v"]
+        width = max(1, cells // len(totals))
+        base = key[2].as_py() * width
+        w = min(width, info["size"] - base)
+        present = np.array([r["place"] for r in own])
+        dense = np.zeros((len(own), w), np.int64)
+        for i, r in enumerate(own):
+            dense[i, np.frombuffer(r["slots"], np.uint32) - base] = np.frombuffer(r["n"], np.int64)
+        none = np.zeros(1, np.int64)
+        p = np.empty((len(totals), w), np.int64)
+        for s, total in enumerate(totals):
+            p[s] = share(none, total, v)[0]
+        for i, s in enumerate(present):
+            p[s] = share(dense[i], totals[s], v)
+        q = share(dense.sum(0), sum(totals), v)
+        kind, first, second, item, value = [], [], [], [], []
+        for s in range(len(totals)):
+            apart = p - p[s]
+            sums = (apart * apart // p).sum(1)
+            for t in range(len(totals)):
+                if t != s:
+                    kind.append("pair")
+                    first.append(s)
+                    second.append(t)
+                    item.append(None)
+                    value.append(int(sums[t]))
+        terms = _strings(np.frombuffer(info["keys"], np.uint8), np.frombuffer(info["lengths"], np.int32))
+        for i, s in enumerate(present):
+            at = np.flatnonzero((dense[i] > 0) & (p[s] > q))
+            f = (p[s][at] - q[at]) ** 2 // q[at]
+            if len(at) > top:
+                least = np.partition(f, len(f) - top)[len(f) - top]
+                at, f = at[f >= least], f[f >= least]
+            best = sorted(zip(-f, terms.take(pa.array(at + base)).to_pylist()))[:top]
+            kind += ["term"] * len(best)
+            first += [int(s)] * len(best)
+            second += [None] * len(best)
+            item += [x.decode() for _, x in best]
+            value += [int(-x) for x, _ in best]
+        return pa.table({
+            "lang": pa.array([key[0].as_py()] * len(kind), pa.string()), "part": pa.array(kind, pa.string()), "s": pa.array(first, pa.int32()),
+            "t": pa.array(second, pa.int32()), "item": pa.array(item, pa.string()), "value": pa.array(value, pa.int64())})
+
+    keys = ["lang", "shard", "part"]
+    own = counts.join(groups.select("lang", "source", "place"), ["lang", "source"]).select(*keys, "place", "slots", "n")
+    by_lang = groups.groupBy("lang").agg(
+        F.max("v").alias("v"), F.sort_array(F.collect_list(F.struct("place", "total"))).getField("total").alias("totals"))
+    blocks = counts.select(*keys).distinct().join(built.select("lang", "shard", F.col("n").alias("size"), "lengths", "keys"), ["lang", "shard"])
+    info = blocks.join(by_lang, "lang").select(*keys, "size", "lengths", "keys", "v", "totals")
+    both = own.unionByName(info, allowMissingColumns=True)
+    return both.groupBy(*keys).applyInArrow(compare, FOUND)
 
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -333,26 +414,22 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     kept = frequencies(rows).groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     built = stored(shards(stored(kept.select("lang", "term"), "kept")), "shards")
-    counts = stored(recount(rows, built), "counts")
+    every = stored(rows.select("lang", "source").distinct(), "groups")  # a row for each group
+    counts = stored(recount(rows, built, every.groupBy("lang").agg(F.count("*").alias("n_sources"))), "counts")
     sizes = built.groupBy("lang").agg(F.sum("n").alias("v"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").select(
-        "lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("v", F.lit(0)).cast("long").alias("v"))
-    groups = groups.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    groups = stored(groups, "groups")  # a row for each group
-    lang_sums = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-
-    by_term = Window.partitionBy("lang", "slot")  # a row for each source
-    shared = counts.join(groups, ["lang", "source"]).join(lang_sums, "lang").withColumn("lang_n", F.sum("n").over(by_term))
-    shared = shared.select("lang", "source", "place", "slot", share("n", "total", "v").alias("p"), share("lang_n", "lang_total", "v").alias("q"))
-    shared = stored(shared, "shares")
+    totals = counts.groupBy("lang", "source").agg(F.sum("total").alias("total"))
+    groups = every.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").select(
+        "lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("v", F.lit(0)).cast("long").alias("v"),
+        (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("place"))
+    groups = stored(groups, "totals")
 
+    found = stored(compared(counts, built, groups, top), "found")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    terms = shared.where("p > q").join(numbered_terms(built), ["lang", "slot"]).select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
+    terms = found.where("part = 'term'").join(groups.select("lang", F.col("place").alias("s"), "source"), ["lang", "s"]).select(
+        "lang", "source", "part", "item", "value")
     terms = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
-    sums = compared(shared.select("lang", "slot", "place", "p"), _least(groups))
+    sums = found.where("part = 'pair'").groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
     others = groups.groupBy("lang").agg(F.collect_list(F.struct("place", "source")).alias("others"))
     pairs = groups.join(others, "lang").select("lang", "source", F.col("place").alias("s"), F.explode("others").alias("other"))
     pairs = pairs.where("s <> other.place").select("lang", "source", "s", F.col("other.place").alias("t"), F.col("other.source").alias("item"))
@@ -362,12 +439,6 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     return pairs.unionByName(terms)
 
 
-def _least(groups: DataFrame) -> DataFrame:
-    """lang, p0s: the share of a term that a source lacks, for each source by its place."""
-    rows = groups.where("v > 0").select("lang", "place", share(F.lit(0).cast("long"), "total", "v").alias("p0"))
-    return rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "p0"))).getField("p0").alias("p0s"))
-
-
 @query("op11_divergence", r"""
     with d as (
       select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,

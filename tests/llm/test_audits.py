@@ -79,6 +79,7 @@ def test_divergence_as_brute_force(odd, monkeypatch, wave, keys, slot):
     monkeypatch.setattr(op11_divergence, "WAVE_BYTES", wave)
     monkeypatch.setattr(op11_divergence, "SHARD_KEYS", keys)
     monkeypatch.setattr(op11_divergence, "SLOT_BYTES", slot)
+    monkeypatch.setattr(op11_divergence, "BLOCK", op11_divergence.BLOCK if keys > 20 else 30)
     got = op11_divergence.divergence(odd, top=30).collect()
     want = brute.divergence([(r.text, r.lang, r.source) for r in odd.collect()], top=30)
     assert Counter(map(tuple, got)) == Counter(want)
