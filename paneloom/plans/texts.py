@@ -299,19 +299,26 @@ def _(t):
     return tx.lemmatise(vocabulary, lemmas, _SUFFIXES)
 
 
+_TONE_NAMES = {c: c.lower() for c in tx.TONES}
+
+
 @query("tx22_feature_table", f"""
-    with {_SQL_HITS}, {_WORDS}, f as (select doc_id, len(ws) as word_count, length(text) - length(replace(text, ',', '')) as commas from with_words)
-    select l.doc_id, l.quality, f.word_count, h.Positiv as pos, h.Negativ as neg, round(f.commas / nullif(f.word_count, 0), 6) as commas_by_len
-    from labels l join f on l.doc_id = f.doc_id join hits h on l.doc_id = h.doc_id where f.word_count <= 5000 and f.word_count <> -1""")
+    with {_SQL_HITS}, {_WORDS}, f as (select doc_id, len(ws) as word_count, length(text) - length(replace(text, '.', '')) as q, len({SENT}) as n_sentences from with_words)
+    select l.doc_id, l.quality, f.word_count, f.n_sentences, {", ".join(f"h.{c} as {n}" for c, n in _TONE_NAMES.items())},
+        round(f.q / nullif(f.word_count, 0), 6) as questions_by_len, round(1000 * (f.q / nullif(f.word_count, 0)), 4) as questions_per_1000,
+        round(log10((h.Positiv + 1.0) / (h.Negativ + 1.0)), 6) as positivity, {", ".join(f"round(h.{a} / nullif(h.{b}, 0), 6) as {n}" for n, (a, b) in tx.TONE_PAIRS.items())}
+    from labels l join f on l.doc_id = f.doc_id join hits h on l.doc_id = h.doc_id where f.word_count <= 5000 and f.word_count > 0""")
 def _(t):
     d = text_docs(t)
-    ws = tx.computed_once(
-        d, word_count=F.size(tx.words(tx.tokens(F.col("text")))).cast("long"), commas=tx.count_occurrences(F.col("text"), ","))
-    f = ws.select("doc_id", "word_count", tx.ratio(F.col("commas"), F.col("word_count")).alias("num_q_by_len"))
-    h = tx.lexicon_counts(d, lexicon(t), "doc_id").select("doc_id", F.col("Positiv").alias("pos"), F.col("Negativ").alias("neg"))
-    kept = f.where("word_count <= 5000 and word_count != -1")
-    return t.labels.select("doc_id", "quality").join(kept, "doc_id").join(h, "doc_id").select(
-        "doc_id", "quality", "word_count", "pos", "neg", F.round("num_q_by_len", 6).alias("commas_by_len"))
+    f = tx.text_features(d, "doc_id", question=".").select("doc_id", "word_count", "n_sentences", "num_q_by_len", "questions_per_1000")
+    h = tx.tone_ratios(tx.lexicon_counts(d, lexicon(t), "doc_id"))
+    positivity = tx.smoothed_log_ratio(F.col("Positiv"), F.col("Negativ"))
+    rows = t.labels.select("doc_id", "quality").join(f, "doc_id").where("word_count <= 5000 and word_count > 0").join(h, "doc_id")
+    return rows.select(
+        "doc_id", "quality", F.col("word_count").cast("long").alias("word_count"), F.col("n_sentences").cast("long").alias("n_sentences"),
+        *[F.col(c).alias(n) for c, n in _TONE_NAMES.items()], F.round("num_q_by_len", 6).alias("questions_by_len"),
+        F.round("questions_per_1000", 4).alias("questions_per_1000"), F.round(positivity, 6).alias("positivity"),
+        *[F.round(n, 6).alias(n) for n in tx.TONE_PAIRS])
 
 
 @query("tx23_example_finder", f"""
