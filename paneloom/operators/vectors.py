@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import durable
+from ..session import durable, stored
 from .quantiles import order_statistics
 
 PIVOTS = 128  # vectors that the driver holds as pivots, at most
@@ -69,8 +69,11 @@ def unit_vectors(vectors: DataFrame, id_: str, vec: str) -> DataFrame:
 BLOCKS = "block int, n long, ids array<{kind}>, vectors binary, centre array<double>, radius double"
 
 
-def block_table(units: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
-    """A row for each block of unit vectors near one pivot: ids, matrix, centre and widest angle. Written once."""
+def block_table(units: DataFrame, pivots: np.ndarray, block_rows: int | None) -> tuple[DataFrame, int, int]:
+    """A row for each block of unit vectors near one pivot: ids, matrix, centre and widest angle. Written once.
+
+    Also the numbers of blocks and of vectors. By default a block has a sixteenth of all vectors, within bounds.
+    """
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,19 +95,19 @@ def block_table(units: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFr
     kind = units.schema["id"].dataType.simpleString()
     parts = units.mapInArrow(assign, f"id {kind}, v array<double>, part int")
     sizes = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}  # at most PIVOTS rows
-    if not sizes:
-        return units.sparkSession.createDataFrame([], BLOCKS.format(kind=kind))
-    spread, _ = _spread(parts, "part", "id", sizes, block_rows)
-    return durable(spread.select("block", "id", "v").groupBy("block").applyInArrow(pack, BLOCKS.format(kind=kind)))
+    n = sum(sizes.values())
+    spread, total = _spread(parts, "part", "id", sizes, block_rows or min(4000, max(500, n // 16)))
+    blocks = spread.select("block", "id", "v").groupBy("block").applyInArrow(pack, BLOCKS.format(kind=kind))
+    return stored(blocks, "blocks"), total, n
 
 
-def block_pairs(blocks: DataFrame, at_least: float) -> DataFrame:
+def block_pairs(blocks: DataFrame, total: int, at_least: float) -> DataFrame:
     """(bi, bj), bi <= bj, of blocks that can hold a pair with a cosine of ``at_least``.
 
     Two vectors are at least as far apart as their centres less both radii. Centres are compared in
     pages of ``PAGE`` blocks, so this step is as even as the join itself.
     """
-    pages = math.ceil((blocks.agg(F.max("block")).first()[0] + 1) / PAGE)
+    pages = math.ceil(total / PAGE)
     own = F.floor(F.col("block") / PAGE).cast("int")
     rows = blocks.select("block", "centre", "radius", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))))
     rows = rows.select(F.least("own", "other").alias("pi"), F.greatest("own", "other").alias("pj"), "own", "block", "centre", "radius")
@@ -127,7 +130,7 @@ def _candidates(x: np.ndarray, y: np.ndarray, cut: float, half: int) -> tuple[np
     return np.nonzero(bound >= cut - EPS)
 
 
-def matches(blocks: DataFrame, at_least: float) -> DataFrame:
+def matches(blocks: DataFrame, total: int, at_least: float) -> DataFrame:
     """src < dst, similarity: all pairs of the block table with a cosine of ``at_least`` or more.
 
     Only block pairs that can qualify are brought together. There a vector is left out if its own
@@ -167,7 +170,7 @@ def matches(blocks: DataFrame, at_least: float) -> DataFrame:
 
     kind = blocks.schema["ids"].dataType.elementType
     id_type = to_arrow_type(kind)
-    pairs = block_pairs(blocks, at_least)
+    pairs = block_pairs(blocks, total, at_least)
     body = blocks.select("block", "n", "ids", "vectors", "centre", "radius")
     left = pairs.join(body, F.col("bi") == F.col("block"))
     right = pairs.where("bi < bj").join(body, F.col("bj") == F.col("block"))
@@ -189,12 +192,9 @@ def cosine_join(
     if not len(sample):
         kind = vectors.schema[id_].dataType.simpleString()
         return vectors.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, similarity double")
-    if block_rows is None:
-        block_rows = 500 if len(sample) < SAMPLE else min(4000, max(500, units.count() // 16))
-    blocks = block_table(units, sample[:PIVOTS], block_rows)
+    blocks, total, n = block_table(units, sample[:PIVOTS], block_rows)
     if at_least is not None:
-        return matches(blocks, at_least)
-    n = blocks.agg(F.sum("n")).first()[0]
+        return matches(blocks, total, at_least)
     pairs = n * (n - 1) // 2
     position = (pairs - 1) * quantile
     low = int(position)
@@ -204,7 +204,7 @@ def cosine_join(
     while True:
         level = quantile - margin
         guess = float(known[int(level * (len(known) - 1))]) - EPS if len(known) and level > 0 else -1.0 - EPS
-        found = durable(matches(blocks, guess))
+        found = stored(matches(blocks, total, guess), "matches")
         above = found.count()
         if pairs == 0:
             return found

@@ -121,14 +121,14 @@ def _(t):
     return values.select("doc_id", "split", *widen(F.col("x"), len(names), "f"))
 
 
-def _fitted_logistic(t, **settings):
-    """Fitted with balanced weights; a model that was saved for the same rows and settings is loaded."""
+def _fitted_logistic(t, saved=False, **settings):
+    """Fitted with balanced weights; ``saved``: a model that was saved for the same rows and settings is loaded."""
     matrix, train, test, target = _design(t)
     weighted = mt.with_balanced_weight(train, target)
     ready = ml.training_rows(matrix, weighted)
     settings = {"c": 1.0, "l1_ratio": 0.5, "weight": "weight"} | settings
     estimator = ml.elastic_net(train.count(), **settings)
-    model = ml.fitted(estimator, ready, scratch(t, "models"), settings, key=weighted)
+    model = ml.fitted(estimator, ready, scratch(t, "models"), settings, key=weighted) if saved else estimator.fit(ready)
     return model, matrix, train, test, target
 
 
@@ -158,7 +158,7 @@ def _(t):
     ready, n = ml.training_rows(matrix, weighted), train.count()
     rows = []
     for name, settings in _FITS.items():
-        model = ml.fitted(ml.elastic_net(n, weight="weight", **settings), ready, scratch(t, "models"), settings | {"weight": "weight"}, key=weighted)
+        model = ml.elastic_net(n, weight="weight", **settings).fit(ready)
         gaps = ml.optimality(model, ready, 1.0 / (settings["c"] * n), settings["l1_ratio"], "weight")
         rows += [(name, label, j, bool(gap <= RESIDUAL)) for label, gap_row in zip(ml.class_labels(matrix), gaps) for j, gap in enumerate(gap_row)]
     return t.spark.createDataFrame(rows, "model string, label string, feature int, optimal boolean")
@@ -458,7 +458,7 @@ def _(t):
 @query("ml23_retrained")
 def _(t):
     """The rows of short documents: predictions of the model of all rows, and of one fitted to such rows with the same settings."""
-    model, matrix, train, test, target = _fitted_logistic(t)
+    model, matrix, train, test, target = _fitted_logistic(t, saved=True)
     short = train.unionByName(test).where("word_count <= 500").select("doc_id")
     some, others = (r.join(short, "doc_id", "left_semi") for r in (train, test))
     filtered = mt.restricted(ml.score(model, matrix, test, ["doc_id"], target), short, ["doc_id"])
