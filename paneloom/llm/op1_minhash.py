@@ -11,10 +11,10 @@
    members that have not been centres lie in several components get further stars, around the
    members of the smallest components, 16 times as many each time, until none is left; members
    of one component are not compared again, nor those whose set sizes alone rule a link out.
-5. Before sets are fetched, an edge must agree on enough bins of a second signature of 2048 bins
+5. Before sets are compared, an edge must agree on enough bins of a second signature of 2048 bins
    of one bit each (5 standard deviations below the wanted similarity). For the further stars
-   that is done where centres and blocks of a bucket's members meet, so no pair of a large
-   bucket becomes a row unless it may be a link.
+   signatures and full sets are compared where centres and blocks of a bucket's members meet:
+   a centre needs one link into a component, so only links that join components become rows.
 
 With 50 bands of 7 rows a pair of similarity 0.8 shares no bucket with probability 8e-6.
 Only edges, labels and single texts are shuffled; nothing is collected to the driver.
@@ -36,6 +36,7 @@ from .words import LOWER, M3, mix, runs, shingle_hashes, span_hashes, word_spans
 BANDS, ROWS = 50, 7
 SKETCH = 2048  # bins of the second signature, a bit each
 BLOCK = 4096  # members of a bucket that meet its centres in one group
+BLOCK_SHINGLES = 4_000_000  # and the shingles of these members, about
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -157,47 +158,91 @@ def likely(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "sketch_a", "sketch_b").mapInArrow(agree, "a long, b long")
 
 
-def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Likely edges between the chosen centres of each bucket and its members of other components.
+def linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    both = np.concatenate([one, two])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+class Components:
+    """Components of one group of members: labels joined by the links that were found."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, label: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(label, label)) != label:
+            parent[label] = label = parent[up]
+        return label
 
-    known, chosen: bucket, rep, n, label. sizes: bucket and the number of its members. Members are
-    dealt over groups of about ``BLOCK`` by a hash, the centres go to each group of their bucket.
+    def roots(self, labels: np.ndarray) -> np.ndarray:
+        value, where = np.unique(labels, return_inverse=True)
+        return np.array([self.root(int(v)) for v in value], np.int64)[where]
+
+
+def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the chosen centres of each bucket and its members of other components.
+
+    known, chosen: bucket, rep, n, label. sizes: bucket, the number of its members and of their shingles.
+    Members are dealt over groups of about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles by a
+    hash, the centres go to each group of their bucket. In a group a centre meets the members of
+    other components, likeliest first, and full sets decide at once; a link joins both
+    components, and what is in one component is not compared any more. So a group gives at
+    most one link fewer than it has components, and what stays apart there was compared.
     A pair that shares several buckets is left to the first of them, which stays open until the pair
     was compared there or lies in one component.
     """
     most = most_apart(percent)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, key = [], None
+        centres, key, joined = [], None, Components()
         for batch in batches:
             bucket, block, role, rep, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
             bits = _bits(batch.column(6))
             marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, BANDS)
+            sets_here = batch.column(8)
             here = _mark(bucket.view(np.uint64))
             edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
             a, b = [], []
             for i, j in zip([0, *edges], [*edges, len(batch)]) if len(batch) else ():
                 if key != (bucket[i], block[i]):
-                    centres, key = [], (bucket[i], block[i])
+                    centres, key, joined = [], (bucket[i], block[i]), Components()
                 first = i + int(np.searchsorted(role[i:j], 1))
-                centres += [(rep[c], n[c], label[c], bits[c].copy(), marks[c].copy()) for c in range(i, first)]
-                for c, size, of, sketch, bands in centres:
+                for c in range(i, first):
+                    centres.append((int(rep[c]), n[c], int(label[c]), bits[c].copy(), marks[c].copy(), np.frombuffer(sets_here[c].as_py(), np.uint64)))
+                if first == j:
+                    continue
+                roots = joined.roots(label[first:j])
+                for c, size, of, sketch, bands, full in centres:
+                    own = joined.root(of)
                     small, large = np.minimum(n[first:j], size), np.maximum(n[first:j], size)
-                    may = np.flatnonzero((label[first:j] != of) & (100 * small >= percent * large)) + first
-                    may = may[np.bitwise_count(bits[may] ^ sketch).sum(1, dtype=np.int64) <= most]
-                    may = may[bands[(marks[may] == bands).argmax(1)] == here[i]]
-                    a.append(np.minimum(rep[may], c))
-                    b.append(np.maximum(rep[may], c))
+                    may = np.flatnonzero((roots != own) & (100 * small >= percent * large))
+                    if not len(may):
+                        continue
+                    apart = np.bitwise_count(bits[first + may] ^ sketch).sum(1, dtype=np.int64)
+                    may, apart = may[apart <= most], apart[apart <= most]
+                    firsts = bands[(marks[first + may] == bands).argmax(1)] == here[i]
+                    may, apart = may[firsts], apart[firsts]
+                    for m in may[np.argsort(apart, kind="stable")]:
+                        if roots[m] != own and linked(full, np.frombuffer(sets_here[first + int(m)].as_py(), np.uint64), percent):
+                            a.append(min(c, int(rep[first + m])))
+                            b.append(max(c, int(rep[first + m])))
+                            joined.parent[int(roots[m])] = own
+                            roots[roots == roots[m]] = own
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    blocks = sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    even = F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)
+    blocks = sizes.select("bucket", F.greatest(F.lit(1), F.ceil(even)).cast("int").alias("blocks"))
     both = known.join(blocks, "bucket").select(
         "bucket", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "rep", "n", "label"
     ).unionAll(chosen.join(blocks, "bucket").select(
         "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0), "rep", "n", "label"))
-    both = both.join(sets.select(F.col("doc_id").alias("rep"), "sketch", "marks"), "rep")
-    both = both.select("bucket", "block", "role", "rep", "n", "label", "sketch", "marks")
+    both = both.join(sets.select(F.col("doc_id").alias("rep"), "sketch", "marks", "hashes"), "rep")
+    both = both.select("bucket", "block", "role", "rep", "n", "label", "sketch", "marks", "hashes")
     both = both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
     return both.mapInArrow(meet, "a long, b long").distinct()
 
@@ -209,10 +254,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             for i, (one, two) in enumerate(zip(batch.column(2), batch.column(3))):
-                both = np.concatenate([np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * same >= percent * (len(both) - same)
+                keep[i] = linked(np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64), percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     rows = edges.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hashes_b")), "b")
@@ -278,20 +320,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     while True:
         known = open_.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
             "bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        split = known.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high")
-        split = durable(split.select("bucket", "size"))
-        known = durable(known.join(split.select("bucket"), "bucket"))
-        if known.isEmpty():
+        known = durable(known)
+        shares = durable(known.groupBy("bucket", "label").agg(F.count("*").alias("share"), F.sum("n").alias("shingles")))
+        split = shares.groupBy("bucket").agg(
+            F.count("*").alias("labels"), F.sum("share").alias("size"), F.sum("shingles").alias("shingles"),
+            F.max(F.struct("share", "label"))["label"].alias("largest")).where("labels > 1")
+        split = durable(split)
+        if split.isEmpty():
             break
-        # The smallest components of a bucket first: once theirs are done, one component is left.
-        share = known.groupBy("bucket", "label").agg(F.count("*").alias("share"))
-        order = Window.partitionBy("bucket").orderBy("share", "label", "rep")
-        chosen = known.join(share, ["bucket", "label"]).withColumn("at", F.row_number().over(order))
-        chosen = durable(chosen.where(F.col("at") <= centres).select("bucket", "rep", "n", "label"))
-        new = durable(meetings(known, chosen, split, sets, percent).join(tested, ["a", "b"], "left_anti"))
-        more = durable(confirmed(new, sets, percent))
-        tested = tested.unionAll(new)
+        known = durable(known.join(split.select("bucket"), "bucket"))
+        # The smallest components of a bucket first; the largest needs no centres, as it is left over in the end.
+        order = Window.partitionBy("bucket").orderBy("share", "label")
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        small = shares.join(split.select("bucket", "largest"), "bucket").where("label <> largest")
+        small = small.withColumn("before", F.coalesce(F.sum("share").over(before), F.lit(0))).where(F.col("before") < centres)
+        chosen = durable(known.join(small.select("bucket", "label", "before"), ["bucket", "label"]))
+        inside = Window.partitionBy("bucket").orderBy("before", "rep")
+        chosen = durable(chosen.withColumn("at", F.row_number().over(inside)).where(F.col("at") <= centres).select("bucket", "rep", "n", "label"))
+        more = durable(meetings(known, chosen, split, sets, percent))
         if not more.isEmpty():
             links = links.unionAll(more)
             labels = components(links)
