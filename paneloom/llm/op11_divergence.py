@@ -123,7 +123,7 @@ SHARDS = "lang string, shard int, n long, n_levels int, sizes array<long>, bits
 
 def shards(kept: DataFrame) -> DataFrame:
     """One row for each shard of the kept terms (lang, term): its levels, and its keys by index."""
-    parts = kept.groupBy("lang").agg(F.ceil(F.count("*") / SHARD_KEYS).cast("int").alias("parts"))
+    parts = stored(kept.groupBy("lang").agg(F.ceil(F.count("*") / SHARD_KEYS).cast("int").alias("parts")), "parts")
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         terms = rows.column("term").combine_chunks().cast(pa.large_binary())
