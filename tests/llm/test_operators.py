@@ -626,3 +626,22 @@ def test_code_lengths_in_slices(spark, folder, monkeypatch):
     whole = op4_language.code_lengths(model, texts)
     monkeypatch.setattr(op4_language, "SLICE", 100)
     np.testing.assert_allclose(op4_language.code_lengths(model, texts), whole, rtol=1e-9)
+
+
+def test_empty_tables_give_empty_results(empty):
+    assert op1_minhash.near_duplicates(empty).count() == 0
+    assert op2_tokens.count_tokens(empty).count() == 0
+    assert op10_rules.ledger(empty).count() == 0
+
+
+def test_a_very_long_text(spark):
+    from paneloom.llm import op12_substrings
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(900_000))  # about 5 MB
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "<|endoftext|> short")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in op1_minhash.near_duplicates(docs, shingle=2).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id: r.n_words for r in op2_tokens.count_tokens(docs).collect()} == {1: 900_000, 2: 900_001, 3: 2}
+    assert {r.doc_id: r.n_words for r in op10_rules.ledger(docs).collect()} == {1: 900_000, 2: 900_001, 3: 2}
+    assert {r.doc_id: r.n_removed for r in op12_substrings.without_repeats(docs).collect()} == {1: 0, 2: 900_000, 3: 0}

@@ -72,3 +72,12 @@ def test_odd_tables(spark, folder, rows):
         frame = stage(spark, frame, folder)
         assert name == "packing" or frame.columns == SCHEMA.replace(" ", ",").replace(",,", ",").split(",")[::2]
     assert (frame.count() > 0) == (rows > 0)
+
+
+def test_near_duplicates_judge_rows_not_ids(spark, folder, docs):
+    rng = random.Random(9)
+    one, two = (" ".join(f"q{rng.randrange(10**6)}" for _ in range(50)) for _ in range(2))
+    odd = [(10**6 + 3, one), (10**6 + 7, one), (10**6 + 7, two), (None, one), (10**6 + 3, one), (None, None), (None, None)]
+    more = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in odd], docs.schema))
+    out = corpus_pipeline.near_duplicates(spark, more, folder).where("doc_id >= 1000000 or doc_id is null")
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(10**6 + 3, one), (10**6 + 7, two), (None, None), (None, None)])
