@@ -26,33 +26,42 @@ def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language: not ``und``, a clear best language, coded better than at random.
 
-    Learns from the labelled rows of ``docs`` that are not held out. Null and letterless texts go.
+    Learns from the labelled rows of ``docs`` that are not held out. Null and letterless texts go;
+    repeated rows are judged each by its own text.
     """
     settle(spark)
-    found = op4_language.identify(docs, op4_language.learned(docs), _row(docs))
+    found = op4_language.identify(docs, op4_language.learned(docs), _row(docs), text_in_row=True)
     good = (F.col("lang_pred") != op4_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("bits_per_byte") <= MOST_BITS)
     return _columns(found.where(good), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class over shingles of five words, similarity 0.8.
+    """One row, that of the smallest doc_id, of each class over shingles of five words, similarity 0.8.
 
-    Rows without doc_id stay; rows that repeat a kept doc_id and text stay.
+    Rows are judged one by one, also those that share a doc_id or have none (they come last in
+    their class); of equal rows one stays. Null and wordless texts are in no class and stay.
     """
     settle(spark)
-    out = op1_minhash.near_duplicates(docs, shingle=5, percent=80)
-    dropped = out.where(~F.col("kept")).select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("__doc_id"), "left_anti")
+    numbered = stored(docs.select(_row(docs).alias("row"), F.monotonically_increasing_id().alias("nth")), "numbered")
+    text, doc_id = (F.col("row").getField(c).alias(c) for c in ("text", "doc_id"))
+    out = op1_minhash.near_duplicates(numbered.select(F.col("nth").alias("doc_id"), text), shingle=5, percent=80)
+    out = out.select(F.col("doc_id").alias("nth"), "component_id").join(numbered.select("nth", doc_id), "nth")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "nth"))
+    kept = out.groupBy("component_id").agg(first.getField("nth").alias("nth")).select("nth")
+    return _columns(numbered.join(kept, "nth", "left_semi"), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets in their texts are replaced by a mark, n_chars follows."""
+    """All documents; secrets in their texts are replaced by a mark, n_chars follows. Repeated rows and nulls stay."""
     settle(spark)
     return op5_secrets.redacted(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: sources by weights 1, 2, 3 in turn, at most 3 times."""
+    """Each document as often as the mix takes it: sources by weights 1, 2, 3 in turn, at most 3 times.
+
+    Repeated rows are documents of their own; wordless ones of a source with words may be taken as well.
+    """
     settle(spark)
     # The copies are worked out on narrow rows and then brought to the documents.
     numbered = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("nth"))
@@ -66,7 +75,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 1024 tokens."""
+    """The pieces of all documents and their places in sequences of 1024 tokens; a null text is one end token."""
     settle(spark)
     return op6_packing.packed_documents(docs)
 
