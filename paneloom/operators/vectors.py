@@ -69,11 +69,18 @@ def unit_vectors(vectors: DataFrame, id_: str, vec: str) -> DataFrame:
 BLOCKS = "block int, n long, ids array<{kind}>, vectors binary, centre array<double>, radius double"
 
 
-def block_table(units: DataFrame, pivots: np.ndarray, block_rows: int | None) -> tuple[DataFrame, int, int]:
+def block_table(units: DataFrame, sample: np.ndarray, block_rows: int | None) -> tuple[DataFrame, int, int]:
     """A row for each block of unit vectors near one pivot: ids, matrix, centre and widest angle. Written once.
 
-    Also the numbers of blocks and of vectors. By default a block has a sixteenth of all vectors, within bounds.
+    Also the numbers of blocks and of vectors. By default a block has a sixteenth of all vectors, within
+    bounds. The first vectors of the sample are the pivots, as many as blocks are wanted; the
+    whole sample says how large the part of each will be, and so into how many blocks it is cut.
     """
+    n = units.count()
+    block_rows = block_rows or min(4000, max(500, n // 16))
+    pivots = sample[: max(1, min(PIVOTS, n // block_rows))]
+    shares = np.bincount((sample @ pivots.T).argmax(1), minlength=len(pivots)) / max(1, len(sample)) if len(sample) else np.zeros(0)
+    sizes = {i: math.ceil(n * float(share)) for i, share in enumerate(shares)}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,9 +101,7 @@ def block_table(units: DataFrame, pivots: np.ndarray, block_rows: int | None) ->
 
     kind = units.schema["id"].dataType.simpleString()
     parts = units.mapInArrow(assign, f"id {kind}, v array<double>, part int")
-    sizes = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}  # at most PIVOTS rows
-    n = sum(sizes.values())
-    spread, total = _spread(parts, "part", "id", sizes, block_rows or min(4000, max(500, n // 16)))
+    spread, total = _spread(parts, "part", "id", sizes, block_rows)
     blocks = spread.select("block", "id", "v").groupBy("block").applyInArrow(pack, BLOCKS.format(kind=kind))
     return stored(blocks, "blocks"), total, n
 
@@ -125,9 +130,16 @@ def block_pairs(blocks: DataFrame, total: int, at_least: float) -> DataFrame:
 
 
 def _candidates(x: np.ndarray, y: np.ndarray, cut: float, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose product over the first dimensions plus the remaining norms reaches ``cut``."""
-    bound = x[:, :half] @ y[:, :half].T + np.linalg.norm(x[:, half:], axis=1)[:, None] * np.linalg.norm(y[:, half:], axis=1)[None, :]
-    return np.nonzero(bound >= cut - EPS)
+    """Pairs that may reach ``cut``.
+
+    The product over the first dimensions plus the remaining norms is a bound; where it leaves too many
+    pairs to be looked at one by one, the whole products decide, up to rounding.
+    """
+    first = x[:, :half] @ y[:, :half].T
+    may = first + np.linalg.norm(x[:, half:], axis=1)[:, None] * np.linalg.norm(y[:, half:], axis=1)[None, :] >= cut - EPS
+    if np.count_nonzero(may) > 0.05 * may.size:
+        may = first + x[:, half:] @ y[:, half:].T >= cut - EPS
+    return np.nonzero(may)
 
 
 def matches(blocks: DataFrame, total: int, at_least: float) -> DataFrame:
@@ -192,7 +204,7 @@ def cosine_join(
     if not len(sample):
         kind = vectors.schema[id_].dataType.simpleString()
         return vectors.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, similarity double")
-    blocks, total, n = block_table(units, sample[:PIVOTS], block_rows)
+    blocks, total, n = block_table(units, sample, block_rows)
     if at_least is not None:
         return matches(blocks, total, at_least)
     pairs = n * (n - 1) // 2

@@ -552,15 +552,14 @@ def _(t):
     return jn.lookup_ends(edges, t.nation.select("n_nationkey", "n_name"), "n_nationkey")
 
 
-# Listed names: one letter of every firm is dropped and its document's language added.
+# Listed names: one letter of every firm is dropped.
 @query("jn13_fuzzy_best_match", f"""
-    with {SQL_FIRMS}, listed as (select concat(substr(name, 1, 4), substr(name, 6), ' ', lang) as name from firms join documents using (doc_id)),
-    {sql_best_match("firms", "listed", "firm", "listed_name", 0.5)}""")
+    with {SQL_FIRMS}, listed as (select concat(substr(name, 1, 4), substr(name, 6)) as name from firms),
+    {sql_best_match("firms", "listed", "firm", "listed_name", 0.7)}""")
 def _(t):
     f = firms(t)
-    listed = f.join(t.documents.select("doc_id", "lang"), "doc_id").select(
-        F.concat(F.substring("name", 1, 4), F.expr("substr(name, 6)"), F.lit(" "), "lang").alias("listed_name"))
-    out = jn.fuzzy_best_match(f.select(F.col("name").alias("firm")), listed, "firm", "listed_name", threshold=0.5)
+    listed = f.select(F.concat(F.substring("name", 1, 4), F.expr("substr(name, 6)")).alias("listed_name"))
+    out = jn.fuzzy_best_match(f.select(F.col("name").alias("firm")), listed, "firm", "listed_name", threshold=0.7)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
