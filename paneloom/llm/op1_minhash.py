@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import durable
+from ..session import durable  # noqa: F401  a test reads it here
 from .base import query, stored, table
 from .words import LOWER, M3, mix, runs, shingle_hashes, span_hashes, word_spans
 
@@ -184,7 +184,7 @@ class Components:
 
 
 def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the chosen centres of each bucket and its members of other components.
+    """Links between the components of the chosen centres of each bucket and those of its members: pairs of labels.
 
     known, chosen: bucket, rep, n, label. sizes: bucket, the number of its members and of their shingles.
     Members are dealt over groups of about ``BLOCK`` members and ``BLOCK_SHINGLES`` shingles by a
@@ -200,10 +200,10 @@ def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFr
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, key, joined = [], None, Components()
         for batch in batches:
-            bucket, block, role, rep, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            bits = _bits(batch.column(6))
-            marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, BANDS)
-            sets_here = batch.column(8)
+            bucket, block, role, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            bits = _bits(batch.column(5))
+            marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32).reshape(-1, BANDS)
+            sets_here = batch.column(7)
             here = _mark(bucket.view(np.uint64))
             edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
             a, b = [], []
@@ -212,11 +212,11 @@ def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFr
                     centres, key, joined = [], (bucket[i], block[i]), Components()
                 first = i + int(np.searchsorted(role[i:j], 1))
                 for c in range(i, first):
-                    centres.append((int(rep[c]), n[c], int(label[c]), bits[c].copy(), marks[c].copy(), np.frombuffer(sets_here[c].as_py(), np.uint64)))
+                    centres.append((n[c], int(label[c]), bits[c].copy(), marks[c].copy(), np.frombuffer(sets_here[c].as_py(), np.uint64)))
                 if first == j:
                     continue
                 roots = joined.roots(label[first:j])
-                for c, size, of, sketch, bands, full in centres:
+                for size, of, sketch, bands, full in centres:
                     own = joined.root(of)
                     small, large = np.minimum(n[first:j], size), np.maximum(n[first:j], size)
                     may = np.flatnonzero((roots != own) & (100 * small >= percent * large))
@@ -228,8 +228,8 @@ def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFr
                     may, apart = may[firsts], apart[firsts]
                     for m in may[np.argsort(apart, kind="stable")]:
                         if roots[m] != own and linked(full, np.frombuffer(sets_here[first + int(m)].as_py(), np.uint64), percent):
-                            a.append(min(c, int(rep[first + m])))
-                            b.append(max(c, int(rep[first + m])))
+                            a.append(min(of, int(label[first + m])))
+                            b.append(max(of, int(label[first + m])))
                             joined.parent[int(roots[m])] = own
                             roots[roots == roots[m]] = own
             if a:
@@ -242,7 +242,7 @@ def meetings(known: DataFrame, chosen: DataFrame, sizes: DataFrame, sets: DataFr
     ).unionAll(chosen.join(blocks, "bucket").select(
         "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0), "rep", "n", "label"))
     both = both.join(sets.select(F.col("doc_id").alias("rep"), "sketch", "marks", "hashes"), "rep")
-    both = both.select("bucket", "block", "role", "rep", "n", "label", "sketch", "marks", "hashes")
+    both = both.select("bucket", "block", "role", "n", "label", "sketch", "marks", "hashes")
     both = both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "role")
     return both.mapInArrow(meet, "a long, b long").distinct()
 
@@ -265,23 +265,37 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the edges (a, b); nodes without edges are absent.
 
-    Each round takes the least label among neighbours and then follows labels one step.
+    Each round every node follows its least neighbours down to one that has no smaller; only edges
+    between different ends of these ways are left for the next round, so that most are read once.
+    Tables are written, as small ones are then broadcast: each shuffle is a job, and jobs fill the driver.
     """
-    both = durable(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    labels = None
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        target = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = durable(lower.join(target, "label").select("node", "old", F.least("label", "further").alias("label")))
-        labels = new.select("node", "label")
-        if not new.where("label < old").take(1):
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        least = stored(least.select("node", F.least("node", "m").alias("label")), "least")
+        while True:
+            further = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            new = least.join(further, "label").select("node", F.col("label").alias("old"), F.col("further").alias("label"))
+            new = stored(new, "least")
+            least = new.select("node", "label")
+            if new.where("label < old").isEmpty():
+                break
+        labels = least if labels is None else relabelled(labels, least)
+        ends = edges.join(least.select(F.col("node").alias("b"), F.col("label").alias("to_b")), "b")
+        ends = ends.join(least.select(F.col("node").alias("a"), F.col("label").alias("to_a")), "a").where("to_a <> to_b")
+        edges = stored(ends.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
             return labels
 
 
+def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the label (of ``labels``: node, label) of their label, where it has one."""
+    to = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return rows.join(to, "label", "left").select(*[c for c in rows.columns if c != "label"], F.coalesce("to", "label").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; more columns are ignored).
 
@@ -307,41 +321,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # The smallest member of each bucket against the others; sizes alone rule many links out.
     sizes = members.where("rep = centre").select("bucket", F.col("n").alias("n_centre"))
-    tested = durable(
+    tested = stored(
         members.where("rep <> centre").join(sizes, "bucket")
         .where(f"100 * least(n, n_centre) >= {percent} * greatest(n, n_centre)")
-        .select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+        .select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "tested"
     )
-    links = durable(confirmed(durable(likely(tested, sets, percent)), sets, percent))
-    labels = components(links)
+    labels = components(confirmed(stored(likely(tested, sets, percent), "likely"), sets, percent))
     # Members that have not been centres; a bucket of two is done.
-    open_ = members.where("size > 2 and rep <> centre").select("bucket", "rep", "n")
-    centres = 32
+    known = members.where("size > 2 and rep <> centre").select("bucket", "rep", "n", F.col("rep").alias("label"))
+    centres, step = 32, labels
     while True:
-        known = open_.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
-            "bucket", "rep", "n", F.coalesce("label", "rep").alias("label"))
-        known = durable(known)
-        shares = durable(known.groupBy("bucket", "label").agg(F.count("*").alias("share"), F.sum("n").alias("shingles")))
+        known = stored(relabelled(known, step), "known")
+        shares = stored(known.groupBy("bucket", "label").agg(F.count("*").alias("share"), F.sum("n").alias("shingles")), "shares")
         split = shares.groupBy("bucket").agg(
             F.count("*").alias("labels"), F.sum("share").alias("size"), F.sum("shingles").alias("shingles"),
             F.max(F.struct("share", "label"))["label"].alias("largest")).where("labels > 1")
-        split = durable(split)
+        split = stored(split, "split")
         if split.isEmpty():
             break
-        known = durable(known.join(split.select("bucket"), "bucket"))
+        known = stored(known.join(split.select("bucket"), "bucket"), "known")
         # The smallest components of a bucket first; the largest needs no centres, as it is left over in the end.
         order = Window.partitionBy("bucket").orderBy("share", "label")
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         small = shares.join(split.select("bucket", "largest"), "bucket").where("label <> largest")
         small = small.withColumn("before", F.coalesce(F.sum("share").over(before), F.lit(0))).where(F.col("before") < centres)
-        chosen = durable(known.join(small.select("bucket", "label", "before"), ["bucket", "label"]))
+        chosen = known.join(small.select("bucket", "label", "before"), ["bucket", "label"])
         inside = Window.partitionBy("bucket").orderBy("before", "rep")
-        chosen = durable(chosen.withColumn("at", F.row_number().over(inside)).where(F.col("at") <= centres).select("bucket", "rep", "n", "label"))
-        more = durable(meetings(known, chosen, split, sets, percent))
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            labels = components(links)
-        open_ = known.join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti").select("bucket", "rep", "n")
+        chosen = chosen.withColumn("at", F.row_number().over(inside)).where(F.col("at") <= centres).select("bucket", "rep", "n", "label")
+        chosen = stored(chosen, "chosen")
+        step = components(meetings(known, chosen, split, sets, percent))
+        labels = relabelled(labels, step).unionAll(step.join(labels, "node", "left_anti"))
+        known = known.join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti")
         centres *= 16
 
     found = classes.select("set_a", "set_b", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")

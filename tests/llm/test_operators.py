@@ -547,6 +547,21 @@ def test_near_copies_of_one_text_take_few_links(spark, monkeypatch):
         assert got[i] == got[c]
 
 
+def test_components_read_most_edges_once(spark):
+    star = [(500, i) for i in range(501, 700)] + [(i, 9000) for i in range(700, 760)]
+    path = [(i, i + 1) for i in range(1, 60)]
+    edges = spark.createDataFrame([(min(e), max(e)) for e in star + path], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "jobs of this test")
+    try:
+        got = {r.node: r.label for r in op1_minhash.components(edges).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = {i: 500 for i in range(500, 700)} | {i: 700 for i in [*range(700, 760), 9000]} | {i: 1 for i in range(1, 61)}
+    assert got == want
+    assert jobs <= 40
+
+
 def test_known_forms_are_not_random():
     words = op5_secrets.encoder(*op5_secrets.vocabulary())
     known = [
