@@ -60,6 +60,21 @@ def test_cosine_join_lowers_a_threshold_that_was_too_high(spark, monkeypatch):
     assert {(r["src"], r["dst"]) for r in got.collect()} == {k for k, s in sims.items() if s >= cut}
 
 
+def test_quantile_of_cosines_writes_no_pairs(spark, monkeypatch):
+    v, df = _clustered(spark, clusters=6, each=20)
+    twice = df.unionByName(df.selectExpr("id + 20000 as id", "v"))
+    written, stored = [], vc.stored
+    monkeypatch.setattr(vc, "stored", lambda rows, name="table": written.append(name) or stored(rows, name))
+    monkeypatch.setattr(vc, "TILES", 3, raising=False)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids = [*range(len(u)), *range(20000, 20000 + len(u))]
+    sims = {(i, j): float(u[i % 20000] @ u[j % 20000]) for i, j in itertools.combinations(ids, 2)}
+    cut = np.quantile(list(sims.values()), 0.9)
+    got = {(r["src"], r["dst"]) for r in vc.cosine_join(twice, "id", "v", quantile=0.9, block_rows=15).collect()}
+    assert {k for k, x in sims.items() if x >= cut + 1e-12} <= got <= {k for k, x in sims.items() if x >= cut - 1e-12}
+    assert written == ["blocks"]
+
+
 def test_cosine_join_of_nothing_and_of_equal_vectors(spark):
     empty = spark.createDataFrame([], "id string, v array<float>")
     assert vc.cosine_join(empty, "id", "v", 0.5).count() == 0
