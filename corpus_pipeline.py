@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = op1_minhash.near_duplicates(numbered.select(F.col("nth").alias("doc_id"), text), shingle=5, percent=80)
     out = out.select(F.col("doc_id").alias("nth"), "component_id").join(numbered.select("nth", doc_id), "nth")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "nth"))
-    kept = out.groupBy("component_id").agg(first.getField("nth").alias("nth")).select("nth")
+    kept = stored(out.groupBy("component_id").agg(first.getField("nth").alias("nth")).select("nth"), "kept")
     return _columns(numbered.join(kept, "nth", "left_semi"), docs)
 
 

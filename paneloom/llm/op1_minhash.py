@@ -326,7 +326,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .where(f"100 * least(n, n_centre) >= {percent} * greatest(n, n_centre)")
         .select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "tested"
     )
-    labels = components(confirmed(stored(likely(tested, sets, percent), "likely"), sets, percent))
+    # Labels and steps are written: later plans name them several times, unwritten they would double with each round.
+    labels = stored(components(confirmed(stored(likely(tested, sets, percent), "likely"), sets, percent)), "labels")
     # Members that have not been centres; a bucket of two is done.
     known = members.where("size > 2 and rep <> centre").select("bucket", "rep", "n", F.col("rep").alias("label"))
     centres, step = 32, labels
@@ -349,13 +350,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         inside = Window.partitionBy("bucket").orderBy("before", "rep")
         chosen = chosen.withColumn("at", F.row_number().over(inside)).where(F.col("at") <= centres).select("bucket", "rep", "n", "label")
         chosen = stored(chosen, "chosen")
-        step = components(meetings(known, chosen, split, sets, percent))
-        labels = relabelled(labels, step).unionAll(step.join(labels, "node", "left_anti"))
+        step = stored(components(meetings(known, chosen, split, sets, percent)), "step")
+        labels = stored(relabelled(labels, step).unionAll(step.join(labels, "node", "left_anti")), "labels")
         known = known.join(chosen.select("bucket", "rep"), ["bucket", "rep"], "left_anti")
         centres *= 16
 
     found = classes.select("set_a", "set_b", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    found = stored(found.select("set_a", "set_b", "n_shingles", F.coalesce("label", "rep").alias("component_id")), "found")
     judged = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b", "n_shingles"], "left")
     return judged.select(
         "doc_id", "n_shingles",

@@ -547,6 +547,26 @@ def test_near_copies_of_one_text_take_few_links(spark, monkeypatch):
         assert got[i] == got[c]
 
 
+def _joins(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_plans_of_classes_do_not_grow_with_the_rounds(spark, monkeypatch):
+    rng, fresh = random.Random(8), (f"x{i}" for i in range(10**6))
+    base = [next(fresh) for _ in range(120)]
+    docs = []
+    for i in range(300):  # alike enough to share buckets, too far apart for links
+        own = list(base)
+        for k in rng.sample(range(120), 6):
+            own[k] = next(fresh)
+        docs.append((i, " ".join(own)))
+    waves, meetings = [], op1_minhash.meetings
+    monkeypatch.setattr(op1_minhash, "meetings", lambda *a: waves.append(1) or meetings(*a))
+    out = op1_minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2)
+    assert len(waves) > 1
+    assert _joins(out) == 1
+
+
 def test_components_read_most_edges_once(spark):
     star = [(500, i) for i in range(501, 700)] + [(i, 9000) for i in range(700, 760)]
     path = [(i, i + 1) for i in range(1, 60)]
