@@ -215,7 +215,8 @@ SQL_FIRMS = r"""firms as (
 
 def firms(t: Tables) -> DataFrame:
     """doc_id, k, name."""
-    found = F.regexp_extract_all(F.replace("text", F.lit("ß"), F.lit("ss")), F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
+    head = F.regexp_extract("text", r"^(?:[ \t\n\r\f\x0B]*+[^ \t\n\r\f\x0B]++){0,9}", 0)  # names need no more than nine words
+    found = F.regexp_extract_all(F.replace(head, F.lit("ß"), F.lit("ss")), F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
     rows = t.documents.select("doc_id", found.alias("ws")).select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
     rows = rows.where(F.size("ws") >= 3 * F.col("k") + 3)
     return rows.select("doc_id", "k", F.array_join(F.slice("ws", 3 * F.col("k") + 1, 3), " ").alias("name"))

@@ -1,11 +1,13 @@
 """Keys of several grams in the fuzzy join."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from paneloom.operators import joins as jn
+from paneloom.plans.standins import SQL_FIRMS, firms
 
 
 def rows(df):
@@ -49,3 +51,15 @@ def test_names_with_a_frequent_key_meet_by_longer_keys(spark):
     largest = lambda g: g.groupBy("gram", "cell").count().agg(F.max("count")).first()[0]
     assert largest(jn.gram_groups(first, first, 0.7, 50)[1]) > 100
     assert largest(jn.gram_groups(*jn.refined(first, first, 50), 0.7, 50)[1]) < 50
+
+
+def test_firms_as_in_sql(spark):
+    import duckdb
+
+    texts = ["a b c d e f g h i j k l", " \t\n a\fb \r c  ", "", None, "one two", "Fuß ßß ß a\x0bb ß\xa0c d e f", "x" * 100_000 + " y z\nw", "  " * 5000 + "p q r"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0])]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    want = con.execute(f"with {SQL_FIRMS} select doc_id, k, name from firms").fetchall()
+    assert rows(firms(SimpleNamespace(documents=spark.createDataFrame(docs, "doc_id long, text string")))) == sorted(want, key=str)
